@@ -157,20 +157,24 @@ def unnest_join(t):
 
 
 @query("distance_theta_join", """
-    select content_type, cluster_id, bin, query_video_id, candidate_video_id, distance from tier_distance where distance < 0.8""")
+    select content_type, cluster_id, bin, query_video_id, candidate_video_id, round(distance, 6) as distance from tier_far where distance < 0.5""")
 def distance_theta_join(t):
     from itemrec.catalog.products import tier_sample
 
-    near = tiers.tier_distances(tier_sample(t), profiles.avg_embedding(t.item_index), 0.8)
+    near = tiers.tier_distances(tier_sample(t), profiles.avg_embedding(t.item_index), 0.5)
     return near.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", F.round("distance", 6).alias("distance"))
 
 
 @query("expand_pool_to_queries", """
-    select q.user_id, type_num, video_id as candidate_video_id, query_video_id from query_item q join user_pool using (user_id)""")
+    select q.user_id, query_video_id, type_num, count(*) as candidates, min(video_id) as first_id
+    from query_item q join user_pool using (user_id) group by all""")
 def expand_pool_to_queries(t):
     from itemrec.catalog.products import queries_of, user_pool_rows
 
-    return serve.expand_pool_to_queries(user_pool_rows(t), queries_of(t))
+    rows = serve.expand_pool_to_queries(user_pool_rows(t), queries_of(t))
+    return rows.groupBy("user_id", "query_video_id", "type_num").agg(
+        F.count(F.lit(1)).alias("candidates"), F.min("candidate_video_id").alias("first_id")
+    )
 
 
 @query("join_tier_bin", """

@@ -49,7 +49,9 @@ def expand(sql: str) -> str:
 
     def visit(text: str, path: tuple[str, ...] = ()) -> None:
         for name in sorted(_words(text) & set(SQL_VIEWS)):
-            if name not in ordered and name not in path:
+            if name in path:
+                raise ValueError(f"view {name} is used inside itself")
+            if name not in ordered:
                 visit(SQL_VIEWS[name], (*path, name))
                 ordered.append(name)
 
