@@ -1 +1,122 @@
-"""Pending."""
+"""Streaming jobs, drained over the event table and compared with their batch meaning."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from itemrec.catalog.registry import query, sql_view
+from itemrec.catalog.scans import scratch
+from itemrec.sources.views import AS_OF, VIEWS, Tables
+from itemrec.streaming import jobs
+
+
+def event_stream(t: Tables, view: str = "watch_event") -> DataFrame:
+    """The same derivation as the batch view, over a stream of the event files."""
+    stream = jobs.read_events(t.spark, t.folder, t.events.schema, "events.parquet")
+    text = re.sub(r"<epoch\((\w+)\)>", r"unix_seconds(cast(\1 as timestamp))", VIEWS[view])
+    return t.spark.sql(text, events=stream)
+
+
+def drained(t: Tables, stream: DataFrame, mode: str = "append", prepare=None) -> DataFrame:
+    base = scratch(t.spark)
+    jobs.run_to_table(stream, base + "/table", base + "/checkpoint", mode, prepare)
+    return t.spark.read.parquet(base + "/table")
+
+
+def stamp(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSS").alias(name)
+
+
+sql_view("live", "select user_id, item_id as video_id, ts from watch_event where event_id % 101 <> 0")
+
+
+@query("stream_watch_history", """
+    select user_id, video_id, strftime(last_watched_timestamp, '%Y-%m-%d %H:%M:%S.%g') as last_watched_timestamp, cast(place as int) as place from (
+        select *, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as place
+        from (select user_id, video_id, max(ts) as last_watched_timestamp from live group by all)) where place <= 500""")
+def stream_watch_history(t):
+    table = drained(t, jobs.watch_history(jobs.parsed(event_stream(t))), "update")
+    rows = jobs.capped_history(jobs.latest(table, ["user_id", "video_id"]))
+    return rows.select("user_id", "video_id", stamp("last_watched_timestamp"), "place")
+
+
+@query("stream_recent_items", """
+    select strftime(w, '%Y-%m-%d %H:%M:%S.%g') as window_start, user_id, video_id, count(*) as n from (
+        select user_id, video_id, time_bucket(interval 30 minutes, ts) - k * interval 30 minutes as w from live, range(2) r(k)) group by all""")
+def stream_recent_items(t):
+    table = drained(t, jobs.recent_items(jobs.parsed(event_stream(t))), "update")
+    return jobs.latest(table, ["window_start", "user_id", "video_id"]).select(stamp("window_start"), "user_id", "video_id", "n")
+
+
+@query("stream_since", """
+    select user_id, video_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') as ts from live where ts >= timestamp '2024-01-10' and ts <= timestamp '2024-01-20'""")
+def stream_since(t):
+    table = drained(t, jobs.since(jobs.parsed(event_stream(t)), "2024-01-10", "2024-01-20"))
+    return table.select("user_id", "video_id", stamp("ts"))
+
+
+@query("stream_dedup", "select distinct user_id, video_id from live")
+def stream_dedup(t):
+    return drained(t, jobs.dedup(jobs.parsed(event_stream(t)))).select("user_id", "video_id")
+
+
+@query("stream_view_counts", "select item_id, total_count_loggedin, total_count_all from view_counts")
+def stream_view_counts(t):
+    table = drained(t, jobs.view_counts(event_stream(t, "view_event")), "update")
+    return jobs.latest(table, ["item_id"])
+
+
+# a session is out once the watermark, 10 minutes behind the newest event, has passed its end
+@query("stream_sessions", """
+    with m as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 10 minutes then 0 else 1 end as fresh from live),
+    n as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) as s from m),
+    g as (select user_id, min(ts) as session_start, max(ts) + interval 10 minutes as session_end, count(*) as events from n group by user_id, s)
+    select user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%g') as session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%g') as session_end, events
+    from g where session_end <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from live)""")
+def stream_sessions(t):
+    table = drained(t, jobs.sessions(jobs.parsed(event_stream(t))))
+    return table.select("user_id", stamp("session_start"), stamp("session_end"), "events")
+
+
+@query("stream_filter_watched", """
+    select distinct user_id, video_id from live l where not exists (select 1 from watched_live w where w.user_id = l.user_id and w.video_id = l.video_id)""".replace(
+    "watched_live", "(select user_id, item_id as video_id from watch_event where event_id % 2 = 0)"))
+def stream_filter_watched(t):
+    """A stream of offered items against a stored history; the history is read afresh in every batch."""
+    def offered(batch):
+        history = t.watch_event.where("event_id % 2 = 0").select("user_id", F.col("item_id").alias("video_id")).distinct()
+        return jobs.filter_watched(batch.select("user_id", "video_id"), history)
+
+    return drained(t, jobs.parsed(event_stream(t)), prepare=offered).select("user_id", "video_id").distinct()
+
+
+sql_view("dated_report", """
+    select concat('u', o_custkey) as user_id, md5(cast(l_partkey as string)) as video_id, cast(l_shipdate as timestamp) as reported_at
+    from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R' and l_linenumber = 1""")
+
+
+@query("stream_report_update", f"""
+    select user_id, video_id, strftime(max(reported_at), '%Y-%m-%d %H:%M:%S.%g') as reported_at from dated_report group by user_id, video_id
+    having max(reported_at) >= timestamp '{AS_OF}' - interval 30 days""")
+def stream_report_update(t):
+    """Streamed lines join the static orders; batches append their newest reports, reads apply the 30 day life."""
+    lines = jobs.read_events(t.spark, t.folder, t.lineitem.schema, "lineitem.parquet").where("l_returnflag = 'R' and l_linenumber = 1")
+    reports = lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("u"), F.col("o_custkey")).alias("user_id"), F.md5(F.col("l_partkey").cast("string")).alias("video_id"),
+        F.col("l_shipdate").cast("timestamp").alias("reported_at"),
+    )
+    return jobs.active_reports(drained(t, reports, prepare=jobs.report_updates), AS_OF).select("user_id", "video_id", stamp("reported_at"))
+
+
+@query("state_ttl", """
+    with e as (select user_id, video_id, max(epoch_ms(ts)) as newest from live group by all), w as (select max(epoch_ms(ts)) as mark from live)
+    select user_id, video_id, 'enter' as change from e
+    union all select user_id, video_id, 'leave' from e, w where newest + 10 * 86400000 <= mark""")
+def state_ttl(t):
+    changes = jobs.expiring_history(jobs.parsed(event_stream(t)).select("user_id", "video_id", "ts"), ttl_days=10)
+    return drained(t, changes).select("user_id", "video_id", "change")
+
+
