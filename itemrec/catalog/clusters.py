@@ -1 +1,160 @@
-"""Pending."""
+"""Clustering and similarity."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from itemrec.catalog import products
+from itemrec.catalog.functions import elements
+from itemrec.catalog.registry import query, sql_view
+from itemrec.functions import vectors
+from itemrec.operators import clustering, sessions, similarity, tiers
+from itemrec.operators.ranking import top_n
+from itemrec.plans import profiles
+
+
+@query("standardise_vectors", """
+    with e as (select vec_id, cast(generate_subscripts(embedding, 1) - 1 as int) as pos, unnest(embedding::double[]) as v from embeddings)
+    select vec_id, pos, round((v - avg(v) over (partition by pos)) / stddev_samp(v) over (partition by pos), 6) + 0.0 as value from e""")
+def standardise_vectors(t):
+    scaled = clustering.standardise(t.embeddings).select("vec_id", vector_to_array("scaled").alias("v"))
+    return elements(scaled, "vec_id", "v")
+
+
+def item_frame(t) -> DataFrame:
+    return profiles.avg_embedding(t.item_index).withColumnRenamed("avg_embedding", "embedding")
+
+
+def user_frame(t) -> DataFrame:
+    whole = profiles.user_vector(t.user_item_cluster, profiles.first_embedding(t.item_index))
+    return whole.withColumnRenamed("user_embedding", "embedding")
+
+
+@query("user_vector", """
+    select user_id, pos, round(r, 6) + 0.0 as value from user_average where user_id in (select user_id from cluster_share)
+    union all select user_id, cast(64 + i as int), round(r, 6) + 0.0 from temporal_mean where user_id in (select user_id from user_average)
+    union all select user_id, cast(80 + pos as int), round(r, 6) + 0.0 from cluster_share where user_id in (select user_id from user_average)""")
+def user_vector(t):
+    return elements(user_frame(t), "user_id", "embedding")
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(t):
+    metrics = clustering.kmeans_sweep(clustering.standardise(item_frame(t)), clustering.ITEM_KS)
+    rows = [(k, s, c) for k, (s, c) in metrics.items()]
+    return t.spark.createDataFrame(rows, "k int, silhouette double, training_cost double")
+
+
+@query("choose_k")
+def choose_k(t):
+    metrics = clustering.kmeans_sweep(clustering.standardise(item_frame(t)), clustering.ITEM_KS)
+    k = clustering.choose_k(metrics, clustering.ITEM_DEFAULT_K)
+    return t.spark.createDataFrame([(k,)], "k int")
+
+
+@query("cluster_items")
+def cluster_items(t):
+    labelled, _ = clustering.fit_clusters(item_frame(t), clustering.ITEM_KS, clustering.ITEM_DEFAULT_K, scale=True)
+    return labelled.select("video_id", "cluster")
+
+
+@query("cluster_users")
+def cluster_users(t):
+    labelled, _ = clustering.fit_clusters(user_frame(t), clustering.USER_KS, clustering.USER_DEFAULT_K, scale=False)
+    return labelled.select("user_id", "cluster")
+
+
+@query("cluster_summary")
+def cluster_summary(t):
+    labelled, summary = clustering.fit_clusters(item_frame(t), clustering.ITEM_KS, clustering.ITEM_DEFAULT_K, scale=True)
+    sizes = clustering.cluster_sizes(labelled)
+    chosen = summary.where("chosen")
+    return sizes.select("cluster", "members", *[chosen.select(c).scalar().alias(c) for c in ("k", "silhouette", "training_cost")])
+
+
+sql_view("centroid_row", """
+    select label::int as cluster, pos, avg(v) as c from (
+        select label, generate_subscripts(embedding, 1) as pos, unnest(embedding::double[]) as v from embeddings) group by label, pos""")
+
+
+@query("assign_nearest_centroid", """
+    with d as (select vec_id, cluster, round(sum((v - c) * (v - c)), 9) as d from (
+                  select vec_id, generate_subscripts(embedding, 1) as pos, unnest(embedding::double[]) as v from embeddings) join centroid_row using (pos) group by all)
+    select vec_id, arg_min(cluster, d) as cluster, round(min(d), 6) as distance from d group by vec_id""")
+def assign_nearest_centroid(t):
+    centroids = vectors.mean_vector(t.centroid, ["cluster"], "embedding", "centroid")
+    rows = clustering.assign_nearest_centroid(t.embeddings, centroids, "vec_id")
+    return rows.withColumn("distance", F.round("distance", 6))
+
+
+@query("similarity_exact", "select query_video_id, candidate_video_id, max(similarity) as similarity from vector_row group by all")
+def similarity_exact(t):
+    pairs = products.iou(t).select(F.col("video_id_x").alias("query_video_id"), F.col("video_id_y").alias("candidate_video_id"))
+    return similarity.pair_similarity(pairs, products.item_vectors(t))
+
+
+@query("similarity_topk", """
+    select query_video_id, candidate_video_id, max(similarity) as similarity from (
+        select *, row_number() over (partition by query_video_id order by similarity desc, candidate_video_id) as rn from (
+            select query_video_id, candidate_video_id, round(list_cosine_similarity(q.embedding, c.embedding), 6) as similarity
+            from (select distinct query_video_id, candidate_video_id from tier_sampled where query_video_id <> candidate_video_id)
+            join item_vector q on q.video_id = query_video_id join item_vector c on c.video_id = candidate_video_id)) where rn <= 200 group by all""")
+def similarity_topk(t):
+    return similarity.similarity_topk(products.tier_sample(t).select("query_video_id", "candidate_video_id"), products.item_vectors(t))
+
+
+# items of one vector each; hashing must find every pair at least this close, checked against all pairs
+@query("similarity_ann")
+def similarity_ann(t):
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("video_id"), "embedding")
+    return similarity.similarity_ann(rows, rows, distance=0.6)
+
+
+@query("similarity_matrix", """
+    with u as (select user_id, cast(substr(user_id, 2) as bigint) % 4 as c, pos, r from user_average),
+    s as (select c, pos, sum(r) as s from u group by all), n as (select c, count(distinct user_id) as n from u group by c),
+    d as (select a.c as x, b.c as y, sum(a.s * b.s) as d from s a join s b on a.pos = b.pos and a.c <= b.c group by all)
+    select cast(x as int) as cluster_x, cast(y as int) as cluster_y, round(case when x = y then (d - nx.n) / (nx.n * (nx.n - 1)) else d / (nx.n * ny.n) end, 6) as mean_similarity,
+           cast(case when x = y then nx.n * (nx.n - 1) / 2 else nx.n * ny.n end as bigint) as pairs
+    from d join n nx on nx.c = x join n ny on ny.c = y""")
+def similarity_matrix(t):
+    users = profiles.user_avg_embedding(t.interaction, profiles.first_embedding(t.item_index)).join(t.user_cluster, "user_id")
+    return similarity.cluster_similarity_matrix(users).withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+def nearest_ten(distances: DataFrame) -> DataFrame:
+    return top_n(distances, ["content_type", "cluster_id", "bin", "query_video_id"], [F.col("distance"), F.col("candidate_video_id")], 10)
+
+
+@query("nearest_10", "select content_type, cluster_id, bin, query_video_id, candidate_video_id, round(distance, 6) as distance, cast(rn as int) as rn from nearest_ten")
+def nearest_10(t):
+    rows = nearest_ten(tiers.tier_distances(products.tier_sample(t), profiles.avg_embedding(t.item_index), None))
+    return rows.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", F.round("distance", 6).alias("distance"), "rn")
+
+
+# baskets: a user's daily items, which recur often enough to support pairs
+@query("frequent_itemsets", """
+    with b as (select distinct user_id, date_trunc('day', ts) as d, item_id from watch_event),
+    n as (select count(*) as n from (select distinct user_id, d from b)),
+    one as (select item_id, count(*) as freq from b group by item_id),
+    two as (select x.item_id || ',' || y.item_id as items, count(*) as freq from b x join b y on x.user_id = y.user_id and x.d = y.d and x.item_id < y.item_id group by 1),
+    three as (select x.item_id || ',' || y.item_id || ',' || z.item_id as items, count(*) as freq from b x join b y on x.user_id = y.user_id and x.d = y.d and x.item_id < y.item_id
+              join b z on z.user_id = x.user_id and z.d = x.d and y.item_id < z.item_id group by 1)
+    select items, freq from (select item_id as items, freq from one union all select * from two union all select * from three), n where freq >= ceil(n.n * 0.002)""")
+def frequent_itemsets(t):
+    baskets = t.watch_event.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("item_id").alias("items"))
+    sets, _ = clustering.frequent_itemsets(baskets, 0.002, 0.1)
+    return sets.select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq").where(F.size(F.split("items", ",")) <= 3)
+
+
+@query("session_baskets", """
+    with n as (select *, row_number() over (partition by user_id, session_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id, session_id) as n from event_session),
+    k as (select *, case when (n + 4) // 5 > 1 and n - ((n + 4) // 5 - 1) * 5 < 2 then (n + 4) // 5 - 1 else (n + 4) // 5 end as k from n where n >= 2)
+    select user_id, session_id, least(pos // 5, k - 1) as batch_index, string_agg(item_id, ',' order by pos) as items from k group by all""")
+def session_baskets(t):
+    rows = sessions.session_baskets(sessions.sessionize(t.watch_event.drop("event")))
+    return rows.select("user_id", "session_id", "batch_index", F.array_join("items", ",").alias("items"))
+
+
