@@ -199,10 +199,7 @@ def region_examples(t):
     from tier_pair p left join tier_candidates c on c.content_type = p.content_type and c.cluster_id = p.cluster_id and c.bin = p.bin
     where flag_compare group by all""")
 def tier_flow_counts(t):
-    items = products.tier_item_rows(t)
-    pairs = materialize(tiers.tier_pairs(items))
-    found = tiers.tier_candidates(items, pairs, profiles.avg_embedding(t.item_index))
-    return summaries.tier_flow_counts(pairs, found)
+    return summaries.tier_flow_counts(products.tier_pair_rows(t), products.tier(t))
 
 
 @query("distance_profile", """
@@ -210,7 +207,7 @@ def tier_flow_counts(t):
            round(avg(distance), 6) as avg_distance, count(*) filter (where distance < 0.336) as matches_below_threshold, count(*) as total_candidates
     from tier_far group by all""")
 def distance_profile(t):
-    rows = tiers.tier_distances(products.tier_sample(t), profiles.avg_embedding(t.item_index), None)
+    rows = tiers.tier_distances(products.tier_plan(t), products.averages(t), None)
     out = summaries.distance_profile(rows)
     for c in ("min_distance", "max_distance", "avg_distance"):
         out = out.withColumn(c, F.round(c, 6))
@@ -229,7 +226,7 @@ sql_view("tier_query_row", """
     from tier_query_row left join (select distinct video_id, true as known from item_vector) using (video_id) group by all""")
 def embedding_coverage(t):
     items = products.tier_item_rows(t)
-    flows = tiers.tier_pairs(items).where("flag_compare").select("content_type", "cluster_id", "bin", "prev_bin")
+    flows = products.tier_pair_rows(t).where("flag_compare").select("content_type", "cluster_id", "bin", "prev_bin")
     queries = items.withColumnRenamed("bin", "prev_bin").join(flows, ["content_type", "cluster_id", "prev_bin"])
     return summaries.embedding_coverage(queries, profiles.keyed_vectors(t.item_index))
 
@@ -308,7 +305,7 @@ def candidate_overlap(t):
     union all select 'tier_pairs', count(*), count(*) > 0 from tier_pair""")
 def expect_non_empty(t):
     rows = products.split(t)
-    parts = {"split": rows, "tier_bins": tiers.tier_bins(products.watch_time(t)), "tier_pairs": tiers.tier_pairs(products.tier_item_rows(t))}
+    parts = {"split": rows, "tier_bins": tiers.tier_bins(products.watch_time(t)), "tier_pairs": products.tier_pair_rows(t)}
     return quality.row_report(parts)
 
 
@@ -359,10 +356,10 @@ sql_view("nearest_ten", """
 def neighbour_count_profile(t):
     from itemrec.catalog.clusters import nearest_ten
 
-    samples = materialize(products.tier_sample(t))
-    near = nearest_ten(tiers.tier_distances(samples, profiles.avg_embedding(t.item_index), None))
+    plan = products.tier_plan(t)
+    near = nearest_ten(tiers.tier_distances(plan, products.averages(t), None))
     keys = ["content_type", "cluster_id", "bin", "query_video_id"]
-    out = quality.neighbour_count_profile(near, samples.select(*keys), keys)
+    out = quality.neighbour_count_profile(near, plan.queries.select(*keys), keys)
     for c in ("min_distance", "max_distance", "mean_distance"):
         out = out.withColumn(c, F.round(c, 6))
     return out

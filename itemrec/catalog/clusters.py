@@ -102,7 +102,7 @@ def similarity_exact(t):
             from (select distinct query_video_id, candidate_video_id from tier_sampled where query_video_id <> candidate_video_id)
             join item_vector q on q.video_id = query_video_id join item_vector c on c.video_id = candidate_video_id)) where rn <= 200 group by all""")
 def similarity_topk(t):
-    return similarity.similarity_topk(products.tier_sample(t).select("query_video_id", "candidate_video_id"), products.item_vectors(t))
+    return similarity.similarity_topk(tiers.tier_samples(products.tier_plan(t)).select("query_video_id", "candidate_video_id"), products.item_vectors(t))
 
 
 # items of one vector each; hashing must find every pair at least this close, checked against all pairs
@@ -130,7 +130,7 @@ def nearest_ten(distances: DataFrame) -> DataFrame:
 
 @query("nearest_10", "select content_type, cluster_id, bin, query_video_id, candidate_video_id, round(distance, 6) as distance, cast(rn as int) as rn from nearest_ten")
 def nearest_10(t):
-    rows = nearest_ten(tiers.tier_distances(products.tier_sample(t), profiles.avg_embedding(t.item_index), None))
+    rows = nearest_ten(tiers.tier_distances(products.tier_plan(t), products.averages(t), None))
     return rows.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", F.round("distance", 6).alias("distance"), "rn")
 
 

@@ -119,9 +119,9 @@ sql_view("scored_pair", """
     from a left join r using (content_type, cluster_id) group by a.content_type, a.cluster_id
     having cast(any_value(n * (n - 1)) - coalesce(sum(pairs), 0) as bigint) > 0""")
 def self_pairs_within_cluster(t):
-    from itemrec.catalog.products import split
+    from itemrec.catalog.products import labelled
 
-    return iou.pair_score_profile(split(t))
+    return iou.pair_score_profile(labelled(t))
 
 
 @query("self_pairs_across_clusters", """
@@ -159,9 +159,9 @@ def unnest_join(t):
 @query("distance_theta_join", """
     select content_type, cluster_id, bin, query_video_id, candidate_video_id, round(distance, 6) as distance from tier_far where distance < 0.5""")
 def distance_theta_join(t):
-    from itemrec.catalog.products import tier_sample
+    from itemrec.catalog.products import averages, tier_plan
 
-    near = tiers.tier_distances(tier_sample(t), profiles.avg_embedding(t.item_index), 0.5)
+    near = tiers.tier_distances(tier_plan(t), averages(t), 0.5)
     return near.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", F.round("distance", 6).alias("distance"))
 
 

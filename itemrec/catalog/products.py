@@ -11,7 +11,6 @@ from itemrec.operators import iou as iou_ops
 from itemrec.operators import pools, tiers
 from itemrec.operators import split as split_ops
 from itemrec.plans import profiles, serve
-from itemrec.runtime import materialize
 from itemrec.sources.views import AS_OF, Tables
 
 CONTENT = "clean"
@@ -24,11 +23,14 @@ def split(t: Tables) -> DataFrame:
 
 
 def labelled(t: Tables) -> DataFrame:
-    return split(t).where("content_type is not null")
+    """Labelled interactions as a stored table, the input of every later stage."""
+    return t.stage("labelled", lambda: split(t).where("content_type is not null").select(
+        "content_type", "cluster_id", "user_id", "video_id", "mean_percentage_watched", "last_watched_timestamp"
+    ))
 
 
 def iou(t: Tables) -> DataFrame:
-    return iou_ops.iou_candidates(split(t))
+    return iou_ops.iou_candidates(labelled(t))
 
 
 def watch_time(t: Tables) -> DataFrame:
@@ -36,34 +38,52 @@ def watch_time(t: Tables) -> DataFrame:
 
 
 def tier_item_rows(t: Tables) -> DataFrame:
-    rows = labelled(t)
-    return materialize(tiers.tier_items(rows, tiers.ntile_tiers(tiers.user_watch_time(rows))))
+    return t.stage("tier_items", lambda: tiers.tier_items(labelled(t), tiers.ntile_tiers(watch_time(t))))
 
 
-def tier_sample(t: Tables) -> DataFrame:
-    items = tier_item_rows(t)
-    return tiers.tier_samples(items, tiers.tier_pairs(items), "tier")
+def tier_pair_rows(t: Tables) -> DataFrame:
+    return t.stage("tier_pairs", lambda: tiers.tier_pairs(tier_item_rows(t)))
+
+
+def tier_plan(t: Tables) -> tiers.SamplePlan:
+    return tiers.sample_plan(tier_item_rows(t), tier_pair_rows(t), "tier")
+
+
+def averages(t: Tables) -> DataFrame:
+    return t.stage("averages", lambda: profiles.avg_embedding(t.item_index))
 
 
 def tier(t: Tables) -> DataFrame:
-    items = tier_item_rows(t)
-    return tiers.tier_candidates(items, tiers.tier_pairs(items), profiles.avg_embedding(t.item_index))
+    return tiers.tier_candidates(tier_item_rows(t), tier_pair_rows(t), averages(t))
+
+
+def tier_table(t: Tables) -> DataFrame:
+    return t.stage("tier_candidates", lambda: tier(t))
+
+
+def iou_table(t: Tables) -> DataFrame:
+    return t.stage("iou_candidates", lambda: iou(t))
 
 
 def clean_rows(t: Tables) -> DataFrame:
-    return split(t).where(F.col("content_type") == CONTENT)
+    return labelled(t).where(F.col("content_type") == CONTENT)
 
 
 def profile_of(t: Tables) -> DataFrame:
-    rows = clean_rows(t)
-    bins = tiers.tier_bins(tiers.user_watch_time(rows, ["cluster_id"]), ["cluster_id"])
-    return serve.user_metadata(t.user_region, rows, bins)
+    def build() -> DataFrame:
+        rows = clean_rows(t)
+        bins = tiers.tier_bins(tiers.user_watch_time(rows, ["cluster_id"]), ["cluster_id"])
+        return serve.user_metadata(t.user_region, rows, bins)
+
+    return t.stage("profile", build)
 
 
 def queries_of(t: Tables) -> DataFrame:
-    queries = serve.query_items(serve.newest_history(clean_rows(t)))
-    profile = profile_of(t).where("cluster_id >= 0 and bin >= 0").select("user_id", "cluster_id", "bin")
-    return materialize(queries.join(profile, "user_id"))
+    def build() -> DataFrame:
+        profile = profile_of(t).where("cluster_id >= 0 and bin >= 0").select("user_id", "cluster_id", "bin")
+        return serve.query_items(serve.newest_history(clean_rows(t))).join(profile, "user_id")
+
+    return t.stage("queries", build)
 
 
 def region_rows(t: Tables) -> DataFrame:
@@ -85,16 +105,16 @@ def pools_of(t: Tables, tier_rows: DataFrame, iou_rows: DataFrame) -> DataFrame:
     worldwide = popular_rows(t).where(F.col("position") <= serve.POOL_SAMPLE).select("video_id").unionByName(
         untouched_rows(t).where(F.col("position") <= pools.UNTOUCHED_PICK).select("video_id")
     )
-    return materialize(serve.shared_pools(cluster, region_rows(t), worldwide))
+    return t.stage("pools", lambda: serve.shared_pools(cluster, region_rows(t), worldwide))
 
 
 def user_keys(t: Tables) -> DataFrame:
     served = profile_of(t).where("cluster_id >= 0 and bin >= 0").join(t.user_region, "user_id")
-    return materialize(serve.user_pool_keys(served))
+    return t.stage("user_keys", lambda: serve.user_pool_keys(served))
 
 
 def user_pool_rows(t: Tables) -> DataFrame:
-    pool = pools_of(t, materialize(tier(t)), materialize(iou(t)))
+    pool = pools_of(t, tier_table(t), iou_table(t))
     return user_keys(t).join(pool, "pool_key").select("user_id", "type_num", F.col("video_id").alias("candidate_video_id"))
 
 
@@ -106,8 +126,8 @@ class Served:
     """Every stage of serving once, for the queries below."""
 
     def __init__(self, t: Tables):
-        self.tier = materialize(tier(t).where(F.col("content_type") == CONTENT))
-        self.iou = materialize(iou(t).where(F.col("content_type") == CONTENT))
+        self.tier = tier_table(t).where(F.col("content_type") == CONTENT)
+        self.iou = iou_table(t).where(F.col("content_type") == CONTENT)
         self.queries = queries_of(t)
         self.keys = user_keys(t)
         self.pools = pools_of(t, self.tier, self.iou)
@@ -347,7 +367,7 @@ def iou_candidates(t):
     select content_type, cluster_id, bin, prev_cluster_id, prev_bin, flag_same_cluster, flag_same_bin, flag_compare, num_progression, num_cx, num_cy
     from tier_pair""")
 def tier_pairs(t):
-    return tiers.tier_pairs(tier_item_rows(t))
+    return tier_pair_rows(t)
 
 
 @query("tier_candidates", """
@@ -478,8 +498,8 @@ def attach_metadata(t):
 
 
 def catalogue_of(t: Tables) -> serve.Catalogue:
-    tier_rows = materialize(tier(t).where(F.col("content_type") == CONTENT))
-    iou_rows = materialize(iou(t).where(F.col("content_type") == CONTENT))
+    tier_rows = tier_table(t).where(F.col("content_type") == CONTENT)
+    iou_rows = iou_table(t).where(F.col("content_type") == CONTENT)
     rows = clean_rows(t)
     live = t.watch_event.where(rules.parse_event(F.col("event"))["video_id"].isNotNull()).select("user_id", F.col("item_id").alias("video_id")).distinct()
     return serve.Catalogue(

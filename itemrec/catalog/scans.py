@@ -112,7 +112,7 @@ sql_view("kv_rows", """
         select key, value, cast((row_number() over (partition by key order by value) - 1) // 100 as int) as page
         from (select distinct key, value from kv_rows)) group by key, page""")
 def export_kv_lists(t):
-    from itemrec.catalog.products import iou, tier
+    from itemrec.catalog.products import iou_table as iou, tier_table as tier
 
     lists = sinks.kv_lists(sinks.kv_union(tier(t), iou(t)), page_size=100)
     return lists.select("key", "page", F.array_join("items", ",").alias("items"))
@@ -120,7 +120,7 @@ def export_kv_lists(t):
 
 @query("export_kv_union", "select key, value from kv_rows")
 def export_kv_union(t):
-    from itemrec.catalog.products import iou, tier
+    from itemrec.catalog.products import iou_table as iou, tier_table as tier
 
     return sinks.kv_union(tier(t), iou(t))
 
@@ -132,7 +132,7 @@ sql_view("id_universe", """
 
 @query("export_id_universe", "select video_id from id_universe")
 def export_id_universe(t):
-    from itemrec.catalog.products import iou, tier
+    from itemrec.catalog.products import iou_table as iou, tier_table as tier
 
     return sinks.id_universe(tier(t), iou(t))
 
@@ -140,7 +140,7 @@ def export_id_universe(t):
 @query("export_embedding_batches", f"select * from ({AVG_SQL}) where video_id in (select video_id from id_universe)")
 def export_embedding_batches(t):
     """Written in files of at most 200 vectors and read back."""
-    from itemrec.catalog.products import iou, tier
+    from itemrec.catalog.products import iou_table as iou, tier_table as tier
 
     path = scratch(t.spark)
     sinks.embedding_batches(sinks.id_universe(tier(t), iou(t)), profiles.avg_embedding(t.item_index), 200, path)

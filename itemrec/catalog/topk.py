@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from itemrec import quality
 from itemrec.catalog import products
 from itemrec.catalog.registry import query, sql_view
+from itemrec.functions import rules
 from itemrec.operators import iou, pools, summaries, tiers
+from itemrec.operators import split as split_ops
 from itemrec.plans import serve
 from itemrec.runtime import materialize
 from itemrec.sources.views import AS_OF
@@ -31,7 +33,7 @@ def watch_history_order(t):
     join (select content_type, cluster_id, count(*) as kept from iou_candidates group by all) using (content_type, cluster_id)""")
 def iou_top5pct(t):
     """The cut itself and how many pairs it keeps."""
-    scores = iou.PairScores(products.split(t))
+    scores = iou.PairScores(products.labelled(t))
     limits = materialize(scores.thresholds())
     keys = ["content_type", "cluster_id"]
     pairs = scores.histogram().groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
@@ -124,7 +126,7 @@ def tier_progression_diff(t):
     select content_type, cluster_id, num as shared_users, count(*) as pairs from scored_pair group by all""")
 def user_list_intersect(t):
     """Sizes of shared finishing-user sets over all pairs that share any."""
-    return iou.PairScores(products.split(t)).directed().groupBy(
+    return iou.PairScores(products.labelled(t)).directed().groupBy(
         "content_type", "cluster_id", F.col("num").alias("shared_users")
     ).agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -162,13 +164,11 @@ def pool_concat(t):
 
 
 @query("result_diff_check", """
-    select 'left' as side, count(*) as num_rows from split_interaction where probability = 0.7
-    union all select 'right', count(*) from split_interaction where probability = 0.7""")
+    select side, count(*) as num_rows from interaction join item_nsfw using (video_id), (values ('left'), ('right')) s(side)
+    where probability = 0.7 group by side""")
 def result_diff_check(t):
     """Two labellings of the same rows that differ in one bound."""
-    from itemrec.functions import rules
-
-    rows = products.split(t)
-    left = rows.select("user_id", "video_id", "nsfw_label")
+    rows = split_ops.attach_probability(t.interaction, t.item_nsfw)
+    left = rows.select("user_id", "video_id", rules.nsfw_split_label(F.col("probability")).alias("nsfw_label"))
     right = rows.select("user_id", "video_id", rules.nsfw_region_label(F.col("probability")).alias("nsfw_label"))
     return quality.difference(left, right).groupBy("side").agg(F.count(F.lit(1)).alias("num_rows"))

@@ -46,7 +46,7 @@ def percent_rank_users(t):
         select *, percent_rank() over (partition by content_type, cluster_id, bin, query_video_id order by distance) as share from tier_far) where share <= 0.15""")
 def percent_rank_neighbours(t):
     """Sampled lists hold at most 200 rows per query, so a plain window is bounded."""
-    rows = tiers.tier_distances(products.tier_sample(t), profiles.avg_embedding(t.item_index), None)
+    rows = tiers.tier_distances(products.tier_plan(t), products.averages(t), None)
     w = Window.partitionBy("content_type", "cluster_id", "bin", "query_video_id").orderBy("distance")
     ranks = rows.withColumn("share", F.percent_rank().over(w)).where("share <= 0.15")
     return ranks.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", "share")
@@ -62,7 +62,7 @@ def lag_tier(t):
 @query("lag_source_bin", """
     select content_type, cluster_id, bin, source_bin, prev_bin, 'cluster_' || cluster_id || '->bin_' || coalesce(source_bin, 0) || '->bin_' || bin as comparison_flow from tier_source""")
 def lag_source_bin(t):
-    rows = tiers.with_source_bin(tiers.tier_pairs(products.tier_item_rows(t)))
+    rows = tiers.with_source_bin(products.tier_pair_rows(t))
     return rows.select("content_type", "cluster_id", "bin", "source_bin", "prev_bin", "comparison_flow")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,46 +132,87 @@ def with_source_bin(pairs: DataFrame) -> DataFrame:
     )
 
 
-def tier_samples(items: DataFrame, pairs: DataFrame, seed: str, queries: int = 300, targets: int = 200) -> DataFrame:
+@dataclass
+class SamplePlan:
+    """Chosen query items with their random start, and the shuffled targets with their place ``rn``."""
+
+    queries: DataFrame  # content_type, cluster_id, bin, comparison_flow, query_video_id, start, n
+    targets: DataFrame  # content_type, cluster_id, bin, rn, candidate_video_id
+    per_query: int
+
+
+FLOW = ["content_type", "cluster_id", "bin"]
+
+
+def sample_plan(items: DataFrame, pairs: DataFrame, seed: str, queries: int = 300, targets: int = 200) -> SamplePlan:
     """Up to ``queries`` random items of the lower tier, each with up to ``targets`` random items of the upper.
 
     The upper tier is shuffled once; every query takes consecutive places from its own random
     start. Work is queries x targets however long the lists are.
     """
-    flows = broadcast_checked(with_source_bin(pairs).select("content_type", "cluster_id", "bin", "prev_bin", "comparison_flow"))
+    flows = broadcast_checked(with_source_bin(pairs).select(*FLOW, "prev_bin", "comparison_flow", F.col("num_cy").alias("n")))
     lower = items.withColumnRenamed("bin", "prev_bin").join(flows, ["content_type", "cluster_id", "prev_bin"])
-    chosen = top_n(
-        lower, ["content_type", "cluster_id", "bin"], [ids.hash_order(seed + "q", F.col("video_id")), F.col("video_id")], queries
-    ).select("content_type", "cluster_id", "bin", "comparison_flow", F.col("video_id").alias("query_video_id"))
-    upper = items.join(flows.select("content_type", "cluster_id", "bin"), ["content_type", "cluster_id", "bin"])
-    shuffled = ranked(
-        upper.withColumn("_h", ids.hash_order(seed + "t", F.col("video_id"))),
-        ["content_type", "cluster_id", "bin"], [F.col("_h"), F.col("video_id")],
-    ).withColumnRenamed("video_id", "candidate_video_id").drop("_h")
-    sizes = broadcast_checked(shuffled.groupBy("content_type", "cluster_id", "bin").agg(F.max("group_n").alias("n")))
-    placed = chosen.join(sizes, ["content_type", "cluster_id", "bin"]).withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(targets), F.col("n")).cast("int") - 1))
-    ).withColumn("rn", (ids.hash_number(seed + "s", F.col("query_video_id")) + F.col("slot")) % F.col("n") + 1)
-    return placed.join(shuffled.drop("group_n"), ["content_type", "cluster_id", "bin", "rn"]).drop("rn", "slot", "n")
-
-
-def tier_distances(samples: DataFrame, embeddings: DataFrame, limit: float | None = 0.336) -> DataFrame:
-    """Cosine distance of each sampled pair; unit vectors make it one dot product."""
-    unit = embeddings.select(F.col("video_id"), vectors.l2_normalise(F.col("avg_embedding")).alias("unit"))
-    q = unit.select(F.col("video_id").alias("query_video_id"), F.col("unit").alias("qv"))
-    c = unit.select(F.col("video_id").alias("candidate_video_id"), F.col("unit").alias("cv"))
-    found = (
-        samples.where(F.col("query_video_id") != F.col("candidate_video_id"))
-        .join(q, "query_video_id").join(c, "candidate_video_id")
-        .withColumn("distance", F.round(1 - vectors.dot(F.col("qv"), F.col("cv")), 9))
-        .drop("qv", "cv")
+    chosen = top_n(lower, FLOW, [ids.hash_order(seed + "q", F.col("video_id")), F.col("video_id")], queries)
+    start = ids.hash_number(seed + "s", F.col("video_id")) % F.col("n")
+    upper = items.join(flows.select(*FLOW), FLOW).withColumn("_h", ids.hash_order(seed + "t", F.col("video_id")))
+    shuffled = ranked(upper, FLOW, [F.col("_h"), F.col("video_id")])
+    return SamplePlan(
+        chosen.select(*FLOW, "comparison_flow", F.col("video_id").alias("query_video_id"), start.alias("start"), "n"),
+        shuffled.select(*FLOW, "rn", F.col("video_id").alias("candidate_video_id")),
+        targets,
+    )
+
+
+def tier_samples(plan: SamplePlan) -> DataFrame:
+    """The sampled (query, candidate) pairs."""
+    slots = F.sequence(F.lit(0), F.least(F.lit(plan.per_query), F.col("n")).cast("int") - 1)
+    placed = plan.queries.withColumn("slot", F.explode(slots)).withColumn("rn", (F.col("start") + F.col("slot")) % F.col("n") + 1)
+    return placed.join(plan.targets, [*FLOW, "rn"]).drop("rn", "slot", "n", "start")
+
+
+def tier_distances(plan: SamplePlan, embeddings: DataFrame, limit: float | None = 0.336, chunk: int = 1000) -> DataFrame:
+    """Cosine distance of each sampled pair, those under ``limit`` only.
+
+    Vectors move once per item, not once per pair: targets are cut into runs of ``chunk``
+    places, a query goes to the one or two runs its places fall in, and a task multiplies both.
+    """
+    per_query = plan.per_query
+    unit = embeddings.select("video_id", vectors.l2_normalise(F.col("avg_embedding")).alias("unit"))
+    slots = F.sequence(F.lit(0), F.least(F.lit(per_query), F.col("n")).cast("int") - 1)
+    runs = F.array_distinct(F.transform(slots, lambda s: F.floor((F.col("start") + s) % F.col("n") / chunk)))
+    q = plan.queries.withColumn("run", F.explode(runs)).join(
+        unit.select(F.col("video_id").alias("query_video_id"), "unit"), "query_video_id"
+    )
+    t = (
+        plan.targets.withColumn("run", F.floor((F.col("rn") - 1) / chunk))
+        .join(q.select(*FLOW, "run").distinct(), [*FLOW, "run"], "left_semi")
+        .join(unit.select(F.col("video_id").alias("candidate_video_id"), "unit"), "candidate_video_id")
+    )
+    bound = float("inf") if limit is None else limit
+
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [*FLOW, "query_video_id", "comparison_flow", "candidate_video_id", "distance"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        gap = np.round(1.0 - np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T, 9)
+        place = (right["rn"].to_numpy()[None, :] - 1 - left["start"].to_numpy()[:, None]) % left["n"].to_numpy()[:, None]
+        apart = left["query_video_id"].to_numpy()[:, None] != right["candidate_video_id"].to_numpy()[None, :]
+        rows, cols = np.nonzero((place < per_query) & apart & (gap < bound))
+        found = left[[*FLOW, "query_video_id", "comparison_flow"]].iloc[rows].reset_index(drop=True)
+        found["candidate_video_id"] = right["candidate_video_id"].to_numpy()[cols]
+        found["distance"] = gap[rows, cols]
+        return found[names]
+
+    keys = [*FLOW, "run"]
+    t = t.select(*[F.col(c).alias(c) for c in t.columns])  # both sides stem from one table
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(
+        measure, "content_type string, cluster_id int, bin int, query_video_id string, comparison_flow string, candidate_video_id string, distance double"
     )
-    return found if limit is None else found.where(F.col("distance") < limit)
 
 
 def tier_candidates(items: DataFrame, pairs: DataFrame, embeddings: DataFrame, seed: str = "tier",
                     limit: float = 0.336, top_share: float = 0.15, keep: int = 30) -> DataFrame:
-    near = tier_distances(tier_samples(items, pairs, seed), embeddings, limit)
+    near = tier_distances(sample_plan(items, pairs, seed), embeddings, limit)
     query = ["content_type", "cluster_id", "bin", "query_video_id"]
     ordered = Window.partitionBy(*query).orderBy("distance")
     best = near.withColumn("share", F.percent_rank().over(ordered)).where(F.col("share") <= top_share)

@@ -68,6 +68,6 @@ def report_count_profile(reported: DataFrame) -> DataFrame:
     counts = reported.groupBy("user_id").agg(F.countDistinct("video_id").alias("n"))
     histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("users"))
     tenths = F.array(*[F.lit(i / 10) for i in range(11)])
-    return histogram.agg(F.percentile("n", tenths, "users").alias("p")).select(F.posexplode("p").alias("decile", "items"))
+    return histogram.agg(F.percentile("n", tenths, F.col("users")).alias("p")).select(F.posexplode("p").alias("decile", "items"))
 
 

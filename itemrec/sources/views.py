@@ -7,9 +7,12 @@ comparison start from the same rows. ``{name}`` marks a table or another view.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from itemrec.runtime import materialize
+
 BASE_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "embeddings")
 
 AS_OF = "2001-11-05 00:00:00"
@@ -126,6 +129,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.stages: dict[str, DataFrame] = {}
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table several steps of one run read: computed and stored once."""
+        if name not in self.stages:
+            self.stages[name] = materialize(build())
+        return self.stages[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
