@@ -105,11 +105,11 @@ def similarity_topk(t):
     return similarity.similarity_topk(tiers.tier_samples(products.tier_plan(t)).select("query_video_id", "candidate_video_id"), products.item_vectors(t))
 
 
-# items of one vector each; hashing must find every pair at least this close, checked against all pairs
+# no SQL: hashing may miss pairs; a test checks what it finds against all pairs
 @query("similarity_ann")
 def similarity_ann(t):
     rows = t.embeddings.select(F.col("vec_id").cast("string").alias("video_id"), "embedding")
-    return similarity.similarity_ann(rows, rows, distance=0.6)
+    return similarity.similarity_ann(rows, rows, distance=1.1)
 
 
 @query("similarity_matrix", """
@@ -134,25 +134,29 @@ def nearest_10(t):
     return rows.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", F.round("distance", 6).alias("distance"), "rn")
 
 
-# baskets: a user's daily items, which recur often enough to support pairs
+sql_view("session_basket", """
+    with n as (select *, row_number() over (partition by user_id, session_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id, session_id) as n from event_session)
+    select user_id, session_id, item_id, pos, least(pos // 5, case when (n + 4) // 5 > 1 and n - ((n + 4) // 5 - 1) * 5 < 2 then (n + 4) // 5 - 2 else (n + 4) // 5 - 1 end) as batch_index
+    from n where n >= 2""")
+
+
 @query("frequent_itemsets", """
-    with b as (select distinct user_id, date_trunc('day', ts) as d, item_id from watch_event),
-    n as (select count(*) as n from (select distinct user_id, d from b)),
-    one as (select item_id, count(*) as freq from b group by item_id),
-    two as (select x.item_id || ',' || y.item_id as items, count(*) as freq from b x join b y on x.user_id = y.user_id and x.d = y.d and x.item_id < y.item_id group by 1),
-    three as (select x.item_id || ',' || y.item_id || ',' || z.item_id as items, count(*) as freq from b x join b y on x.user_id = y.user_id and x.d = y.d and x.item_id < y.item_id
-              join b z on z.user_id = x.user_id and z.d = x.d and y.item_id < z.item_id group by 1)
-    select items, freq from (select item_id as items, freq from one union all select * from two union all select * from three), n where freq >= ceil(n.n * 0.002)""")
+    with b as (select distinct user_id || '/' || session_id || '/' || batch_index as k, item_id from session_basket),
+    n as (select count(distinct k) as n from b),
+    one as (select item_id as items, count(*) as freq from b group by item_id),
+    two as (select x.item_id || ',' || y.item_id as items, count(*) as freq from b x join b y on x.k = y.k and x.item_id < y.item_id group by 1),
+    three as (select x.item_id || ',' || y.item_id || ',' || z.item_id as items, count(*) as freq from b x join b y on x.k = y.k and x.item_id < y.item_id
+              join b z on z.k = x.k and y.item_id < z.item_id group by 1)
+    select items, freq from (select * from one union all select * from two union all select * from three), n where freq >= ceil(n.n * 0.02)""")
 def frequent_itemsets(t):
-    baskets = t.watch_event.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("item_id").alias("items"))
-    sets, _ = clustering.frequent_itemsets(baskets, 0.002, 0.1)
-    return sets.select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq").where(F.size(F.split("items", ",")) <= 3)
+    """Baskets hold at most six consecutive items of a session."""
+    baskets = sessions.session_baskets(sessions.sessionize(t.watch_event.drop("event")))
+    sets, _ = clustering.frequent_itemsets(baskets, 0.02, 0.1)
+    return sets.where(F.size("items") <= 3).select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
 
 
 @query("session_baskets", """
-    with n as (select *, row_number() over (partition by user_id, session_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id, session_id) as n from event_session),
-    k as (select *, case when (n + 4) // 5 > 1 and n - ((n + 4) // 5 - 1) * 5 < 2 then (n + 4) // 5 - 1 else (n + 4) // 5 end as k from n where n >= 2)
-    select user_id, session_id, least(pos // 5, k - 1) as batch_index, string_agg(item_id, ',' order by pos) as items from k group by all""")
+    select user_id, session_id, batch_index, string_agg(item_id, ',' order by pos) as items from session_basket group by all""")
 def session_baskets(t):
     rows = sessions.session_baskets(sessions.sessionize(t.watch_event.drop("event")))
     return rows.select("user_id", "session_id", "batch_index", F.array_join("items", ",").alias("items"))

@@ -169,11 +169,11 @@ def distance_theta_join(t):
     select q.user_id, query_video_id, type_num, count(*) as candidates, min(video_id) as first_id
     from query_item q join user_pool using (user_id) group by all""")
 def expand_pool_to_queries(t):
-    from itemrec.catalog.products import queries_of, user_pool_rows
+    from itemrec.catalog.products import iou_table, pools_of, queries_of, tier_table, user_keys
 
-    rows = serve.expand_pool_to_queries(user_pool_rows(t), queries_of(t))
-    return rows.groupBy("user_id", "query_video_id", "type_num").agg(
-        F.count(F.lit(1)).alias("candidates"), F.min("candidate_video_id").alias("first_id")
+    rows = serve.expand_pool_to_queries(pools_of(t, tier_table(t), iou_table(t)), user_keys(t), queries_of(t))
+    return rows.select(
+        "user_id", "query_video_id", "type_num", F.size("candidates").cast("bigint").alias("candidates"), F.array_min("candidates").alias("first_id")
     )
 
 

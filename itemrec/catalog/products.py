@@ -113,11 +113,6 @@ def user_keys(t: Tables) -> DataFrame:
     return t.stage("user_keys", lambda: serve.user_pool_keys(served))
 
 
-def user_pool_rows(t: Tables) -> DataFrame:
-    pool = pools_of(t, tier_table(t), iou_table(t))
-    return user_keys(t).join(pool, "pool_key").select("user_id", "type_num", F.col("video_id").alias("candidate_video_id"))
-
-
 def item_vectors(t: Tables) -> DataFrame:
     return profiles.keyed_vectors(t.item_index).select("video_id", "embedding")
 

@@ -10,6 +10,7 @@ from itemrec.catalog.registry import query, sql_view
 from itemrec.functions import rules
 from itemrec.operators import iou, pools, summaries, tiers
 from itemrec.operators import split as split_ops
+from itemrec.operators.ranking import ranked
 from itemrec.plans import serve
 from itemrec.runtime import materialize
 from itemrec.sources.views import AS_OF
@@ -24,7 +25,9 @@ def watch_history_order(t):
     key = F.conv(F.substring("video_id", 1, 4), 16, 10).cast("bigint")
     text = F.when(key % 7 == 0, "not a time").when(key % 11 != 0, F.date_format("last_watched_timestamp", "yyyy-MM-dd HH:mm:ss"))
     rows = products.clean_rows(t).withColumn("last_watched_timestamp", text)
-    return serve.query_items(rows).select("user_id", F.col("query_video_id").alias("video_id"), F.col("pos").cast("bigint").alias("pos"))
+    wanted = serve.filter_watch_range(rows).withColumn("t", serve.watch_time_of(F.col("last_watched_timestamp")))
+    placed = ranked(wanted.select("user_id", "video_id", "t"), ["user_id"], [F.col("t").desc(), F.col("video_id")])
+    return placed.select("user_id", "video_id", (F.col("rn") - 1).alias("pos"))
 
 
 @query("iou_top5pct", """

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from itemrec.functions import ids, rules, vectors
 from itemrec.operators.ranking import paged_lists, top_n
-from itemrec.runtime import broadcast_checked
 
 # Profile sizes.
 MAX_RECENT = 100
@@ -162,11 +161,10 @@ def time_bin(stamp: Column, low: Column, high: Column, bins: int = TIME_BINS) ->
 
 def temporal_counts(interactions: DataFrame, bins: int = TIME_BINS) -> DataFrame:
     """(user, cluster, time bin, n) between the table's own first and last time."""
-    limits = broadcast_checked(timestamp_bounds(interactions))
-    placed = (
-        interactions.where(F.col("cluster_label").isNotNull())
-        .join(limits, F.col("last_watched_timestamp").between(F.col("min_timestamp"), F.col("max_timestamp")))
-        .withColumn("time_bin", time_bin(F.col("last_watched_timestamp"), F.col("min_timestamp"), F.col("max_timestamp"), bins))
+    limits = timestamp_bounds(interactions)
+    low, high = limits.select("min_timestamp").scalar(), limits.select("max_timestamp").scalar()
+    placed = interactions.where(F.col("cluster_label").isNotNull()).withColumn(
+        "time_bin", time_bin(F.col("last_watched_timestamp"), low, high, bins)
     )
     return placed.groupBy("user_id", "cluster_label", "time_bin").agg(F.count(F.lit(1)).alias("n"))
 

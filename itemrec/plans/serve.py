@@ -132,11 +132,18 @@ def fetch_all_candidates(queries: DataFrame, keys: DataFrame, tier: DataFrame, i
     return personal_candidates(queries, tier, iou).unionByName(shared)
 
 
-def expand_pool_to_queries(pool_rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every pool row of a user beside each of the user's (at most 100) query items."""
-    return pool_rows.select("user_id", "type_num", "candidate_video_id").join(
-        queries.select("user_id", "query_video_id"), "user_id"
-    )
+def pool_lists(pools: DataFrame) -> DataFrame:
+    """Each shared pool as one list per kind; pools are sampled, so lists have a fixed bound."""
+    return pools.groupBy("pool_key", "type_num").agg(F.array_sort(F.collect_list("video_id")).alias("candidates"))
+
+
+def expand_pool_to_queries(pools: DataFrame, keys: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every pool list of a user beside each of the user's (at most 100) query items.
+
+    The list is attached whole, so rows grow with queries and kinds, not with pool entries.
+    """
+    asked = queries.select("user_id", "query_video_id").join(keys, "user_id")
+    return asked.join(pool_lists(pools), "pool_key").select("user_id", "query_video_id", "type_num", "candidates")
 
 
 # ---- scoring ---------------------------------------------------------------------------------
