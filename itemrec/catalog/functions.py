@@ -232,11 +232,12 @@ def fn_temporal_mean(t):
 
 
 @query("fn_temporal_concat", """
-    select user_id, cast(cluster_label * 16 + i as int) as pos,
-           round(r / sqrt(sum(r * r) over (partition by user_id)), 6) + 0.0 as value from rope_cluster""")
+    with g as (select user_id, c, i from (select distinct user_id from rope_cluster), range(10) x(c), range(16) y(i)),
+    d as (select g.user_id, c * 16 + g.i as pos, coalesce(r, 0.0::double) as r from g left join rope_cluster k on k.user_id = g.user_id and cluster_label = c and k.i = g.i)
+    select user_id, cast(pos as int) as pos, round(r / sqrt(sum(r * r) over (partition by user_id)), 6) + 0.0 as value from d""")
 def fn_temporal_concat(t):
     rope = profiles.rope_by_cluster(profiles.temporal_counts(t.user_item_cluster))
-    return elements(profiles.temporal_concat(rope), "user_id", "temporal").where("value <> 0")
+    return elements(profiles.temporal_concat(rope), "user_id", "temporal")
 
 
 # ---- arrays and building blocks -----------------------------------------------------------------
