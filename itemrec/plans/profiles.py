@@ -161,8 +161,8 @@ def time_bin(stamp: Column, low: Column, high: Column, bins: int = TIME_BINS) ->
 
 def temporal_counts(interactions: DataFrame, bins: int = TIME_BINS) -> DataFrame:
     """(user, cluster, time bin, n) between the table's own first and last time."""
-    limits = timestamp_bounds(interactions)
-    low, high = limits.select("min_timestamp").scalar(), limits.select("max_timestamp").scalar()
+    limits = timestamp_bounds(interactions).select(F.struct("min_timestamp", "max_timestamp")).scalar()
+    low, high = limits["min_timestamp"], limits["max_timestamp"]
     placed = interactions.where(F.col("cluster_label").isNotNull()).withColumn(
         "time_bin", time_bin(F.col("last_watched_timestamp"), low, high, bins)
     )
