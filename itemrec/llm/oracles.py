@@ -72,3 +72,55 @@ select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
 from d left join words_hit using (r) left join items using (r)
 """
+
+HISTOGRAM_SORT = r"""
+with crc as (
+    select list_transform(range(256), lambda n: list_reduce(list_concat([cast(n as bigint)], list_transform(range(8), lambda k: cast(k as bigint))),
+           lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text, strlen(coalesce(text, '')) + 16 as size, md5(coalesce(text, '')) as m from documents),
+k as (
+    select *, cast('0x' || m[1:15] as bigint) as k1, cast('0x' || m[16:30] as bigint) as k2 from d),
+n as (
+    select *, sum(size) over () as total,
+           coalesce(sum(size) over (order by k1, doc_id nulls first, k2, r rows between unbounded preceding and 1 preceding), 0) as before from k),
+s as (
+    select *, cast(before * 40 // total as integer) as shard from n)
+select doc_id, cast(size as bigint) as size,
+       xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(range(strlen(text)), lambda i: cast('0x' || hex(encode(text))[2 * i + 1:2 * i + 2] as bigint))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
+       'bytes' as law, shard, row_number() over (partition by shard order by k1, doc_id nulls first, k2, r) - 1 as slot, cast(null as integer) as grown_shard
+from s, crc
+"""
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
+CHAT_WINDOWS = rf"""
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+n as (
+    select *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 as tokens,
+           row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+           length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 8 as chars from t),
+p as (
+    select *, coalesce(max(case when n = 1 and role = 'system' then tokens end) over (partition by conv_id), 0) as sys,
+           coalesce(max(case when n = 1 and role = 'system' then chars end) over (partition by conv_id), 0) as sys_chars,
+           sum(tokens) over (partition by conv_id order by n) as upto from n),
+c as (
+    select *, upto - sys as stop, upto - sys - tokens as start, greatest(1, 768 - sys) as step, n = 1 and sys > 0 as head from p),
+w as (
+    select *, 2 * (start // step) + case when (stop - 1) // step > start // step then 1 else 0 end as win from c where not head),
+opened as (select conv_id, win, min(start) as opens from w group by all),
+repeated as (
+    select w.conv_id, sum(chars) as chars from w join opened o on w.conv_id is not distinct from o.conv_id
+    where w.tokens <= 256 and w.stop <= o.opens and o.opens <= w.start + 256 group by all),
+heads as (
+    select c.conv_id, max(sys_chars) * greatest(1, (select count(*) from opened o where o.conv_id is not distinct from c.conv_id)) as chars from c where head group by c.conv_id)
+select c.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(coalesce(sum(chars) filter (where not head), 0)
+            + coalesce((select chars from repeated r where r.conv_id is not distinct from c.conv_id), 0)
+            + coalesce((select chars from heads h where h.conv_id is not distinct from c.conv_id), 0) as bigint) as formatted_chars
+from c group by c.conv_id
+"""

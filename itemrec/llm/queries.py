@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemrec.llm import bpe, decontam, line_dedup, line_frequency, oracles, simhash
+from itemrec.llm import bpe, chat, decontam, line_dedup, line_frequency, oracles, sharding, simhash
 from itemrec.llm.common import read
 from itemrec.runtime import prepare
 
@@ -26,6 +26,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+SHARDS = 40
+
+
+@query("op1_histogram_sort", oracles.HISTOGRAM_SORT)
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(read(spark, sf_dir, "documents"), SHARDS)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return found.select(
+        "doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+#: A conversation whose texts hold the marks of a template, beside those of the table.
+MARKED = "select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
+
+
+@query("op4_chat_windows", oracles.CHAT_WINDOWS)
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(MARKED))
+    return chat.read_back(chat.windows(turns))
+
+
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
