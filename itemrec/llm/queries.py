@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemrec.llm import bpe, chat, decontam, line_dedup, line_frequency, oracles, sharding, simhash
-from itemrec.llm.common import read
+from itemrec.llm import bpe, chat, class_lm, decontam, langid, line_dedup, line_frequency, oracles, quality, sharding, simhash
+from itemrec.llm.common import id_bucket, read
 from itemrec.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,26 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_class_ngrams")
+def op2_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 5) == 1
+    model, cold = class_lm.fit(docs, ~held_out)
+    found = class_lm.score(docs, model, cold)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
+@query("op3_neighbour_votes")
+def op3_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    found = quality.predict(docs, model, "text", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 #: A conversation whose texts hold the marks of a template, beside those of the table.
 MARKED = "select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
 
@@ -60,6 +80,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op7_naive_bayes")
+def op7_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    found = langid.predict(docs, langid.fit(docs, learn=~held_out), "text", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_decontamination", oracles.DECONTAMINATION)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.mark(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
