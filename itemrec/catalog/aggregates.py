@@ -88,9 +88,8 @@ sql_view("cluster_count", "select user_id, cluster_label, count(*) as n from use
 sql_view("cluster_share", """
     select user_id, c as pos, coalesce(n, 0) / sqrt(sum(coalesce(n, 0) * coalesce(n, 0)) over (partition by user_id)) as r,
            coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by user_id) as share
-    from (select distinct user_id from cluster_count), range(10) x(c) left join (select user_id as u, cluster_label as l, n from cluster_count) on u = user_id and l = c""".replace(
-    "from (select distinct user_id from cluster_count), range(10) x(c) left join",
-    "from (select user_id, c from (select distinct user_id from cluster_count), range(10) x(c)) g left join"))
+    from (select user_id, c from (select distinct user_id from cluster_count), range(10) x(c)) g
+    left join (select user_id as u, cluster_label as l, n from cluster_count) on u = user_id and l = c""")
 
 
 @query("cluster_distribution", "select user_id, cast(pos as int) as pos, round(r, 6) + 0.0 as value from cluster_share")
@@ -263,14 +262,14 @@ def cluster_fallback_pool(t):
     return pools.cluster_fallback_pool(products.tier(t), products.iou(t))
 
 
-@query("reported_items", "select user_id, video_id from reported_pair")
+@query("reported_items", "select user_id, video_id from (select *, row_number() over (partition by user_id order by video_id) as rn from reported_pair) where rn <= 2")
 def reported_items(t):
-    return pools.reported_items(t.reports)
+    return pools.reported_items(t.reports, 2)
 
 
-@query("user_history", "select user_id, video_id from watched_pair")
+@query("user_history", "select user_id, video_id from (select *, row_number() over (partition by user_id order by video_id) as rn from watched_pair) where rn <= 2")
 def user_history(t):
-    return pools.user_history(t.interaction, AS_OF)
+    return pools.user_history(t.interaction, AS_OF, size=2)
 
 
 @query("region_scores", "select region, video_id, max(score) as score from region_candidate where nsfw_label is not null group by all")
@@ -281,13 +280,13 @@ def region_scores(t):
 
 
 @query("build_user_profiles", """
-    select user_id, m.cluster_id, m.bin as watch_time_quantile_bin_id, count(*) as items, string_agg(video_id, ',' order by rn) as history
+    select content_type, user_id, m.cluster_id, m.bin as watch_time_quantile_bin_id, count(*) as items, string_agg(video_id, ',' order by rn) as history
     from (select user_id, video_id, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as rn from interaction)
     join user_meta m using (user_id) where rn <= 100 group by all""")
 def build_user_profiles(t):
-    rows = summaries.user_profiles(t.interaction, products.profile_of(t))
+    rows = products.of_both(lambda c: summaries.user_profiles(t.interaction, products.profile_of(t, c)))
     history = F.array_join("watch_history.video_id", ",").alias("history")
-    return rows.select("user_id", "cluster_id", "watch_time_quantile_bin_id", F.size("watch_history").cast("bigint").alias("items"), history)
+    return rows.select("content_type", "user_id", "cluster_id", "watch_time_quantile_bin_id", F.size("watch_history").cast("bigint").alias("items"), history)
 
 
 @query("candidate_overlap", """
@@ -312,7 +311,7 @@ def expect_non_empty(t):
 @query("expect_keys_in_source", "select user_id, video_id, 'right' as side from watched_pair where user_id < 'u2'")
 def expect_keys_in_source(t):
     """A stored history that lost part of its users is told apart from its source."""
-    source = pools.user_history(t.interaction, AS_OF)
+    source = pools.watched_items(t.interaction, AS_OF)
     stored = materialize(source.where("user_id >= 'u2'"))
     return quality.difference(stored, source)
 
@@ -367,9 +366,7 @@ def neighbour_count_profile(t):
 
 @query("report_count_profile", """
     with c as (select user_id, count(distinct video_id) as n from reported_pair group by user_id)
-    select cast(i as int) as decile, round(quantile_cont(n, i / 10.0), 6) as items from c, range(11) r(i) group by i""".replace(
-    "select cast(i as int) as decile, round(quantile_cont(n, i / 10.0), 6) as items from c, range(11) r(i) group by i",
-    """select cast(generate_subscripts(q, 1) - 1 as int) as decile, round(unnest(q), 6)::double as items
-    from (select quantile_cont(n::double, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) as q from c)"""))
+    select cast(generate_subscripts(q, 1) - 1 as int) as decile, round(unnest(q), 6)::double as items
+    from (select quantile_cont(n::double, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) as q from c)""")
 def report_count_profile(t):
-    return quality.report_count_profile(pools.reported_items(t.reports)).withColumn("items", F.round("items", 6))
+    return quality.report_count_profile(pools.all_reported(t.reports)).withColumn("items", F.round("items", 6))

@@ -13,6 +13,7 @@ from itemrec.functions import vectors
 from itemrec.operators import clustering, sessions, similarity, tiers
 from itemrec.operators.ranking import top_n
 from itemrec.plans import profiles
+from itemrec.sources.views import Tables
 
 
 @query("standardise_vectors", """
@@ -140,19 +141,41 @@ sql_view("session_basket", """
     from n where n >= 2""")
 
 
+MIN_SUPPORT, MIN_CONFIDENCE = 0.0005, 0.02
+
+sql_view("basket_item", "select distinct user_id || '/' || session_id || '/' || batch_index as k, item_id from session_basket")
+sql_view("item_set", f"""
+    with recursive grown as (
+        select k, [item_id] as items from basket_item
+        union all select g.k, list_append(g.items, b.item_id) from grown g join basket_item b on b.k = g.k and b.item_id > g.items[len(g.items)])
+    select items, count(*) as freq from grown group by items having count(*) >= ceil((select count(distinct k) from basket_item) * {MIN_SUPPORT})""")
+
+
+def baskets_of(t: Tables) -> DataFrame:
+    return sessions.session_baskets(sessions.sessionize(t.watch_event.drop("event")))
+
+
 @query("frequent_itemsets", """
-    with b as (select distinct user_id || '/' || session_id || '/' || batch_index as k, item_id from session_basket),
-    n as (select count(distinct k) as n from b),
-    one as (select item_id as items, count(*) as freq from b group by item_id),
-    two as (select x.item_id || ',' || y.item_id as items, count(*) as freq from b x join b y on x.k = y.k and x.item_id < y.item_id group by 1),
-    three as (select x.item_id || ',' || y.item_id || ',' || z.item_id as items, count(*) as freq from b x join b y on x.k = y.k and x.item_id < y.item_id
-              join b z on z.k = x.k and y.item_id < z.item_id group by 1)
-    select items, freq from (select * from one union all select * from two union all select * from three), n where freq >= ceil(n.n * 0.02)""")
+    select array_to_string(items, ',') as items, freq from item_set""")
 def frequent_itemsets(t):
     """Baskets hold at most six consecutive items of a session."""
-    baskets = sessions.session_baskets(sessions.sessionize(t.watch_event.drop("event")))
-    sets, _ = clustering.frequent_itemsets(baskets, 0.02, 0.1)
-    return sets.where(F.size("items") <= 3).select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+    sets, _ = clustering.frequent_itemsets(baskets_of(t), MIN_SUPPORT, MIN_CONFIDENCE)
+    return sets.select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+
+
+@query("association_rules", f"""
+    select array_to_string(a.items, ',') as antecedent, list_filter(s.items, lambda x: not list_contains(a.items, x))[1] as consequent,
+           round(s.freq / a.freq, 9) as confidence, round(s.freq / a.freq / (c.freq / n.n), 9) as lift, round(s.freq / n.n, 9) as support
+    from item_set s join item_set a on len(a.items) = len(s.items) - 1 and list_has_all(s.items, a.items)
+    join item_set c on len(c.items) = 1 and c.items[1] = list_filter(s.items, lambda x: not list_contains(a.items, x))[1]
+    join (select count(distinct k) as n from basket_item) n on true
+    where len(s.items) > 1 and s.freq / a.freq >= {MIN_CONFIDENCE}""")
+def association_rules(t):
+    _, rules = clustering.frequent_itemsets(baskets_of(t), MIN_SUPPORT, MIN_CONFIDENCE)
+    return rules.select(
+        F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.col("consequent")[0].alias("consequent"),
+        *[F.round(c, 9).alias(c) for c in ("confidence", "lift", "support")],
+    )
 
 
 @query("session_baskets", """

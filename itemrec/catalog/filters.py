@@ -19,9 +19,8 @@ def filter_min_watch(t):
 
 
 @query("filter_min_items_per_user", """
-    select user_id, video_id from watch_event_items
-    where user_id in (select user_id from watch_event_items group by user_id having count(*) >= 60)""".replace(
-        "watch_event_items", "(select user_id, item_id as video_id from watch_event)"))
+    select user_id, item_id as video_id from watch_event
+    where user_id in (select user_id from watch_event group by user_id having count(*) >= 60)""")
 def filter_min_items_per_user(t):
     rows = t.watch_event.select("user_id", F.col("item_id").alias("video_id"))
     return profiles.users_with_min_items(rows, 60)

@@ -155,10 +155,6 @@ def elements(df, key, column):
     return df.select(key, F.posexplode(column).alias("pos", "value")).select(key, "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-def sql_elements(source: str, key: str, column: str) -> str:
-    """Long form in comparison SQL."""
-    return f"""select {key}, cast(generate_subscripts({column}, 1) - 1 as int) as pos, round(unnest({column}), 6) + 0.0 as value from {source}"""
-
 
 @query("fn_l2_normalise", """
     with n as (select vec_id, embedding::double[] as e, sqrt(list_inner_product(embedding::double[], embedding::double[])) as s from embeddings)

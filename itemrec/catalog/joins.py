@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from itemrec.catalog import products
 from itemrec.catalog.registry import query, sql_view
 from itemrec.functions import ids, rules
 from itemrec.operators import iou, pools, tiers
+from itemrec.operators.ranking import paged_lists
 from itemrec.operators.split import attach_probability, unique_items_only
 from itemrec.plans import profiles, serve
 from itemrec.runtime import broadcast_checked
@@ -159,21 +161,22 @@ def unnest_join(t):
 @query("distance_theta_join", """
     select content_type, cluster_id, bin, query_video_id, candidate_video_id, round(distance, 6) as distance from tier_far where distance < 0.5""")
 def distance_theta_join(t):
-    from itemrec.catalog.products import averages, tier_plan
-
-    near = tiers.tier_distances(tier_plan(t), averages(t), 0.5)
+    near = tiers.tier_distances(products.tier_plan(t), products.averages(t), 0.5)
     return near.select("content_type", "cluster_id", "bin", "query_video_id", "candidate_video_id", F.round("distance", 6).alias("distance"))
 
 
+# whole lists are compared by their digest
 @query("expand_pool_to_queries", """
-    select q.user_id, query_video_id, type_num, count(*) as candidates, min(video_id) as first_id
-    from query_item q join user_pool using (user_id) group by all""")
+    select q.content_type, q.user_id, query_video_id, type_num, count(*) as candidates, md5(string_agg(video_id, ',' order by video_id)) as digest
+    from query_item q join user_pool p on p.content_type = q.content_type and p.user_id = q.user_id group by all""")
 def expand_pool_to_queries(t):
-    from itemrec.catalog.products import iou_table, pools_of, queries_of, tier_table, user_keys
+    def build(content):
+        s = products.Served(t, content)
+        return serve.expand_pool_to_queries(s.pools, s.keys, s.queries)
 
-    rows = serve.expand_pool_to_queries(pools_of(t, tier_table(t), iou_table(t)), user_keys(t), queries_of(t))
-    return rows.select(
-        "user_id", "query_video_id", "type_num", F.size("candidates").cast("bigint").alias("candidates"), F.array_min("candidates").alias("first_id")
+    return products.of_both(build).select(
+        "content_type", "user_id", "query_video_id", "type_num", F.size("candidates").cast("bigint").alias("candidates"),
+        F.md5(F.array_join("candidates", ",")).alias("digest"),
     )
 
 
@@ -189,16 +192,18 @@ def join_tier_bin(t):
 
 
 @query("lookup_candidates", """
-    select user_id, query_video_id, coalesce(string_agg(video_id_y, ',' order by video_id_y), '') as candidates
-    from query_item q left join (select * from iou_candidates where content_type = 'clean') c
-      on c.cluster_id = q.cluster_id and c.video_id_x = q.query_video_id group by user_id, query_video_id""")
+    select q.content_type, user_id, query_video_id, video_id_y as candidate_video_id from query_item q
+    left join iou_candidates c on c.content_type = q.content_type and c.cluster_id = q.cluster_id and c.video_id_x = q.query_video_id""")
 def lookup_candidates(t):
-    from itemrec.catalog.products import iou as iou_table, queries_of
+    """A row for each stored candidate of a query item, or one without; an item's candidates have no bound."""
+    def build(content):
+        stored = products.iou_table(t).where(F.col("content_type") == content).select(
+            "cluster_id", F.col("video_id_x").alias("query_video_id"), F.col("video_id_y").alias("candidate_video_id")
+        )
+        queries = products.queries_of(t, content).select("user_id", "cluster_id", "query_video_id")
+        return queries.join(stored, ["cluster_id", "query_video_id"], "left").select("user_id", "query_video_id", "candidate_video_id")
 
-    clean = iou_table(t).where("content_type = 'clean'")
-    lists = clean.groupBy("cluster_id", F.col("video_id_x").alias("query_video_id")).agg(F.array_sort(F.collect_list("video_id_y")).alias("candidates"))
-    found = serve.lookup_lists(queries_of(t), lists, ["cluster_id", "query_video_id"])
-    return found.select("user_id", "query_video_id", F.array_join("candidates", ",").alias("candidates"))
+    return products.of_both(build)
 
 
 @query("lookup_post_mapping", """
@@ -233,22 +238,22 @@ def lookup_nsfw_probability(t):
     with known as (select distinct regexp_extract(uri, '([^/]+)\.mp4$', 1) as video_id,
                    'https://items.example/watch/' || canister_id || '/' || post_id as url from item_index where regexp_extract(uri, '([^/]+)\.mp4$', 1) <> ''),
     newest as (select user_id, video_id, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as rn from interaction)
-    select user_id, rn as position, video_id, url from newest left join known using (video_id) where rn <= 100""")
+    select user_id, rn as position, video_id, url from newest left join known using (video_id)""")
 def item_url_lookup(t):
-    listed = serve.newest_history(t.interaction).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("recency", "video_id"))).alias("l"))
-    lists = listed.select("user_id", F.transform("l", lambda s: s["video_id"]).alias("video_ids"))
-    urls = item_urls(lists, t.item_index)
-    long = urls.select("user_id", F.posexplode("urls").alias("p", "u"))
-    return long.select("user_id", (F.col("p") + 1).cast("bigint").alias("position"), "u.video_id", "u.url")
+    page = 20
+    lists = paged_lists(t.interaction, ["user_id"], [F.col("last_watched_timestamp").desc(), F.col("video_id")], F.col("video_id"), page)
+    urls = item_urls(lists.withColumnRenamed("items", "video_ids"), t.item_index, ("user_id", "page"))
+    long = urls.select("user_id", "page", F.posexplode("urls").alias("p", "u"))
+    return long.select("user_id", (F.col("page") * page + F.col("p") + 1).cast("bigint").alias("position"), "u.video_id", "u.url")
 
 
-def item_urls(lists, index):
+def item_urls(lists, index, keys=("user_id",)):
     """Lists of ids (bounded by the caller) to lists of (id, url), unknown ids kept with no url."""
     url = ids.item_url("https://items.example/watch", F.col("canister_id"), F.col("post_id"))
     known = index.select(ids.item_id_strict(F.col("uri")).alias("video_id"), url.alias("url")).where("video_id is not null").distinct()
-    long = lists.select("user_id", F.posexplode_outer("video_ids").alias("pos", "video_id")).join(known, "video_id", "left")
-    rows = long.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "video_id", "url"))).alias("l"))
-    return rows.select("user_id", F.transform("l", lambda s: F.struct(s["video_id"].alias("video_id"), s["url"].alias("url"))).alias("urls"))
+    long = lists.select(*keys, F.posexplode_outer("video_ids").alias("pos", "video_id")).join(known, "video_id", "left")
+    rows = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "video_id", "url"))).alias("l"))
+    return rows.select(*keys, F.transform("l", lambda s: F.struct(s["video_id"].alias("video_id"), s["url"].alias("url"))).alias("urls"))
 
 
 @query("missing_embedding_report", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,16 @@ from itemrec.functions import rules
 from itemrec.operators import iou as iou_ops
 from itemrec.operators import pools, tiers
 from itemrec.operators import split as split_ops
+from itemrec.operators.ranking import ranked
 from itemrec.plans import profiles, serve
 from itemrec.sources.views import AS_OF, Tables
 
-CONTENT = "clean"
+CONTENTS = ("clean", "nsfw")
+
+
+def of_both(build) -> DataFrame:
+    """Rows of both content types; ``build`` gives those of one."""
+    return reduce(DataFrame.unionByName, [build(c).withColumn("content_type", F.lit(c)) for c in CONTENTS])
 
 
 # ---- shared stages -----------------------------------------------------------------------------
@@ -65,52 +73,52 @@ def iou_table(t: Tables) -> DataFrame:
     return t.stage("iou_candidates", lambda: iou(t))
 
 
-def clean_rows(t: Tables) -> DataFrame:
-    return labelled(t).where(F.col("content_type") == CONTENT)
+def content_rows(t: Tables, content: str) -> DataFrame:
+    return labelled(t).where(F.col("content_type") == content)
 
 
-def profile_of(t: Tables) -> DataFrame:
+def profile_of(t: Tables, content: str) -> DataFrame:
     def build() -> DataFrame:
-        rows = clean_rows(t)
+        rows = content_rows(t, content)
         bins = tiers.tier_bins(tiers.user_watch_time(rows, ["cluster_id"]), ["cluster_id"])
         return serve.user_metadata(t.user_region, rows, bins)
 
-    return t.stage("profile", build)
+    return t.stage(f"profile_{content}", build)
 
 
-def queries_of(t: Tables) -> DataFrame:
+def queries_of(t: Tables, content: str) -> DataFrame:
     def build() -> DataFrame:
-        profile = profile_of(t).where("cluster_id >= 0 and bin >= 0").select("user_id", "cluster_id", "bin")
-        return serve.query_items(serve.newest_history(clean_rows(t))).join(profile, "user_id")
+        profile = profile_of(t, content).where("cluster_id >= 0 and bin >= 0").select("user_id", "cluster_id", "bin")
+        return serve.query_items(serve.newest_history(content_rows(t, content))).join(profile, "user_id")
 
-    return t.stage("queries", build)
+    return t.stage(f"queries_{content}", build)
 
 
-def region_rows(t: Tables) -> DataFrame:
-    candidates = pools.region_candidates(t.region_popularity, t.item_nsfw).where(~F.col("nsfw_label"))
+def region_rows(t: Tables, content: str) -> DataFrame:
+    candidates = pools.region_candidates(t.region_popularity, t.item_nsfw).where(F.col("nsfw_label") == (content == "nsfw"))
     return pools.region_topk(candidates, serve.TOP_K, keys=("region",))
 
 
-def popular_rows(t: Tables) -> DataFrame:
-    return pools.popular_pool(t.item_index, t.item_nsfw, "items").where(F.col("content_type") == CONTENT)
+def popular_rows(t: Tables, content: str) -> DataFrame:
+    return pools.popular_pool(t.item_index, t.item_nsfw, "items").where(F.col("content_type") == content)
 
 
-def untouched_rows(t: Tables) -> DataFrame:
+def untouched_rows(t: Tables, content: str) -> DataFrame:
     rows = pools.untouched_pool(t.item_index, t.item_nsfw, t.item_unique, t.interaction, "2002-01-20 00:00:00")
-    return rows.where(F.col("content_type") == CONTENT)
+    return rows.where(F.col("content_type") == content)
 
 
-def pools_of(t: Tables, tier_rows: DataFrame, iou_rows: DataFrame) -> DataFrame:
-    cluster = pools.cluster_fallback_pool(tier_rows, iou_rows).where(F.col("content_type") == CONTENT)
-    worldwide = popular_rows(t).where(F.col("position") <= serve.POOL_SAMPLE).select("video_id").unionByName(
-        untouched_rows(t).where(F.col("position") <= pools.UNTOUCHED_PICK).select("video_id")
+def pools_of(t: Tables, content: str, tier_rows: DataFrame, iou_rows: DataFrame) -> DataFrame:
+    cluster = pools.cluster_fallback_pool(tier_rows, iou_rows).where(F.col("content_type") == content)
+    worldwide = popular_rows(t, content).where(F.col("position") <= serve.POOL_SAMPLE).select("video_id").unionByName(
+        untouched_rows(t, content).where(F.col("position") <= pools.UNTOUCHED_PICK).select("video_id")
     )
-    return t.stage("pools", lambda: serve.shared_pools(cluster, region_rows(t), worldwide))
+    return t.stage(f"pools_{content}", lambda: serve.shared_pools(cluster, region_rows(t, content), worldwide))
 
 
-def user_keys(t: Tables) -> DataFrame:
-    served = profile_of(t).where("cluster_id >= 0 and bin >= 0").join(t.user_region, "user_id")
-    return t.stage("user_keys", lambda: serve.user_pool_keys(served))
+def user_keys(t: Tables, content: str) -> DataFrame:
+    served = profile_of(t, content).where("cluster_id >= 0 and bin >= 0").join(t.user_region, "user_id")
+    return t.stage(f"user_keys_{content}", lambda: serve.user_pool_keys(served))
 
 
 def item_vectors(t: Tables) -> DataFrame:
@@ -118,18 +126,25 @@ def item_vectors(t: Tables) -> DataFrame:
 
 
 class Served:
-    """Every stage of serving once, for the queries below."""
-
-    def __init__(self, t: Tables):
-        self.tier = tier_table(t).where(F.col("content_type") == CONTENT)
-        self.iou = iou_table(t).where(F.col("content_type") == CONTENT)
-        self.queries = queries_of(t)
-        self.keys = user_keys(t)
-        self.pools = pools_of(t, self.tier, self.iou)
+    """Every stage of serving one content type once, for the queries below."""
+
+    def __init__(self, t: Tables, content: str):
+        self.tier = tier_table(t).where(F.col("content_type") == content)
+        self.iou = iou_table(t).where(F.col("content_type") == content)
+        self.queries = queries_of(t, content)
+        self.keys = user_keys(t, content)
+        self.pools = pools_of(t, content, self.tier, self.iou)
         self.vectors = item_vectors(t)
 
-    def reranked(self) -> DataFrame:
-        return serve.rerank(self.queries, self.keys, self.tier, self.iou, self.pools, self.vectors)
+    def scored(self) -> serve.Scored:
+        return serve.score_candidates(self.queries, self.keys, self.tier, self.iou, self.pools, self.vectors)
+
+
+def content_view(name: str, text: str) -> None:
+    """A view for each content type, in which @ stands for the type, and one of both with a column for it."""
+    for content in CONTENTS:
+        sql_view(f"{name}_{content}", text.replace("@", content))
+    sql_view(name, " union all ".join(f"select '{c}' as content_type, * from {name}_{c}" for c in CONTENTS))
 
 
 # ---- comparison SQL ------------------------------------------------------------------------------
@@ -236,65 +251,63 @@ sql_view("untouched_pool", r"""
           where video_id in (select regexp_extract(uri, '([^/]+)\.mp4$', 1) from item_index) and video_id in (select video_id from item_unique)
             and video_id not in (select video_id from touched_later))
     qualify position <= 80000""")
-sql_view("region_pool", """
+content_view("region_pool", """
     select region, video_id, score, row_number() over (partition by region order by score desc, video_id desc) as position
-    from region_candidate where nsfw_label = false qualify position <= 225""")
+    from region_candidate where nsfw_label = ('@' = 'nsfw') qualify position <= 225""")
 
-sql_view("clean_interaction", "select * from split_interaction where content_type = 'clean'")
-sql_view("user_meta", """
+content_view("content_interaction", "select * exclude (content_type) from split_interaction where content_type = '@'")
+content_view("user_meta", """
     select user_id, coalesce(cluster_id, -1) as cluster_id, coalesce(total_seconds, -1) as total_seconds,
-           cast(coalesce(case when total_seconds <= percentile_25 then 0 when total_seconds <= percentile_50 then 1
-                when total_seconds <= percentile_75 then 2 else 3 end, -1) as int) as bin
+           cast(case when total_seconds is null then -1 when total_seconds <= percentile_25 then 0 when total_seconds <= percentile_50 then 1
+                when total_seconds <= percentile_75 then 2 else 3 end as int) as bin
     from user_region left join (select s.*, percentile_25, percentile_50, percentile_75 from tier_seconds s
-        join tier_bound b on b.content_type = s.content_type and b.cluster_id = s.cluster_id where s.content_type = 'clean') using (user_id)""".replace(
-    "coalesce(case when", "case when user_seconds_missing then -1 else case when").replace("else 3 end, -1)", "else 3 end end").replace(
-    "user_seconds_missing", "total_seconds is null"))
-sql_view("query_item", """
+        join tier_bound b on b.content_type = s.content_type and b.cluster_id = s.cluster_id where s.content_type = '@') using (user_id)""")
+content_view("query_item", """
     select user_id, query_video_id, pos, n, watch_percentage, importance, m.cluster_id, m.bin from (
         select user_id, video_id as query_video_id, mean_percentage_watched::double as watch_percentage,
                row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) - 1 as pos, count(*) over (partition by user_id) as n,
                0.8::double * (case when count(*) over (partition by user_id) > 1 then 1.0::double - (row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) - 1)
                      / count(*) over (partition by user_id) else 1.0::double end) + 0.2::double * mean_percentage_watched as importance
-        from (select * from (select *, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as recency from clean_interaction)
+        from (select * from (select *, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as recency from content_interaction_@)
               where recency <= 100) where mean_percentage_watched >= 0.1) q
-    join user_meta m using (user_id) where m.cluster_id >= 0 and m.bin >= 0""")
+    join user_meta_@ m using (user_id) where m.cluster_id >= 0 and m.bin >= 0""")
 sql_view("cluster_pool", """
     select distinct content_type, cluster_id, 'watch_time_quantile' as kind, candidate_video_id as video_id from tier_candidates
     union select distinct content_type, cluster_id, 'modified_iou', video_id_y from iou_candidates""")
-sql_view("shared_pool", """
+content_view("shared_pool", """
     select 'cluster:' || cluster_id as pool_key, case when kind = 'watch_time_quantile' then 3 else 4 end as type_num, video_id from (
         select *, row_number() over (partition by cluster_id, kind order by md5('pool|' || kind || '|' || video_id), video_id) as rn
-        from cluster_pool where content_type = 'clean') where rn <= 225
-    union select 'region:' || region, 5, video_id from region_pool
-    union select 'global', 6, video_id from popular_pool where content_type = 'clean' and position <= 225
-    union select 'global', 6, video_id from untouched_pool where content_type = 'clean' and position <= 50""")
-sql_view("keyed_user", """
-    select user_id, 'cluster:' || m.cluster_id as pool_key from user_meta m where cluster_id >= 0 and bin >= 0
-    union all select user_id, 'region:' || region from user_meta m join user_region using (user_id) where cluster_id >= 0 and bin >= 0
-    union all select user_id, 'global' from user_meta m where cluster_id >= 0 and bin >= 0""")
-sql_view("user_pool", "select user_id, type_num, video_id from keyed_user join shared_pool using (pool_key)")
-sql_view("personal_row", """
-    select user_id, q.query_video_id, 1 as type_num, candidate_video_id from query_item q
-    join tier_candidates c on c.content_type = 'clean' and c.cluster_id = q.cluster_id and c.bin = q.bin and c.query_video_id = q.query_video_id
-    union select user_id, q.query_video_id, 2, video_id_y from query_item q
-    join iou_candidates c on c.content_type = 'clean' and c.cluster_id = q.cluster_id and c.video_id_x = q.query_video_id""")
-sql_view("needed_pair", """
+        from cluster_pool where content_type = '@') where rn <= 225
+    union select 'region:' || region, 5, video_id from region_pool_@
+    union select 'global', 6, video_id from popular_pool where content_type = '@' and position <= 225
+    union select 'global', 6, video_id from untouched_pool where content_type = '@' and position <= 50""")
+content_view("keyed_user", """
+    select user_id, 'cluster:' || m.cluster_id as pool_key from user_meta_@ m where cluster_id >= 0 and bin >= 0
+    union all select user_id, 'region:' || region from user_meta_@ m join user_region using (user_id) where cluster_id >= 0 and bin >= 0
+    union all select user_id, 'global' from user_meta_@ m where cluster_id >= 0 and bin >= 0""")
+content_view("user_pool", "select user_id, type_num, video_id from keyed_user_@ join shared_pool_@ using (pool_key)")
+content_view("personal_row", """
+    select user_id, q.query_video_id, 1 as type_num, candidate_video_id from query_item_@ q
+    join tier_candidates c on c.content_type = '@' and c.cluster_id = q.cluster_id and c.bin = q.bin and c.query_video_id = q.query_video_id
+    union select user_id, q.query_video_id, 2, video_id_y from query_item_@ q
+    join iou_candidates c on c.content_type = '@' and c.cluster_id = q.cluster_id and c.video_id_x = q.query_video_id""")
+content_view("needed_pair", """
     select distinct query_video_id, candidate_video_id from (
-        select query_video_id, candidate_video_id from personal_row
-        union all select query_video_id, video_id from (select distinct pool_key, query_video_id from query_item join keyed_user using (user_id)) join shared_pool using (pool_key))
+        select query_video_id, candidate_video_id from personal_row_@
+        union all select query_video_id, video_id from (select distinct pool_key, query_video_id from query_item_@ join keyed_user_@ using (user_id)) join shared_pool_@ using (pool_key))
     where query_video_id <> candidate_video_id""")
-sql_view("pair_similarity", """
+content_view("pair_similarity", """
     select query_video_id, candidate_video_id, round(max(list_cosine_similarity(q.embedding, c.embedding)), 6) as similarity
-    from needed_pair join item_vector q on q.video_id = query_video_id join item_vector c on c.video_id = candidate_video_id
+    from needed_pair_@ join item_vector q on q.video_id = query_video_id join item_vector c on c.video_id = candidate_video_id
     group by query_video_id, candidate_video_id""")
-sql_view("reranked", """
+content_view("reranked", """
     select user_id, query_video_id, type_num, candidate_video_id, similarity from (
-        select user_id, query_video_id, type_num, candidate_video_id, similarity from personal_row join pair_similarity using (query_video_id, candidate_video_id)
+        select user_id, query_video_id, type_num, candidate_video_id, similarity from personal_row_@ join pair_similarity_@ using (query_video_id, candidate_video_id)
         union all
         select q.user_id, q.query_video_id, type_num, candidate_video_id, similarity
-        from query_item q join user_pool p on p.user_id = q.user_id
-        join (select * from pair_similarity where similarity >= 0.4) s on s.query_video_id = q.query_video_id and s.candidate_video_id = p.video_id) r
-    where not exists (select 1 from query_item o where o.user_id = r.user_id and o.query_video_id = r.candidate_video_id)""")
+        from query_item_@ q join user_pool_@ p on p.user_id = q.user_id
+        join (select * from pair_similarity_@ where similarity >= 0.4) s on s.query_video_id = q.query_video_id and s.candidate_video_id = p.video_id) r
+    where not exists (select 1 from query_item_@ o where o.user_id = r.user_id and o.query_video_id = r.candidate_video_id)""")
 
 
 def _contributions(per_query: int, floor: float) -> str:
@@ -303,13 +316,13 @@ def _contributions(per_query: int, floor: float) -> str:
                round(importance * weight * similarity, 9) as score, type_num >= 3 as is_pool,
                pos * 10000 + type_num * 1000 + place as turn
         from (select *, case when type_num >= 3 then 0 else row_number() over (partition by user_id, query_video_id, type_num
-                        order by similarity desc, candidate_video_id) end as place from reranked)
+                        order by similarity desc, candidate_video_id) end as place from reranked_@)
         join (select * from (values (1, 1.0::double), (2, 0.8::double), (3, 0.6::double), (4, 0.5::double), (5, 0.4::double), (6, 0.3::double)) k(type_num, weight)) using (type_num)
-        join query_item using (user_id, query_video_id)
+        join query_item_@ using (user_id, query_video_id)
         where similarity >= {floor} and (type_num >= 3 or place <= {per_query})"""
 
 
-sql_view("mixed", f"""
+content_view("mixed", f"""
     select user_id, is_pool, candidate_video_id, score, position from (
         select *, row_number() over (partition by user_id, is_pool order by score desc, turn, candidate_video_id) as position from (
             select user_id, is_pool, candidate_video_id, case when is_pool then max(score) else arg_min(score, turn) end as score, min(turn) as turn
@@ -332,18 +345,15 @@ sql_view("reported_pair", """
     select distinct reportee_user_id as user_id, case when contains(uri, '.mp4') then split_part(list_last(string_split(uri, '/')), '.mp4', 1) else uri end as video_id
     from (select reportee_user_id, video_uri as uri from reports union all select reportee_user_id, parent_video_uri from reports)
     where uri is not null and reportee_user_id not like '%test%'""")
-sql_view("backup_row", """
+content_view("backup_row", """
     select user_id, video_id, source, row_number() over (partition by user_id order by source, rank) as position from (
-        select user_id, video_id, 0 as source, position as rank from user_region join region_pool using (region)
+        select user_id, video_id, 0 as source, position as rank from user_region join region_pool_@ using (region)
         union all
-        select user_id, video_id, 1, position from user_region, popular_pool where content_type = 'clean' and position <= 225
-           and (user_id, video_id) not in (select (user_id, video_id) from watched_pair) and (user_id, video_id) not in (select (user_id, video_id) from reported_pair)
+        select user_id, video_id, 1, position from user_region, popular_pool where content_type = '@' and position <= 225
+           and not exists (select 1 from watched_pair w where w.user_id = user_region.user_id and w.video_id = popular_pool.video_id)
+           and not exists (select 1 from reported_pair w where w.user_id = user_region.user_id and w.video_id = popular_pool.video_id)
         union all
-        select user_id, video_id, 2, position from user_region, untouched_pool where content_type = 'clean' and position <= 50)""".replace(
-    "(user_id, video_id) not in (select (user_id, video_id) from watched_pair)",
-    "not exists (select 1 from watched_pair w where w.user_id = user_region.user_id and w.video_id = popular_pool.video_id)").replace(
-    "(user_id, video_id) not in (select (user_id, video_id) from reported_pair)",
-    "not exists (select 1 from reported_pair w where w.user_id = user_region.user_id and w.video_id = popular_pool.video_id)"))
+        select user_id, video_id, 2, position from user_region, untouched_pool where content_type = '@' and position <= 50)""")
 
 
 # ---- queries --------------------------------------------------------------------------------------
@@ -376,64 +386,82 @@ def region_candidates(t):
     return pools.region_candidates(t.region_popularity, t.item_nsfw).select("video_id", "region", "score", "probability", "nsfw_label")
 
 
-@query("popular_pool", "select * from popular_pool")
+@query("popular_pool", "select * from popular_pool where position <= 25")
 def popular_pool(t):
-    rows = pools.popular_pool(t.item_index, t.item_nsfw, "items")
+    rows = pools.popular_pool(t.item_index, t.item_nsfw, "items", 25)
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("untouched_pool", "select * from untouched_pool")
+@query("untouched_pool", "select * from untouched_pool where position <= 25")
 def untouched_pool(t):
-    rows = pools.untouched_pool(t.item_index, t.item_nsfw, t.item_unique, t.interaction, "2002-01-20 00:00:00")
+    rows = pools.untouched_pool(t.item_index, t.item_nsfw, t.item_unique, t.interaction, "2002-01-20 00:00:00", 25)
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("user_metadata", "select user_id, cluster_id, total_seconds::double as total_seconds, bin from user_meta")
+@query("user_metadata", "select content_type, user_id, cluster_id, total_seconds::double as total_seconds, bin from user_meta")
 def user_metadata(t):
-    return profile_of(t)
+    return of_both(lambda c: profile_of(t, c))
 
 
+# whole lists are compared by their digest
 @query("fetch_all_candidates", """
-    select user_id, type_num, count(*) as candidates, count(distinct candidate_video_id) as items, min(candidate_video_id) as first_id, max(candidate_video_id) as last_id
-    from (select user_id, type_num, candidate_video_id from personal_row union all select user_id, type_num, video_id from user_pool) group by user_id, type_num""")
+    select content_type, user_id, type_num, count(*) as candidates, md5(string_agg(pair, ',' order by pair)) as digest from (
+        select content_type, user_id, type_num, query_video_id || '>' || candidate_video_id as pair from personal_row
+        union all select content_type, user_id, type_num, '>' || video_id from user_pool) group by all""")
 def fetch_all_candidates(t):
-    s = Served(t)
-    rows = serve.fetch_all_candidates(s.queries, s.keys, s.tier, s.iou, s.pools)
-    return rows.groupBy("user_id", "type_num").agg(
-        F.count(F.lit(1)).alias("candidates"), F.countDistinct("candidate_video_id").alias("items"),
-        F.min("candidate_video_id").alias("first_id"), F.max("candidate_video_id").alias("last_id"),
+    def build(content):
+        s = Served(t, content)
+        return serve.fetch_all_candidates(s.queries, s.keys, s.tier, s.iou, s.pools)
+
+    pair = F.concat(F.coalesce("query_video_id", F.lit("")), F.lit(">"), F.col("candidate_video_id"))
+    return of_both(build).groupBy("content_type", "user_id", "type_num").agg(
+        F.count(F.lit(1)).alias("candidates"), F.md5(F.array_join(F.array_sort(F.collect_list(pair)), ",")).alias("digest")
     )
 
 
-@query("rerank", "select user_id, query_video_id, type_num, candidate_video_id, similarity from reranked")
+@query("rerank", "select content_type, user_id, query_video_id, type_num, candidate_video_id, similarity from reranked")
 def rerank(t):
-    return Served(t).reranked()
+    def build(content):
+        s = Served(t, content)
+        return serve.rerank(s.scored(), s.queries)
 
+    return of_both(build)
 
-@query("mix", "select user_id, is_pool, candidate_video_id, score, cast(position as int) as position from mixed")
+
+@query("mix", "select content_type, user_id, is_pool, candidate_video_id, score, cast(position as int) as position from mixed")
 def mix(t):
-    s = Served(t)
-    return serve.mix(s.reranked(), s.queries)
+    def build(content):
+        s = Served(t, content)
+        return serve.mix(s.scored(), s.queries)
+
+    return of_both(build)
 
 
-@query("mix_sum", f"""
-    select user_id, is_pool, candidate_video_id, score, source_count, cast(position as int) as position from (
+content_view("mixed_sum", f"""
+    select user_id, is_pool, candidate_video_id, score, source_count, position from (
         select *, row_number() over (partition by user_id, is_pool order by score desc, turn, candidate_video_id) as position from (
             select user_id, is_pool, candidate_video_id, round(sum(score), 9) as score, min(turn) as turn, count(*) as source_count
             from (select *, row_number() over (partition by user_id, candidate_video_id, is_pool order by turn) as k from ({_contributions(3, 0.5)}))
             where is_pool or k = 1 group by user_id, is_pool, candidate_video_id)) where position <= case when is_pool then 50 else 10 end""")
+
+
+@query("mix_sum", "select content_type, user_id, is_pool, candidate_video_id, score, source_count, cast(position as int) as position from mixed_sum")
 def mix_sum(t):
-    s = Served(t)
-    return serve.mix_sum(s.reranked(), s.queries)
+    def build(content):
+        s = Served(t, content)
+        return serve.mix_sum(s.scored(), s.queries)
+
+    return of_both(build)
 
 
 sql_view("newest_row", """
-    select user_id, video_id, cast(row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as int) as position
-    from interaction qualify position <= 100""")
+    select user_id, video_id, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as position from interaction""")
 
 
 def newest_rows(t):
-    return serve.newest_history(t.interaction).select("user_id", "video_id", F.col("recency").alias("position"))
+    """All items of every user, newest first."""
+    places = ranked(t.interaction.select("user_id", "video_id", "last_watched_timestamp"), ["user_id"], [F.col("last_watched_timestamp").desc(), F.col("video_id")])
+    return places.select("user_id", "video_id", F.col("rn").alias("position"))
 
 
 # a request's own list: what the user liked
@@ -450,20 +478,20 @@ def exclude_items(t):
       and not exists (select 1 from live_pair w where w.user_id = n.user_id and w.video_id = n.video_id)""")
 def filter_watched(t):
     live = t.watch_event.where(rules.parse_event(F.col("event"))["video_id"].isNotNull()).select("user_id", F.col("item_id").alias("video_id")).distinct()
-    return serve.filter_watched(newest_rows(t), live, pools.user_history(t.interaction, AS_OF))
+    return serve.filter_watched(newest_rows(t), live, pools.watched_items(t.interaction, AS_OF))
 
 
 @query("filter_reported", """
     select user_id, video_id, position from newest_row n
     where not exists (select 1 from reported_pair w where w.user_id = n.user_id and w.video_id = n.video_id)""")
 def filter_reported(t):
-    return serve.exclude_items(newest_rows(t), pools.reported_items(t.reports))
+    return serve.exclude_items(newest_rows(t), pools.all_reported(t.reports))
 
 
 @query("split_by_flag", """
     select user_id, video_id, position, exists (select 1 from watched_pair w where w.user_id = n.user_id and w.video_id = n.video_id) as seen from newest_row n""")
 def split_by_flag(t):
-    return serve.split_by_flag(newest_rows(t), pools.user_history(t.interaction, AS_OF), "seen")
+    return serve.split_by_flag(newest_rows(t), pools.watched_items(t.interaction, AS_OF), "seen")
 
 
 @query("filter_duplicates", "select user_id, video_id, position from newest_row where video_id in (select video_id from item_unique)")
@@ -471,12 +499,27 @@ def filter_duplicates(t):
     return serve.filter_duplicates(newest_rows(t), t.item_unique).select("user_id", "video_id", "position")
 
 
-@query("fallback_recommendations", "select user_id, video_id, source, cast(position as int) as position from backup_row where position <= 225")
+@query("fallback_recommendations", "select content_type, user_id, video_id, source, cast(position as int) as position from backup_row")
 def fallback_recommendations(t):
+    return of_both(lambda c: backup_of(t, c))
+
+
+def backup_of(t: Tables, content: str, excluded: DataFrame | None = None) -> DataFrame:
     rows = serve.fallback_recommendations(
-        t.user_region, region_rows(t), popular_rows(t), untouched_rows(t), pools.user_history(t.interaction, AS_OF), pools.reported_items(t.reports)
+        t.user_region, region_rows(t, content), popular_rows(t, content), untouched_rows(t, content), pools.watched_items(t.interaction, AS_OF),
+        pools.all_reported(t.reports), excluded,
     )
-    return rows.where("position <= 225").select("user_id", "video_id", "source", "position")
+    return rows.select("user_id", "video_id", "source", "position")
+
+
+# a request may name items to leave out of every source
+@query("fallback_excluded", """
+    select content_type, user_id, count(*) as items, md5(string_agg(video_id, ',' order by position)) as digest from backup_row b
+    where not exists (select 1 from interaction i where i.user_id = b.user_id and i.video_id = b.video_id and liked) group by all""")
+def fallback_excluded(t):
+    rows = of_both(lambda c: backup_of(t, c, t.interaction.where("liked")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "video_id"))), lambda s: s["video_id"])
+    return rows.groupBy("content_type", "user_id").agg(F.count(F.lit(1)).alias("items"), F.md5(F.array_join(listed, ",")).alias("digest"))
 
 
 def metadata_of(t: Tables, text_ids: bool = True) -> DataFrame:
@@ -492,26 +535,26 @@ def attach_metadata(t):
     )
 
 
-def catalogue_of(t: Tables) -> serve.Catalogue:
-    tier_rows = tier_table(t).where(F.col("content_type") == CONTENT)
-    iou_rows = iou_table(t).where(F.col("content_type") == CONTENT)
-    rows = clean_rows(t)
+def catalogue_of(t: Tables, content: str) -> serve.Catalogue:
+    tier_rows = tier_table(t).where(F.col("content_type") == content)
+    iou_rows = iou_table(t).where(F.col("content_type") == content)
+    rows = content_rows(t, content)
     live = t.watch_event.where(rules.parse_event(F.col("event"))["video_id"].isNotNull()).select("user_id", F.col("item_id").alias("video_id")).distinct()
     return serve.Catalogue(
         users=t.user_region, interactions=rows,
         bins=tiers.tier_bins(tiers.user_watch_time(rows, ["cluster_id"]), ["cluster_id"]),
         tier=tier_rows, iou=iou_rows, cluster_pool=pools.cluster_fallback_pool(tier_rows, iou_rows),
-        region_pool=region_rows(t), popular=popular_rows(t), untouched=untouched_rows(t), item_vectors=item_vectors(t),
-        watched=pools.user_history(t.interaction, AS_OF), live_watched=live, reported=pools.reported_items(t.reports), metadata=metadata_of(t),
+        region_pool=region_rows(t, content), popular=popular_rows(t, content), untouched=untouched_rows(t, content), item_vectors=item_vectors(t),
+        watched=pools.watched_items(t.interaction, AS_OF), live_watched=live, reported=pools.all_reported(t.reports), metadata=metadata_of(t),
     )
 
 
-@query("recommend_all", """
+content_view("recommended", """
     with served as (
-        select user_id, candidate_video_id as video_id, case when is_pool then 'pool' else 'personal' end as origin, position + case when is_pool then 225 else 0 end as position from mixed),
+        select user_id, candidate_video_id as video_id, case when is_pool then 'pool' else 'personal' end as origin, position + case when is_pool then 225 else 0 end as position from mixed_@),
     offered as (
         select user_id, video_id, origin, position from served
-        union all select user_id, video_id, 'fallback', position from backup_row where user_id not in (select user_id from mixed)),
+        union all select user_id, video_id, 'fallback', position from backup_row_@ where user_id not in (select user_id from mixed_@)),
     once as (select user_id, video_id, arg_min(origin, position) as origin, min(position) as position from offered group by user_id, video_id)
     select user_id, cast(row_number() over (partition by user_id order by position, video_id) as int) as place, video_id, origin, post_id, canister_id,
            publisher_user_id, nsfw_probability, num_views_loggedin, num_views_all
@@ -520,5 +563,8 @@ def catalogue_of(t: Tables) -> serve.Catalogue:
       and not exists (select 1 from live_pair w where w.user_id = o.user_id and w.video_id = o.video_id)
       and not exists (select 1 from reported_pair w where w.user_id = o.user_id and w.video_id = o.video_id)
     qualify place <= 50""")
+
+
+@query("recommend_all", "select * from recommended")
 def recommend_all(t):
-    return serve.recommend_all(catalogue_of(t))
+    return of_both(lambda c: serve.recommend_all(catalogue_of(t, c)))

@@ -58,6 +58,6 @@ def expand(sql: str) -> str:
     visit(sql)
     if not ordered:
         return sql
-    ctes = ",\n".join(f"{n} as (\n{SQL_VIEWS[n]}\n)" for n in ordered)
+    ctes = ",\n".join(f"{n} as materialized (\n{SQL_VIEWS[n]}\n)" for n in ordered)
     body = sql.strip()
     return f"with {ctes},\n{body[5:]}" if body.lower().startswith("with ") else f"with {ctes}\n{body}"

@@ -58,9 +58,10 @@ def incremental_windows(t):
     sinks.write_windows(rows.where("last_watched_timestamp < timestamp '2000-01-01'"), path)
     schema = "user_id string, video_id string, last_watched_timestamp timestamp, window_start date"
     written = t.spark.read.schema(schema).parquet(path)
-    last = written.agg(F.max("window_start")).scalar()
-    pending = rows.where(F.col("window_start") >= last)  # the newest window may be incomplete
-    sinks.write_windows(pending, path)
+    bounds = rows.agg(F.min("window_start").alias("first"), F.max("window_start").alias("last"))
+    newest = written.agg(F.max("window_start").alias("window_start"))  # it may be incomplete
+    pending = scans.pending_windows(bounds, written).unionByName(newest)
+    sinks.write_windows(rows.join(pending, "window_start", "left_semi").select(*rows.columns), path)
     stored = t.spark.read.schema(schema).parquet(path)
     return stored.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("window_start")).agg(
         F.count(F.lit(1)).alias("num_rows"), F.countDistinct("user_id").alias("users")

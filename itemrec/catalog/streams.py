@@ -9,13 +9,27 @@ from pyspark.sql import functions as F
 
 from itemrec.catalog.registry import query, sql_view
 from itemrec.catalog.scans import scratch
+from itemrec.functions import rules
 from itemrec.sources.views import AS_OF, VIEWS, Tables
 from itemrec.streaming import jobs
 
+BATCHES = 3
+
+
+def event_files(t: Tables) -> str:
+    """A copy of the event table in time order, one file for each batch of a stream."""
+    base = scratch(t.spark) + "/events"
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / BATCHES
+    for i in range(BATCHES):
+        rows = t.events.where((F.col("ts") >= first + i * step) & (F.col("ts") < first + (i + 1) * step if i + 1 < BATCHES else F.lit(True)))
+        rows.coalesce(1).write.parquet(f"{base}/{i}")
+    return base
+
 
 def event_stream(t: Tables, view: str = "watch_event") -> DataFrame:
-    """The same derivation as the batch view, over a stream of the event files."""
-    stream = jobs.read_events(t.spark, t.folder, t.events.schema, "events.parquet")
+    """The same derivation as the batch view, over a stream of the event table in ``BATCHES`` batches."""
+    stream = jobs.read_events(t.spark, event_files(t), t.events.schema, files_per_batch=1)
     text = re.sub(r"<epoch\((\w+)\)>", r"unix_seconds(cast(\1 as timestamp))", VIEWS[view])
     return t.spark.sql(text, events=stream)
 
@@ -34,13 +48,15 @@ sql_view("live", "select user_id, item_id as video_id, ts from watch_event where
 
 
 @query("stream_watch_history", """
-    select user_id, video_id, strftime(last_watched_timestamp, '%Y-%m-%d %H:%M:%S.%g') as last_watched_timestamp, cast(place as int) as place from (
-        select *, row_number() over (partition by user_id order by last_watched_timestamp desc, video_id) as place
-        from (select user_id, video_id, max(ts) as last_watched_timestamp from live group by all)) where place <= 500""")
+    select content_type, user_id, video_id, strftime(last_watched_timestamp, '%Y-%m-%d %H:%M:%S.%g') as last_watched_timestamp, cast(place as int) as place from (
+        select *, row_number() over (partition by content_type, user_id order by last_watched_timestamp desc, video_id) as place
+        from (select case when is_nsfw then 'nsfw' else 'clean' end as content_type, user_id, video_id, max(ts) as last_watched_timestamp
+              from live join item_nsfw using (video_id) where ts >= timestamp '2024-01-31' - interval 20 days group by all)) where place <= 5""")
 def stream_watch_history(t):
-    table = drained(t, jobs.watch_history(jobs.parsed(event_stream(t))), "update")
-    rows = jobs.capped_history(jobs.latest(table, ["user_id", "video_id"]))
-    return rows.select("user_id", "video_id", stamp("last_watched_timestamp"), "place")
+    labels = t.item_nsfw.select("video_id", rules.content_type(F.col("is_nsfw")).alias("content_type"))
+    table = drained(t, jobs.watch_history(jobs.parsed(event_stream(t)), labels), "update")
+    rows = jobs.live_history(table, "2024-01-31", ttl_days=20, cap=5)
+    return rows.select("content_type", "user_id", "video_id", stamp("last_watched_timestamp"), "place")
 
 
 @query("stream_recent_items", """
@@ -65,8 +81,7 @@ def stream_dedup(t):
 
 @query("stream_view_counts", "select item_id, total_count_loggedin, total_count_all from view_counts")
 def stream_view_counts(t):
-    table = drained(t, jobs.view_counts(event_stream(t, "view_event")), "update")
-    return jobs.latest(table, ["item_id"])
+    return jobs.total_views(drained(t, jobs.view_counts(event_stream(t, "view_event")), "update"))
 
 
 # a session is out once the watermark, 10 minutes behind the newest event, has passed its end
@@ -82,10 +97,10 @@ def stream_sessions(t):
 
 
 @query("stream_filter_watched", """
-    select distinct user_id, video_id from live l where not exists (select 1 from watched_live w where w.user_id = l.user_id and w.video_id = l.video_id)""".replace(
-    "watched_live", "(select user_id, item_id as video_id from watch_event where event_id % 2 = 0)"))
+    select distinct user_id, video_id from live l
+    where not exists (select 1 from watch_event w where w.event_id % 2 = 0 and w.user_id = l.user_id and w.item_id = l.video_id)""")
 def stream_filter_watched(t):
-    """A stream of offered items against a stored history; the history is read afresh in every batch."""
+    """A stream of offered items against a stored history; a batch reads its users' part of it."""
     def offered(batch):
         history = t.watch_event.where("event_id % 2 = 0").select("user_id", F.col("item_id").alias("video_id")).distinct()
         return jobs.filter_watched(batch.select("user_id", "video_id"), history)
@@ -111,12 +126,13 @@ def stream_report_update(t):
     return jobs.active_reports(drained(t, reports, prepare=jobs.report_updates), AS_OF).select("user_id", "video_id", stamp("reported_at"))
 
 
+# a stay is over once the watermark, the newest event here, has passed its end
 @query("state_ttl", """
-    with e as (select user_id, video_id, max(epoch_ms(ts)) as newest from live group by all), w as (select max(epoch_ms(ts)) as mark from live)
-    select user_id, video_id, 'enter' as change from e
-    union all select user_id, video_id, 'leave' from e, w where newest + 10 * 86400000 <= mark""")
+    with m as (select user_id, video_id, ts, case when ts - lag(ts) over (partition by user_id, video_id order by ts) <= interval 5 days then 0 else 1 end as fresh from live),
+    n as (select user_id, video_id, ts, sum(fresh) over (partition by user_id, video_id order by ts) as s from m),
+    g as (select user_id, video_id, min(ts) as entered, max(ts) + interval 5 days as out, count(*) as events from n group by user_id, video_id, s)
+    select user_id, video_id, strftime(entered, '%Y-%m-%d %H:%M:%S.%g') as entered, strftime(out, '%Y-%m-%d %H:%M:%S.%g') as out, events
+    from g where out <= (select date_trunc('milliseconds', max(ts)) from live)""")
 def state_ttl(t):
-    changes = jobs.expiring_history(jobs.parsed(event_stream(t)).select("user_id", "video_id", "ts"), ttl_days=10)
-    return drained(t, changes).select("user_id", "video_id", "change")
-
-
+    table = drained(t, jobs.stays(jobs.parsed(event_stream(t)), ttl_days=5))
+    return table.select("user_id", "video_id", stamp("entered"), stamp("left").alias("out"), "events")

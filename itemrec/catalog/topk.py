@@ -18,16 +18,16 @@ from itemrec.sources.views import AS_OF
 
 # every seventh time is unreadable and every eleventh missing
 @query("watch_history_order", """
-    select user_id, video_id, row_number() over (partition by user_id order by t desc, video_id) - 1 as pos from (
-        select user_id, video_id, case when key % 7 = 0 or key % 11 = 0 then timestamp '1970-01-01' else last_watched_timestamp end as t
-        from (select i.*, ('0x' || substr(video_id, 1, 4))::bigint as key from clean_interaction i) where mean_percentage_watched >= 0.1)""")
+    select content_type, user_id, video_id, row_number() over (partition by content_type, user_id order by t desc, video_id) - 1 as pos from (
+        select content_type, user_id, video_id, case when key % 7 = 0 or key % 11 = 0 then timestamp '1970-01-01' else last_watched_timestamp end as t
+        from (select i.*, ('0x' || substr(video_id, 1, 4))::bigint as key from content_interaction i) where mean_percentage_watched >= 0.1)""")
 def watch_history_order(t):
     key = F.conv(F.substring("video_id", 1, 4), 16, 10).cast("bigint")
     text = F.when(key % 7 == 0, "not a time").when(key % 11 != 0, F.date_format("last_watched_timestamp", "yyyy-MM-dd HH:mm:ss"))
-    rows = products.clean_rows(t).withColumn("last_watched_timestamp", text)
+    rows = products.labelled(t).withColumn("last_watched_timestamp", text)
     wanted = serve.filter_watch_range(rows).withColumn("t", serve.watch_time_of(F.col("last_watched_timestamp")))
-    placed = ranked(wanted.select("user_id", "video_id", "t"), ["user_id"], [F.col("t").desc(), F.col("video_id")])
-    return placed.select("user_id", "video_id", (F.col("rn") - 1).alias("pos"))
+    placed = ranked(wanted.select("content_type", "user_id", "video_id", "t"), ["content_type", "user_id"], [F.col("t").desc(), F.col("video_id")])
+    return placed.select("content_type", "user_id", "video_id", (F.col("rn") - 1).alias("pos"))
 
 
 @query("iou_top5pct", """
@@ -138,7 +138,7 @@ def user_list_intersect(t):
     select user_id, video_id, position from newest_row n
     where not exists (select 1 from watched_pair w where w.user_id = n.user_id and w.video_id = n.video_id) order by user_id, position""")
 def history_set_diff(t):
-    rows = serve.exclude_items(products.newest_rows(t), pools.user_history(t.interaction, AS_OF))
+    rows = serve.exclude_items(products.newest_rows(t), pools.watched_items(t.interaction, AS_OF))
     return rows.orderBy("user_id", "position")
 
 
@@ -150,20 +150,16 @@ def dedup_preserve_order(t):
 
 
 @query("pool_concat", """
-    select user_id, video_id, source, rank from (
-        select user_id, video_id, 0 as source, position as rank from user_region join region_pool using (region) where position <= 20
-        union all select user_id, video_id, 1, position from user_region, popular_pool where content_type = 'clean' and position <= 20
-        union all select user_id, video_id, 2, position from user_region, untouched_pool where content_type = 'clean' and position <= 20)""")
+    select content_type, region as pool_key, video_id, 0 as source, position as rank from region_pool
+    union all select content_type, 'global', video_id, 1, position from popular_pool
+    union all select content_type, 'global', video_id, 2, position from untouched_pool""")
 def pool_concat(t):
-    users = t.user_region
-    first = users.join(products.region_rows(t).where("position <= 20"), "region").withColumnRenamed("position", "rank")
+    def build(content):
+        regional = products.region_rows(t, content).select(F.col("region").alias("pool_key"), "video_id", F.col("position").alias("rank"))
+        shared = (products.popular_rows(t, content), products.untouched_rows(t, content))
+        return pools.pool_concat(regional, *[p.select(F.lit("global").alias("pool_key"), "video_id", F.col("position").alias("rank")) for p in shared], key="pool_key")
 
-    def shared(pool):
-        """A pool of a fixed twenty places joined to users on the place."""
-        places = users.withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(20))))
-        return places.join(pool.where("position <= 20").select("position", "video_id"), "position").withColumnRenamed("position", "rank")
-
-    return pools.pool_concat(first, shared(products.popular_rows(t)), shared(products.untouched_rows(t)))
+    return products.of_both(build)
 
 
 @query("result_diff_check", """

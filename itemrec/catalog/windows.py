@@ -13,9 +13,9 @@ from itemrec.operators.ranking import top_n, with_percent_rank
 from itemrec.plans import profiles
 
 
-@query("recent_n_per_user", "select user_id, video_id, position as recency from newest_row")
+@query("recent_n_per_user", "select user_id, video_id, cast(position as int) as recency from newest_row where position <= 10")
 def recent_n_per_user(t):
-    return profiles.recent_n_per_user(t.interaction).select("user_id", "video_id", "recency")
+    return profiles.recent_n_per_user(t.interaction, 10).select("user_id", "video_id", "recency")
 
 
 @query("ntile_tiers", "select content_type, cluster_id, user_id, total_seconds, items_watched, bin from tier_user")
@@ -99,10 +99,9 @@ def topk_similar(t):
 
 
 sql_view("event_session", """
-    select user_id, event_id, item_id, ts, cast(sum(case when floor(epoch_us(ts) / 1000000.0 - epoch_us(prev) / 1000000.0) > 600 then 1 else 0 end)
+    select user_id, event_id, item_id, ts, cast(sum(case when (epoch_us(ts) - epoch_us(prev)) // 1000000 > 600 then 1 else 0 end)
            over (partition by user_id order by ts, event_id) as bigint) as session_id
-    from (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from watch_event)""".replace(
-    "floor(epoch_us(ts) / 1000000.0 - epoch_us(prev) / 1000000.0)", "(epoch_us(ts) - epoch_us(prev)) // 1000000"))
+    from (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from watch_event)""")
 
 
 @query("sessionize_lag", "select user_id, event_id, session_id from event_session")
@@ -118,8 +117,8 @@ def score_ladder(t):
     return rows.select("nsfw_label", "region", "video_id", "score", "place")
 
 
-@query("query_importance", "select user_id, query_video_id, cast(pos as int) as pos, n, round(importance, 6) as importance from query_item")
+@query("query_importance", "select content_type, user_id, query_video_id, cast(pos as int) as pos, n, round(importance, 6) as importance from query_item")
 def query_importance(t):
-    return products.queries_of(t).select("user_id", "query_video_id", "pos", "n", F.round("importance", 6).alias("importance"))
+    return products.of_both(lambda c: products.queries_of(t, c)).select("content_type", "user_id", "query_video_id", "pos", "n", F.round("importance", 6).alias("importance"))
 
 

@@ -38,9 +38,12 @@ def region_candidates(popularity: DataFrame, nsfw: DataFrame) -> DataFrame:
 
 def region_topk(candidates: DataFrame, k: int = REGION_DEFAULT, low: float | None = None, high: float | None = None,
                 keys: tuple[str, ...] = ("nsfw_label", "region")) -> DataFrame:
+    """The ``k`` best items of each region; more than the service ever answers with is refused, not cut."""
+    if k > REGION_CEILING:
+        raise ValueError(f"at most {REGION_CEILING} items of a region")
     rows = candidates if low is None else candidates.where(F.col("score") >= low)
     rows = rows if high is None else rows.where(F.col("score") <= high)
-    return top_n(rows, list(keys), [F.col("score").desc(), F.col("video_id").desc()], min(k, REGION_CEILING), "position")
+    return top_n(rows, list(keys), [F.col("score").desc(), F.col("video_id").desc()], k, "position")
 
 
 def region_stats(candidates: DataFrame) -> DataFrame:
@@ -93,9 +96,10 @@ def popular_items(item_index: DataFrame, nsfw: DataFrame, bucket: str) -> DataFr
 
 
 def shuffle_sample(pool: DataFrame, size: int, seed: str, keys: tuple[str, ...] = ("content_type",)) -> DataFrame:
-    """First ``size`` of a reproducible shuffle, with their place in it."""
+    """First ``size`` of a reproducible shuffle, with their place in it; a content type is sorted by many tasks."""
     order = [ids.hash_order(seed, F.col("video_id")), F.col("video_id")]
-    return top_n(pool, list(keys), order, size, "position")
+    places = ranked(pool, list(keys), order, "position").where(F.col("position") <= size)
+    return places.withColumn("position", F.col("position").cast("int")).drop("group_n")
 
 
 def popular_pool(item_index: DataFrame, nsfw: DataFrame, bucket: str, size: int = POPULAR_SIZE) -> DataFrame:
@@ -153,11 +157,14 @@ def pool_rotation(users: DataFrame, pool: DataFrame, k: int, seed: str, wrap: bo
     return asked.join(pool.select("content_type", "position", "video_id"), ["content_type", "position"]).drop("_n", "_start", "position")
 
 
-def pool_concat(*parts: DataFrame) -> DataFrame:
-    """Parts (user_id, video_id, rank) one after the other, the source's number leading the order."""
+def pool_concat(*parts: DataFrame, key: str = "user_id") -> DataFrame:
+    """Parts (``key``, video_id, rank) one after the other, the source's number leading the order.
+
+    Shared pools are concatenated by the key that users share them under, not once for each user.
+    """
     out = None
     for number, part in enumerate(parts):
-        tagged = part.select("user_id", "video_id", F.lit(number).alias("source"), F.col("rank").cast("bigint").alias("rank"))
+        tagged = part.select(key, "video_id", F.lit(number).alias("source"), F.col("rank").cast("bigint").alias("rank"))
         out = tagged if out is None else out.unionByName(tagged)
     return out
 
@@ -176,18 +183,27 @@ def lookback(interactions: DataFrame, as_of: str, days: int = HISTORY_DAYS) -> D
     )
 
 
+def watched_items(interactions: DataFrame, as_of: str, days: int = HISTORY_DAYS) -> DataFrame:
+    """Every item a user watched inside the lookback: what exclusions read."""
+    return lookback(interactions, as_of, days).select("user_id", "video_id").distinct()
+
+
 def user_history(interactions: DataFrame, as_of: str, days: int = HISTORY_DAYS, size: int = HISTORY_SIZE, recency: bool = False) -> DataFrame:
-    """Items per user inside the lookback; the cap goes by item id unless ``recency``."""
+    """Items per user inside the lookback as the cache stores them; the cap goes by item id unless ``recency``."""
     rows = lookback(interactions, as_of, days).groupBy("user_id", "video_id").agg(F.max("last_watched_timestamp").alias("t"))
     order = [F.col("t").desc(), F.col("video_id")] if recency else [F.col("video_id")]
     return top_n(rows, ["user_id"], order, size).select("user_id", "video_id")
 
 
-def reported_items(reports: DataFrame, size: int = REPORTED_SIZE) -> DataFrame:
-    """Distinct reported items and their parents per user, test users and missing ids left out."""
+def all_reported(reports: DataFrame) -> DataFrame:
+    """Distinct reported items and their parents per user, test users and missing ids left out: what exclusions read."""
     real = reports.where(~F.col("reportee_user_id").like("%test%"))
     both = real.select(
         F.col("reportee_user_id").alias("user_id"), F.explode(F.array("video_uri", "parent_video_uri")).alias("uri")
     )
-    rows = both.select("user_id", ids.item_id_passthrough(F.col("uri")).alias("video_id")).where("video_id is not null").distinct()
-    return top_n(rows, ["user_id"], [F.col("video_id")], size).select("user_id", "video_id")
+    return both.select("user_id", ids.item_id_passthrough(F.col("uri")).alias("video_id")).where("video_id is not null").distinct()
+
+
+def reported_items(reports: DataFrame, size: int = REPORTED_SIZE) -> DataFrame:
+    """Reported items per user as the cache stores them, capped by item id."""
+    return top_n(all_reported(reports), ["user_id"], [F.col("video_id")], size).select("user_id", "video_id")

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemrec.runtime import broadcast_checked, materialize
+from itemrec.runtime import materialize
+
+#: Spark's own bound (spark.sql.optimizer.windowGroupLimitThreshold) for limiting a window's groups before the shuffle.
+WINDOW_LIMIT = 1000
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], position: str = "rn", size: str = "group_n") -> DataFrame:
@@ -85,7 +88,14 @@ def discrete_percentiles(positions: DataFrame, group: list[str], value: str, sha
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, position: str = "rn") -> DataFrame:
-    """First ``n`` rows of each group; the limit is applied before the shuffle as well as after."""
+    """First ``n`` rows of each group.
+
+    Up to ``WINDOW_LIMIT``, Spark cuts each partition to ``n`` rows a group before the shuffle; more
+    rows are numbered by a distributed sort, so that no group fills one task.
+    """
+    if n > WINDOW_LIMIT:
+        rows = ranked(df, group, order, position, "_group_n").where(F.col(position) <= n)
+        return rows.withColumn(position, F.col(position).cast("int")).drop("_group_n")
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(position, F.row_number().over(w)).where(F.col(position) <= n)
 
@@ -98,16 +108,3 @@ def paged_lists(df: DataFrame, group: list[str], order: list[Column], value: Col
     )
     return lists.select(*group, "page", F.transform("_items", lambda s: s["value"]).alias("items"))
 
-
-def pick_window(users: DataFrame, pool: DataFrame, pool_keys: list[str], k: int, start: Column) -> DataFrame:
-    """``k`` consecutive positions (wrapping round) of a shuffled pool for every user, all when the pool is smaller.
-
-    ``pool`` carries ``rn`` and ``group_n`` per ``pool_keys``. Joins on the position,
-    so users are never multiplied by the pool.
-    """
-    sizes = pool.groupBy(*pool_keys).agg(F.max("group_n").alias("_pool_n"))
-    asked = users.join(broadcast_checked(sizes), pool_keys)
-    asked = asked.where(F.col("_pool_n") > 0).withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_pool_n")).cast("int") - 1))
-    ).withColumn("rn", (start + F.col("_slot")) % F.col("_pool_n") + 1)
-    return asked.join(pool.drop("group_n"), [*pool_keys, "rn"]).withColumnRenamed("_slot", "position").drop("rn", "_pool_n")

@@ -153,29 +153,49 @@ def drop_own_queries(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.join(own, ["user_id", "candidate_video_id"], "left_anti")
 
 
-def rerank(queries: DataFrame, keys: DataFrame, tier: DataFrame, iou: DataFrame, pools: DataFrame, item_vectors: DataFrame,
-           floor: float = MIN_SIMILARITY) -> DataFrame:
-    """(user, query, kind, candidate, similarity) for all kinds.
+@dataclass
+class Scored:
+    """Similarities of all kinds; those with pools are kept once for all users that share them.
+
+    ``near`` has, for each pool and query item, the pool's items that are at least ``floor`` alike: a
+    list no longer than the pool, which is sampled.
+    """
+
+    personal: DataFrame  # user_id, query_video_id, type_num, candidate_video_id, similarity
+    asked: DataFrame     # user_id, query_video_id, pos, importance, pool_key
+    near: DataFrame      # pool_key, query_video_id, candidates: array of (type_num, candidate_video_id, similarity)
+    floor: float
 
-    Similarity is a fact about two items, so it is computed once per item pair and then joined
-    to users: listed pairs for the personal kinds, pool blocks for the shared pools. Pool
-    pairs under ``floor`` are dropped at the source since mixing drops them anyway.
+    def pooled(self) -> DataFrame:
+        """A row per user, query item and pool item; what follows should add them up by user before any shuffle."""
+        return self.asked.join(self.near, ["pool_key", "query_video_id"]).select(
+            "user_id", "query_video_id", "pos", "importance", F.inline("candidates")
+        )
+
+
+def score_candidates(queries: DataFrame, keys: DataFrame, tier: DataFrame, iou: DataFrame, pools: DataFrame, item_vectors: DataFrame,
+                     floor: float = MIN_SIMILARITY) -> Scored:
+    """Similarity is a fact about two items, so it is computed once per item pair: listed pairs for
+    the personal kinds, blocks of pool items and distinct query items for the pools.
     """
     personal = personal_candidates(queries, tier, iou)
     known = pair_similarity(personal, item_vectors)
     scored = personal.join(known, ["query_video_id", "candidate_video_id"])
-    asked = queries.select("user_id", "query_video_id").join(keys, "user_id")
+    asked = queries.select("user_id", "query_video_id", "pos", "importance").join(keys, "user_id")
     vectors_of = item_vectors.where(F.col("embedding").isNotNull()).select("video_id", "embedding")
     q = asked.select("pool_key", F.col("query_video_id").alias("video_id")).distinct().join(vectors_of, "video_id")
     t = pools.select("pool_key", "video_id").distinct().join(vectors_of, "video_id")
-    near = blocked_similarity(q, t, ["pool_key"], floor)
-    pooled = (
-        asked.join(near, ["pool_key", "query_video_id"])
-        .join(pools.withColumnRenamed("video_id", "candidate_video_id"), ["pool_key", "candidate_video_id"])
-        .select("user_id", "query_video_id", "type_num", "candidate_video_id", "similarity")
-    )
+    pairs = blocked_similarity(q, t, ["pool_key"], floor).join(pools.withColumnRenamed("video_id", "candidate_video_id"), ["pool_key", "candidate_video_id"])
+    lists = pairs.groupBy("pool_key", "query_video_id").agg(F.collect_list(F.struct("type_num", "candidate_video_id", "similarity")).alias("candidates"))
     columns = ["user_id", "query_video_id", "type_num", "candidate_video_id", "similarity"]
-    return drop_own_queries(scored.select(*columns).unionByName(pooled.select(*columns)), queries)
+    # Broadcast if small, so that the join leaves a user's rows in their task; else adaptive execution splits popular query items.
+    return Scored(scored.select(*columns), asked, broadcast_checked(lists, 64 << 20), floor)
+
+
+def rerank(scored: Scored, queries: DataFrame) -> DataFrame:
+    """(user, query, kind, candidate, similarity) written out for all kinds."""
+    columns = ["user_id", "query_video_id", "type_num", "candidate_video_id", "similarity"]
+    return drop_own_queries(scored.personal.select(*columns).unionByName(scored.pooled().select(*columns)), queries)
 
 
 def _weight() -> Column:
@@ -185,52 +205,65 @@ def _weight() -> Column:
     return out
 
 
-def _contributions(ranked_rows: DataFrame, queries: DataFrame, per_query: int, floor: float) -> DataFrame:
-    """Rows that count, with their score and processing order.
+def _contributions(source: DataFrame | Scored, queries: DataFrame, per_query: int, floor: float) -> DataFrame:
+    """Rows that count, with their score and processing order; ``source`` is rows of ``rerank`` or what they come from.
 
     Personal kinds keep their best ``per_query`` per (user, query, kind) before the floor applies.
     """
-    order = [F.col("similarity").desc(), F.col("candidate_video_id")]
-    group = ["user_id", "query_video_id", "type_num"]
-    personal = top_n(ranked_rows.where(~F.col("type_num").isin(POOL_KINDS)), group, order, per_query, "rank")
-    pooled = ranked_rows.where(F.col("type_num").isin(POOL_KINDS)).withColumn("rank", F.lit(0))
-    rows = personal.unionByName(pooled).where(F.col("similarity") >= floor)
     q = queries.select("user_id", "query_video_id", "pos", "importance")
-    return rows.join(q, ["user_id", "query_video_id"]).select(
+    if isinstance(source, Scored):
+        if floor < source.floor:
+            raise ValueError(f"pairs below {source.floor} were not kept")
+        personal, pooled = drop_own_queries(source.personal, queries), source.pooled()
+    else:
+        is_pool = F.col("type_num").isin(POOL_KINDS)
+        personal, pooled = source.where(~is_pool), source.where(is_pool).join(q, ["user_id", "query_video_id"])
+    order = [F.col("similarity").desc(), F.col("candidate_video_id")]
+    best = top_n(personal, ["user_id", "query_video_id", "type_num"], order, per_query, "rank").join(q, ["user_id", "query_video_id"])
+    rows = best.unionByName(pooled.withColumn("rank", F.lit(0))).where(F.col("similarity") >= floor)
+    return rows.select(
         "user_id", "query_video_id", "type_num", "candidate_video_id", "similarity",
         F.round(F.col("importance") * _weight() * F.col("similarity"), 9).alias("score"),
         F.struct("pos", "type_num", "rank").alias("turn"), F.col("type_num").isin(POOL_KINDS).alias("is_pool"),
     )
 
 
+def _without_own(rows: DataFrame, source: DataFrame | Scored, queries: DataFrame) -> DataFrame:
+    """Pool items that are a user's own query items go after the sum, when there are fewest rows."""
+    return drop_own_queries(rows, queries) if isinstance(source, Scored) else rows
+
+
 def _top(scored: DataFrame, top_k: int, pool_k: int) -> DataFrame:
     order = [F.col("score").desc(), F.col("turn"), F.col("candidate_video_id")]
     placed = top_n(scored, ["user_id", "is_pool"], order, max(top_k, pool_k), "position")
     return placed.where(F.col("position") <= F.when(F.col("is_pool"), pool_k).otherwise(top_k))
 
 
-def mix(ranked_rows: DataFrame, queries: DataFrame, top_k: int = TOP_K, pool_k: int = POOL_TOP_K,
+def mix(source: DataFrame | Scored, queries: DataFrame, top_k: int = TOP_K, pool_k: int = POOL_TOP_K,
         per_query: int = PER_QUERY, floor: float = MIN_SIMILARITY) -> DataFrame:
     """Score = importance x kind weight x similarity. Personal: first occurrence wins; pools: best score wins."""
-    rows = _contributions(ranked_rows, queries, per_query, floor)
+    rows = _contributions(source, queries, per_query, floor)
     best = rows.groupBy("user_id", "is_pool", "candidate_video_id").agg(
         F.min_by("score", "turn").alias("first_score"), F.max("score").alias("best_score"), F.min("turn").alias("turn")
     )
+    best = _without_own(best, source, queries)
     scored = best.withColumn("score", F.when(F.col("is_pool"), F.col("best_score")).otherwise(F.col("first_score")))
     return _top(scored, top_k, pool_k).select("user_id", "is_pool", "candidate_video_id", "score", "position")
 
 
-def mix_sum(ranked_rows: DataFrame, queries: DataFrame, top_k: int = 10, pool_k: int = 50,
+def mix_sum(source: DataFrame | Scored, queries: DataFrame, top_k: int = 10, pool_k: int = 50,
             per_query: int = 3, floor: float = 0.5, with_sources: bool = False) -> DataFrame:
     """Older rule: pool scores add up over queries and kinds; sources (at most queries x kinds) on request."""
-    rows = _contributions(ranked_rows, queries, per_query, floor)
-    first = Window.partitionBy("user_id", "candidate_video_id", "is_pool").orderBy("turn")
-    rows = rows.withColumn("_k", F.row_number().over(first)).where(F.col("is_pool") | (F.col("_k") == 1))
+    rows = _contributions(source, queries, per_query, floor)
+    first = Window.partitionBy("user_id", "candidate_video_id").orderBy("turn")
+    once = rows.where(~F.col("is_pool")).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    rows = once.unionByName(rows.where("is_pool"))
     extra = [F.array_sort(F.collect_list(F.struct("turn", "query_video_id", "type_num", "similarity", "score"))).alias("sources")]
     summed = rows.groupBy("user_id", "is_pool", "candidate_video_id").agg(
         F.round(F.sum("score"), 9).alias("score"), F.min("turn").alias("turn"), F.count(F.lit(1)).alias("source_count"),
         *(extra if with_sources else []),
     )
+    summed = _without_own(summed, source, queries)
     keep = ["user_id", "is_pool", "candidate_video_id", "score", "source_count", "position"]
     return _top(summed, top_k, pool_k).select(*keep, *(["sources"] if with_sources else []))
 
@@ -376,7 +409,7 @@ def recommend_all(c: Catalogue, results: int = RESULTS, excluded: DataFrame | No
         c.cluster_pool, c.region_pool, c.popular.where(F.col("position") <= POOL_SAMPLE)
         .select("video_id").unionByName(c.untouched.where(F.col("position") <= UNTOUCHED_PICK).select("video_id")),
     ))
-    mixed = materialize(mix(rerank(queries, user_pool_keys(served), c.tier, c.iou, pools, c.item_vectors), queries))
+    mixed = materialize(mix(score_candidates(queries, user_pool_keys(served), c.tier, c.iou, pools, c.item_vectors), queries))
     main = mixed.select(
         "user_id", F.col("candidate_video_id").alias("video_id"),
         F.when(F.col("is_pool"), "pool").otherwise("personal").alias("origin"),

@@ -76,7 +76,12 @@ def _release_at_exit() -> None:
         _STORED.clear()
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast a summary table when its counted size allows, else leave the join to the planner."""
+def stored_bytes(table: DataFrame) -> int:
+    """Size of a stored table by its files."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_checked(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Store a summary table and broadcast it if its files are small, else leave the join to the planner."""
     table = store(df)
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+    return F.broadcast(table) if stored_bytes(table) <= max_bytes else table

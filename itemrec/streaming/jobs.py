@@ -2,17 +2,17 @@
 
 Every job is a transformation of a streaming DataFrame; ``run_to_table`` drives one with
 exactly-once batch folders. State is keyed by (user, item) wherever possible, so one very active
-user is spread over the state partitions. Events later than the watermark are dropped.
+user is spread over the state partitions. Every state belongs to an event-time window or a
+watermark, so it is dropped once no event can reach it any more; events later than the watermark
+are dropped too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from itemrec.functions import rules
 
@@ -22,7 +22,7 @@ REPORT_TTL_DAYS = 30
 
 
 def read_events(spark, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
@@ -57,16 +57,29 @@ def parsed(events: DataFrame) -> DataFrame:
     )
 
 
-def watch_history(events: DataFrame) -> DataFrame:
-    """Newest event per (user, item), update mode; ``capped_history`` applies the per-user cap on read."""
-    return events.groupBy("user_id", "video_id").agg(
-        F.max("ts").alias("last_watched_timestamp"), F.max_by("mean_percentage_watched", "ts").alias("mean_percentage_watched")
+def watch_history(events: DataFrame, labels: DataFrame, late: str = "1 day") -> DataFrame:
+    """Newest event per (content type, user, item) and day, update mode.
+
+    ``labels`` (video_id, content_type) is a static table; items without a label have no history.
+    A day's state goes once the watermark has passed the day. ``live_history`` puts days together.
+    """
+    return (
+        events.join(labels, "video_id").withWatermark("ts", late)
+        .groupBy(F.window("ts", "1 day"), "content_type", "user_id", "video_id")
+        .agg(F.max("ts").alias("last_watched_timestamp"), F.max_by("mean_percentage_watched", "ts").alias("mean_percentage_watched"))
+        .select(F.col("window.start").alias("day"), "content_type", "user_id", "video_id", "last_watched_timestamp", "mean_percentage_watched")
     )
 
 
-def capped_history(history: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.col("last_watched_timestamp").desc(), "video_id")
-    return history.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+def live_history(table: DataFrame, as_of: str, ttl_days: int = HISTORY_TTL_DAYS, cap: int = HISTORY_CAP) -> DataFrame:
+    """The table of ``watch_history`` as it is read: items seen within ``ttl_days`` before ``as_of``, the newest ``cap`` per content type and user."""
+    since_day = F.lit(as_of).cast("timestamp") - F.expr(f"interval {ttl_days} days")
+    alive = table.where(F.col("last_watched_timestamp") >= since_day)
+    newest = alive.groupBy("content_type", "user_id", "video_id").agg(
+        F.max("last_watched_timestamp").alias("last_watched_timestamp"), F.max_by("mean_percentage_watched", "last_watched_timestamp").alias("mean_percentage_watched")
+    )
+    w = Window.partitionBy("content_type", "user_id").orderBy(F.col("last_watched_timestamp").desc(), "video_id")
+    return newest.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
 
 
 def recent_items(events: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -88,8 +101,18 @@ def dedup(events: DataFrame, ttl: str = f"{HISTORY_TTL_DAYS} days") -> DataFrame
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "video_id"])
 
 
-def view_counts(views: DataFrame) -> DataFrame:
-    return views.groupBy("item_id").agg(F.count_if("logged_in").alias("total_count_loggedin"), F.count(F.lit(1)).alias("total_count_all"))
+def view_counts(views: DataFrame, late: str = "1 day") -> DataFrame:
+    """Views per item and day, update mode; ``total_views`` adds up the days."""
+    return (
+        views.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "item_id")
+        .agg(F.count_if("logged_in").alias("count_loggedin"), F.count(F.lit(1)).alias("count_all"))
+        .select(F.col("window.start").alias("day"), "item_id", "count_loggedin", "count_all")
+    )
+
+
+def total_views(table: DataFrame) -> DataFrame:
+    days = latest(table, ["day", "item_id"])
+    return days.groupBy("item_id").agg(F.sum("count_loggedin").alias("total_count_loggedin"), F.sum("count_all").alias("total_count_all"))
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -102,8 +125,10 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes
 
 
 def filter_watched(recommendations: DataFrame, history: DataFrame) -> DataFrame:
-    """Per batch: recommendations minus stored history."""
-    return recommendations.join(history.select("user_id", "video_id"), ["user_id", "video_id"], "left_anti")
+    """Per batch: recommendations minus the part of the stored history that its users have."""
+    users = recommendations.select("user_id").distinct()
+    own = history.select("user_id", "video_id").join(users, "user_id", "left_semi")
+    return recommendations.join(own, ["user_id", "video_id"], "left_anti")
 
 
 def report_updates(batch: DataFrame) -> DataFrame:
@@ -117,31 +142,14 @@ def active_reports(table: DataFrame, as_of: str, days: int = REPORT_TTL_DAYS) ->
     return newest.where(F.col("reported_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days"))
 
 
-def expiring_history(events: DataFrame, ttl_days: int = HISTORY_TTL_DAYS, late: str = "0 seconds") -> DataFrame:
-    """Items enter the history when seen and leave it when not seen again for ``ttl_days`` of event time.
+def stays(events: DataFrame, ttl_days: int = HISTORY_TTL_DAYS, late: str = "0 seconds") -> DataFrame:
+    """When items entered and left the history: (user_id, video_id, entered, left, events), append mode.
 
-    One small state per (user, item): the newest time. Emits an ``enter`` and, once the
-    watermark passes newest + ttl, a ``leave`` row.
+    An item stays until it hasn't been seen for ``ttl_days``. Its row comes, and its state goes, once
+    the watermark has passed that moment.
     """
-    ttl_ms = ttl_days * 86_400_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user, item = key
-        if state.hasTimedOut:
-            (newest,) = state.get
-            state.remove()
-            yield pd.DataFrame({"user_id": [user], "video_id": [item], "change": ["leave"], "newest_ms": [newest]})
-            return
-        known = state.exists
-        newest = state.get[0] if known else -1
-        for rows in batches:
-            newest = max(newest, int(rows["ts_ms"].max()))
-        state.update((newest,))
-        state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        if not known:
-            yield pd.DataFrame({"user_id": [user], "video_id": [item], "change": ["enter"], "newest_ms": [newest]})
-
-    keyed = events.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
-    return keyed.groupBy("user_id", "video_id").applyInPandasWithState(
-        step, "user_id string, video_id string, change string, newest_ms long", "newest long", "append", GroupStateTimeout.EventTimeTimeout
+    return (
+        events.withWatermark("ts", late).groupBy("user_id", "video_id", F.session_window("ts", f"{ttl_days} days").alias("s"))
+        .agg(F.count(F.lit(1)).alias("events"))
+        .select("user_id", "video_id", F.col("s.start").alias("entered"), F.col("s.end").alias("left"), "events")
     )

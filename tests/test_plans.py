@@ -1,12 +1,18 @@
 """Plans: what reaches the scan, what stays in the JVM, and the catalogue itself."""
 
+import re
+
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from itemrec import catalog
-from itemrec.operators import iou
-from itemrec.plans import profiles
+from itemrec.catalog import products
+from itemrec.operators import iou, pools, similarity
+from itemrec.plans import profiles, serve
 from itemrec.quality import expect_non_empty
 from itemrec.sources import scans, sinks
+from itemrec.sources.views import AS_OF
 
 
 def plan(df) -> str:
@@ -32,10 +38,8 @@ def test_index_scan_leaves_vectors_unread(spark, tables, tmp_path):
     assert "embedding" not in text.split("ReadSchema")[1]
 
 
-def test_scan_limits_and_long_lists(stored):
+def test_scan_limits(stored):
     assert [r[0] for r in scans.scan_interactions(stored, limit=3).select("user_id").collect()] and scans.scan_interactions(stored, limit=3).count() == 3
-    with pytest.raises(ValueError):
-        scans.scan_interactions(stored, users=[str(i) for i in range(2000)])
 
 
 def test_means_have_partial_aggregation_and_no_python(tables):
@@ -44,8 +48,6 @@ def test_means_have_partial_aggregation_and_no_python(tables):
 
 
 def test_audiences_avoid_expand(stored, tables):
-    from itemrec.catalog import products
-
     text = plan(iou.item_audiences(products.split(tables)))
     assert "Expand" not in text and "CartesianProduct" not in text
 
@@ -70,3 +72,52 @@ def test_catalogue_is_consistent():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     for name, sql in catalog.ORACLES.items():
         assert catalog.expand(sql).lstrip().lower().startswith(("with", "select")), name
+
+
+def test_pools_are_not_sorted_by_one_task_per_content_type(tables):
+    for pool in (pools.popular_pool(tables.item_index, tables.item_nsfw, "items"), pools.untouched_pool(tables.item_index, tables.item_nsfw, tables.item_unique, tables.interaction, "2002-01-20 00:00:00")):
+        assert "row_number" not in plan(pool)
+
+
+def test_pool_scores_are_not_shuffled_by_user_and_query(tables):
+    served = products.Served(tables, "clean")
+    scored = served.scored()
+    mixed = serve.mix(scored, served.queries)
+    assert "BroadcastHashJoin [pool_key" in plan(mixed)
+    full = serve.mix(serve.rerank(scored, served.queries), served.queries)
+    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, full.collect()))
+    summed, written = (serve.mix_sum(x, served.queries, floor=0.5) for x in (scored, serve.rerank(scored, served.queries)))
+    assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, written.collect()))
+    with pytest.raises(ValueError):
+        serve.mix(scored, served.queries, floor=0.1)
+
+
+def test_no_vector_is_shuffled_by_pair(tables):
+    vectors = products.item_vectors(tables)
+    pairs = vectors.select("video_id").distinct().limit(40).withColumnRenamed("video_id", "query_video_id").withColumn("candidate_video_id", F.col("query_video_id"))
+    pairs = pairs.withColumn("candidate_video_id", F.lead("query_video_id").over(Window.orderBy("query_video_id"))).dropna()
+    plan = plan(similarity.pair_rows(pairs, vectors))
+    assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "query_video_id" in x and "candidate_video_id" in x]
+
+
+def test_caps_bite_and_every_fallback_source_occurs(tables):
+    watched, reported = pools.watched_items(tables.interaction, AS_OF), pools.all_reported(tables.reports)
+    assert pools.user_history(tables.interaction, AS_OF, size=2).count() < watched.count()
+    assert pools.reported_items(tables.reports, 2).count() < reported.count()
+    rows = serve.fallback_recommendations(tables.user_region, *[f(tables, "nsfw") for f in (products.region_rows, products.popular_rows, products.untouched_rows)], watched, reported)
+    assert {r.source for r in rows.select("source").distinct().collect()} == {0, 1, 2}
+
+
+def test_long_id_lists_are_joined(tables):
+    wanted = [r.video_id for r in tables.item_unique.limit(30).collect()]
+    long = wanted + [f"none{i}" for i in range(scans.SHORT_LIST)]
+    short = scans.scan_interactions(tables.interaction, items=wanted)
+    assert sorted(map(str, scans.scan_interactions(tables.interaction, items=long).collect())) == sorted(map(str, short.collect()))
+    either = scans.scan_duplicates(tables.item_duplicates, items=wanted)
+    assert either.columns == tables.item_duplicates.columns
+    for items in (long, spark_list(tables, long)):
+        assert sorted(map(str, scans.scan_duplicates(tables.item_duplicates, items=items).collect())) == sorted(map(str, either.collect()))
+
+
+def spark_list(tables, values):
+    return tables.spark.createDataFrame([(v,) for v in values], "id string")

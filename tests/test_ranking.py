@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from itemrec.operators import ranking
 from itemrec.operators.ranking import ntile_from, paged_lists, ranked, top_n, with_percent_rank
 from itemrec.operators.pools import pool_rotation
 from itemrec.operators.sessions import session_baskets, sessionize
@@ -70,3 +71,13 @@ def test_session_gaps(spark):
     assert got == [0, 0, 0, 0, 1, 2, 3]
     busy = spark.range(12).select(F.lit("u").alias("user_id"), F.lit(0).alias("session_id"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").cast("string").alias("item_id"))
     assert [len(r["items"]) for r in session_baskets(busy).orderBy("batch_index").collect()] == [5, 5, 2]
+
+
+def test_large_limits_are_ranked_by_a_distributed_sort(spark, monkeypatch):
+    df = spark.createDataFrame([(f"g{i % 2}", i * 7 % 50) for i in range(50)] + [(None, 1)], "g string, v int")
+    window = sorted(map(tuple, ranking.top_n(df, ["g"], [F.col("v")], 9).collect()), key=str)
+    monkeypatch.setattr(ranking, "WINDOW_LIMIT", 5)
+    large = ranking.top_n(df, ["g"], [F.col("v")], 9)
+    assert sorted(map(tuple, large.collect()), key=str) == window and len(window) == 19
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan

@@ -110,7 +110,7 @@ def test_history_cap_goes_by_id_or_recency(spark):
 def test_recommendations_never_hold_watched_items(spark, tables):
     from itemrec.catalog import products
 
-    found = products.catalogue_of(tables)
+    found = products.catalogue_of(tables, "clean")
     rows = serve.recommend_all(found).checkpoint()
     assert rows.count() > 0
     assert rows.join(found.watched, ["user_id", "video_id"], "left_semi").count() == 0

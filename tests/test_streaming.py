@@ -24,12 +24,32 @@ def drain(spark, stream, mode="append", prepare=None):
     return spark.read.parquet(base + "/t")
 
 
+DAY = 86_400.0
+
+
+def history(spark, batches, as_of, **options):
+    stream = feed(spark, batches).withColumn("mean_percentage_watched", F.unix_seconds("ts") / 100)
+    labels = spark.createDataFrame([("a", "clean"), ("b", "clean"), ("c", "nsfw")], "video_id string, content_type string")
+    table = drain(spark, jobs.watch_history(stream, labels), "update")
+    return [(r.content_type, r.video_id, r.last_watched_timestamp.timestamp()) for r in jobs.live_history(table, as_of, **options).orderBy("content_type", "place").collect()]
+
+
 def test_newest_event_wins_over_batches(spark):
-    stream = feed(spark, [[("u", "a", 10.0), ("u", "b", 30.0)], [("u", "a", 50.0), ("u", "b", 5.0)]]).withColumn("mean_percentage_watched", F.unix_seconds("ts") / 100)
-    table = drain(spark, jobs.watch_history(stream), "update")
-    rows = jobs.capped_history(jobs.latest(table, ["user_id", "video_id"]), 2).orderBy("place").collect()
-    assert [(r.video_id, r.mean_percentage_watched) for r in rows] == [("a", 0.5), ("b", 0.3)]
-    assert jobs.capped_history(jobs.latest(table, ["user_id", "video_id"]), 1).count() == 1
+    batches = [[("u", "a", 10.0), ("u", "b", 30.0), ("u", "c", 40.0)], [("u", "a", 50.0), ("u", "b", 5.0), ("u", "unlabelled", 60.0)]]
+    assert history(spark, batches, "1970-01-02 00:00:00") == [("clean", "a", 50.0), ("clean", "b", 30.0), ("nsfw", "c", 40.0)]
+    assert history(spark, batches, "1970-01-02 00:00:00", cap=1) == [("clean", "a", 50.0), ("nsfw", "c", 40.0)]
+
+
+def test_history_drops_late_and_expired_items(spark):
+    batches = [[("u", "a", 1.0)], [("u", "b", 10 * DAY)], [("u", "b", 10 * DAY + 1)], [("u", "a", 2.0)], [("u", "c", 11 * DAY)]]
+    assert history(spark, batches, "1970-01-12 00:00:00", ttl_days=60) == [("clean", "b", 10 * DAY + 1), ("clean", "a", 1.0), ("nsfw", "c", 11 * DAY)]
+    assert history(spark, batches, "1970-01-12 00:00:00", ttl_days=5) == [("clean", "b", 10 * DAY + 1), ("nsfw", "c", 11 * DAY)]
+
+
+def test_views_add_up_over_days(spark):
+    stream = feed(spark, [[("u", "a", 1.0), ("u", "a", 2.0)], [("w", "a", 3.0), ("w", "a", 3 * DAY)], [("w", "b", 3 * DAY)]])
+    table = drain(spark, jobs.view_counts(stream.select(F.col("video_id").alias("item_id"), (F.col("user_id") == "u").alias("logged_in"), "ts")), "update")
+    assert sorted(map(tuple, jobs.total_views(table).collect())) == [("a", 2, 4), ("b", 0, 1)]
 
 
 def test_late_events_are_dropped(spark):
@@ -45,11 +65,10 @@ def test_repeats_inside_the_ttl_count_once(spark):
     assert {(r.user_id, r.video_id): r["count"] for r in rows} == {("u", "a"): 2, ("w", "a"): 1, ("u", "z"): 1}
 
 
-def test_history_entries_expire(spark):
-    day = 86_400.0
-    stream = feed(spark, [[("u", "a", day), ("u", "b", day)], [("u", "a", 5 * day)], [("w", "x", 12 * day)], [("w", "y", 20 * day)]])
-    rows = [(r.user_id, r.video_id, r.change) for r in drain(spark, jobs.expiring_history(stream, 10)).collect()]
-    assert sorted(rows) == [("u", "a", "enter"), ("u", "a", "leave"), ("u", "b", "enter"), ("u", "b", "leave"), ("w", "x", "enter"), ("w", "y", "enter")]
+def test_stays_end_when_an_item_is_not_seen_again(spark):
+    stream = feed(spark, [[("u", "a", DAY), ("u", "b", DAY)], [("u", "a", 5 * DAY)], [("w", "x", 12 * DAY)], [("w", "y", 20 * DAY)], [("u", "b", 21 * DAY)]])
+    rows = [(r.user_id, r.video_id, r.entered.timestamp() / DAY, r.left.timestamp() / DAY, r.events) for r in drain(spark, jobs.stays(stream, 10)).collect()]
+    assert sorted(rows) == [("u", "a", 1.0, 15.0, 2), ("u", "b", 1.0, 11.0, 1)]
 
 
 def test_replayed_batch_replaces_itself(spark):
