@@ -54,10 +54,6 @@ def concat_vectors(*parts: Column) -> Column:
     return F.when(~missing, F.concat(*parts))
 
 
-def rounded_text(v: Column, places: int = 6) -> Column:
-    """Comma separated fixed-point rendering, for comparisons."""
-    return F.array_join(F.transform(v, lambda x: F.format_string(f"%.{places}f", x + F.lit(0.0))), ",")
-
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str, output: str, *extra: Column) -> DataFrame:
     """Element-wise mean per key: partial sums on the map side, one vector per group in the shuffle."""
