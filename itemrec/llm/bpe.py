@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from itemrec.llm.common import arrow_schema, as_batch, bound_batches, named
 
 #: Characters of text whose distinct words one index covers. A longer text is a block of its own.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 2 << 20
 #: Rank of a pair that no merge applies to.
 NEVER = np.iinfo(np.int32).max
 
@@ -53,12 +53,12 @@ class Merges:
         self.tokens = [b""] * self.width
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        pairs = {
-            ranks[a] * self.width + ranks[b]: rank
+        found = np.array([
+            (ranks[a] * self.width + ranks[b], rank)
             for token, rank in ranks.items() for i in range(1, len(token)) if (a := token[:i]) in ranks and (b := token[i:]) in ranks
-        }
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        ], np.int64).reshape(-1, 2)
+        found = found[found[:, 0].argsort()]
+        self.keys, self.made = found[:, 0].copy(), found[:, 1].astype(np.int32)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.of_bytes = self.rank_of(np.repeat(self.byte, 256), np.tile(self.byte, 256)).reshape(256, 256)
 

@@ -15,7 +15,7 @@ from itemrec.runtime import store
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows and bytes of one Arrow batch: what a Python worker holds of its partition at a time.
-BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemrec.llm.common import UPPER, LOWER, arrow_schema, as_batch, bound_batches, fresh, named, without
+from itemrec.llm.common import UPPER, LOWER, arrow_schema, as_batch, bound_batches, named, without
 
 WINDOW, SHINGLE = 13, 3
-#: Words of benchmark text that one index holds. A larger benchmark becomes several indexes, which
-#: every batch of documents passes one after the other.
+#: Words of benchmark text that one index holds, so that a shingle's number fits 64 bits. A larger
+#: benchmark becomes several indexes, which every batch of documents passes one after the other.
 INDEX_WORDS = 2_000_000
 ADDED = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
 _OTHER = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
@@ -149,55 +149,37 @@ def mark(
     spark = docs.sparkSession
     bound_batches(spark)
     rest = without(docs, ADDED)
-    span = fresh(rest.columns, "spans")
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]))
-    found = rest.withColumn(span, F.array().cast(spans))
-    bytes_only = docs.select(named(text_col).cast("binary").alias("text"))
+    bytes_only, indexes = docs.select(named(text_col).cast("binary").alias("text")), []
     for block in _blocks(benchmark, item_col, item_text_col, index_words):
         index = Index(block)
         index.choose(_rarity(bytes_only, index))
-        found = found.mapInArrow(_passage(spark.sparkContext.broadcast(index), text_col, span, arrow_schema(found.schema)), found.schema)
+        indexes.append(spark.sparkContext.broadcast(index))
     schema = T.StructType([
         *rest.schema.fields, *[T.StructField(c, T.LongType(), False) for c in ADDED[:3]],
         T.StructField("item_ids", T.ArrayType(T.StringType(), False), False), T.StructField("contaminated", T.BooleanType(), False),
     ])
     out, passed = arrow_schema(schema), rest.columns
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words = [words_of(t) for t in batch[text_col].cast(pa.binary()).to_pylist()]
+            edges = [np.zeros(len(w) + 1, np.int64) for w in words]
+            items: list[set[str]] = [set() for _ in words]
+            for shared in indexes:
+                index = shared.value
+                for i, own in enumerate(words):
+                    for start, w in index.hits(index.numbers(own)):
+                        edges[i][start] += 1
+                        edges[i][start + len(index.windows[w])] -= 1
+                        items[i].update(index.items[w])
             added: dict[str, list] = {c: [] for c in ADDED}
-            for text, hits in zip(_bytes(batch[text_col]), batch[span].to_pylist(), strict=True):
-                n = len(words_of(text))
-                edges = np.zeros(n + 1, np.int64)
-                for x in hits:
-                    edges[x["start"]] += 1
-                    edges[x["stop"]] -= 1
-                hit = int((edges.cumsum() > 0).sum()) if hits else 0
-                items = sorted({i for x in hits for i in x["items"]})
-                for c, v in zip(ADDED, (n, hit, len(items), items, hit > 0 and 20 * hit >= n), strict=True):
+            for own, edge, found in zip(words, edges, items, strict=True):
+                hit = int((edge.cumsum() > 0).sum()) if found else 0
+                for c, v in zip(ADDED, (len(own), hit, len(found), sorted(found), hit > 0 and 20 * hit >= len(own)), strict=True):
                     added[c].append(v)
             yield as_batch({c: batch[c] for c in passed} | added, out)
 
-    return found.mapInArrow(total, schema)
-
-
-def _bytes(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
-
-
-def _passage(shared, text_col: str, span: str, out: pa.Schema):
-    """Add to each document's spans those of the windows of one index."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            spans = []
-            for text, before in zip(_bytes(batch[text_col]), batch[span].to_pylist(), strict=True):
-                ids = index.numbers(words_of(text))
-                spans.append(before + [{"start": s, "stop": s + len(index.windows[w]), "items": index.items[w]} for s, w in index.hits(ids)])
-            yield as_batch({c: batch[c] for c in batch.schema.names} | {span: spans}, out)
-
-    return run
+    return rest.mapInArrow(run, schema)
 
 
 def items_digest(items: Column) -> Column:
