@@ -2,74 +2,55 @@
 
 from __future__ import annotations
 
-import functools
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemrec.llm.class_lm import words
 from itemrec.llm.common import arrow_schema, as_batch, bound_batches, map_batches, named
 
-#: Buckets of hashed terms, dimensions of the latent space, rounds of its iteration.
-TERMS, DIMENSIONS, ROUNDS = 1 << 14, 48, 4
+#: Buckets of hashed words, dimensions of the latent space, rounds of its iteration.
+WORDS, DIMENSIONS, ROUNDS = 1 << 14, 48, 4
+#: Beside the words: shares of the byte values in the text, and steps of two shares of repetition.
+STEPS = 8
+TERMS = WORDS + 256 + 2 * (STEPS + 1)
+#: Weight of a text's bytes, whose shares add up to one, against its words, whose vector has length one.
+BYTES_WEIGHT = 3.0
 #: Labelled documents of each label that are fitted, those with the least hash of the id: a bounded sample.
 SAMPLE_EACH = 2_000
 #: Neighbours that vote, and how steeply similarity weighs.
 NEIGHBOURS, STEEPNESS = 25, 8.0
 #: Documents whose similarities are computed at a time.
 BLOCK = 256
-_SHAPE = re.compile(rb"[a-z]+|[A-Z]+|[0-9]+|[\x80-\xff]+")
-_PUNCTUATION = re.compile(rb"[^\x80-\xffA-Za-z0-9 \n]+")
 
 
-@functools.lru_cache(1 << 16)
-def _bucket(term: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(term) % TERMS
+def terms(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, weights) of each text: its words, bytes, and how much its words and lines repeat.
 
-
-@functools.lru_cache(1 << 16)
-def _shape(word: bytes) -> bytes:
-    return b"s" + _SHAPE.sub(lambda m: _KIND[m[0][0]], word)[:12]
-
-
-def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a text's terms: words in lower case, their shapes, marks, and how much repeats.
-
-    A weight is one plus the logarithm of the count. Shapes are a word's runs of capital, small and
-    other characters, without their lengths. Long texts are described as fully as short ones.
+    A word's weight is one plus the logarithm of its count, and the words' weights have length one
+    together. Long texts are described as fully as short ones.
     """
-    words = text.split()
-    found: Counter[bytes] = Counter()
-    shapes: Counter[bytes] = Counter()
-    for word, n in Counter(words).items():
-        found[b"w" + word.lower()] += n
-        shapes[_shape(word)] += n
-    for mark, n in Counter(_PUNCTUATION.findall(text)).items():
-        shapes[b"p" + mark[:8]] += n
-    n_words = max(1, len(words))
-    for name, share in (("d", len(set(words)) / n_words), ("l", _repeated(text.split(b"\n")))):
-        shapes[f"{name}{round(8 * share)}".encode()] += n_words
-    # Shapes count as shares of the text, so that they weigh alike at any length.
-    weights = {_bucket(t): 1 + np.log(n) for t, n in found.items()}
-    norm = np.sqrt(sum(w * w for w in weights.values())) or 1.0
-    weights = {b: w / norm for b, w in weights.items()}
-    for term, n in shapes.items():
-        b = _bucket(term)
-        weights[b] = weights.get(b, 0.0) + n / n_words
-    at = np.fromiter(weights.keys(), np.int64, len(weights))
-    return at, np.fromiter(weights.values(), np.float32, len(weights))
-
-
-def _repeated(lines: list[bytes]) -> float:
-    return 1 - len(set(lines)) / len(lines)
-
-
-_KIND = {b: (b"a" if 97 <= b <= 122 else b"A" if 65 <= b <= 90 else b"0" if 48 <= b <= 57 else b"x") for b in range(256)}
+    numbers, sizes = words(texts)
+    stops = np.cumsum(sizes)
+    out = []
+    for text, stop, size in zip(texts, stops.tolist(), sizes.tolist(), strict=True):
+        own = numbers[stop - size : stop]
+        at, n = np.unique(own & (WORDS - 1), return_counts=True)
+        weight = 1 + np.log(n)
+        weight /= np.sqrt((weight * weight).sum()) or 1.0
+        bytes_in = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        values = np.flatnonzero(bytes_in)
+        lines = text.split(b"\n")
+        repeats = [1 - len(set(lines)) / len(lines), 1 - len(np.unique(own)) / max(1, size)]
+        steps = [WORDS + 256 + i * (STEPS + 1) + round(STEPS * share) for i, share in enumerate(repeats)]
+        out.append((
+            np.concatenate([at, WORDS + values, steps]),
+            np.concatenate([weight, BYTES_WEIGHT * bytes_in[values] / max(1, len(text)), [1.0, 1.0]]).astype(np.float32),
+        ))
+    return out
 
 
 class Model:
@@ -84,10 +65,8 @@ class Model:
 
     def project(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), self.axes.shape[1]), np.float32)
-        for i, text in enumerate(texts):
-            at, weight = terms(text)
-            if len(at):
-                out[i] = (weight * self.rarity[at]) @ self.axes[at]
+        for i, (at, weight) in enumerate(terms(texts)):
+            out[i] = (weight * self.rarity[at]) @ self.axes[at]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
@@ -111,8 +90,8 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                n[terms(text or b"")[0]] += 1
+            for at, _ in terms([t or b"" for t in batch["text"].to_pylist()]):
+                n[at] += 1
             n[TERMS] += batch.num_rows
         full = np.flatnonzero(n)
         yield as_batch({"bucket": full, "n": n[full]}, out)
@@ -153,7 +132,7 @@ def fit(
     sample = known.join(F.broadcast(table), "doc_id")
 
     def weigh(batch: pa.RecordBatch) -> dict[str, object]:
-        found = [terms(t or b"") for t in batch["text"].to_pylist()]
+        found = terms([t or b"" for t in batch["text"].to_pylist()])
         return {"doc_id": batch["doc_id"], "label": batch["label"], "at": [a for a, _ in found], "weight": [w * rarity[a] for a, w in found]}
 
     rows = map_batches(sample, weigh, "doc_id bigint, label int, at array<int>, weight array<float>").toArrow().sort_by("doc_id")
