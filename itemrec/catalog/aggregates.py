@@ -168,7 +168,8 @@ def tier_item_lists(t):
 @query("split_stats", """
     select count(*) as total_rows, count(distinct video_id) as unique_videos, count(distinct user_id) as unique_users, count(distinct cluster_id) as unique_clusters,
            count(*) filter (where nsfw_label) as nsfw_rows, count(*) filter (where not nsfw_label) as clean_rows, count(*) filter (where nsfw_label is null) as unlabelled_rows,
-           count(distinct video_id) filter (where nsfw_label) as nsfw_videos, count(distinct video_id) filter (where not nsfw_label) as clean_videos
+           count(distinct video_id) filter (where nsfw_label) as nsfw_videos, count(distinct video_id) filter (where not nsfw_label) as clean_videos,
+           count(*) filter (where liked) as liked_rows, count(*) filter (where shared) as shared_rows
     from split_interaction""")
 def split_stats(t):
     return split_ops.split_stats(products.split(t))
@@ -183,14 +184,14 @@ def region_label_counts(t):
 
 @query("region_examples", """
     with c as (select region, count(video_id) as num_items, count(*) filter (where nsfw_label is null) as num_null_label,
-                      count(*) filter (where nsfw_label is not null) as num_nonnull_label from region_candidate group by region
+                      count(*) filter (where nsfw_label is not null) as num_nonnull_label, count(*) filter (where nsfw_label) as num_matching_label from region_candidate group by region
                order by num_items desc, region limit 20),
     e as (select region, string_agg(video_id, ',' order by rn) as examples from (
             select region, video_id, row_number() over (partition by region order by probability desc nulls last, video_id) as rn from region_candidate) where rn <= 5 group by region)
-    select region, num_items, num_null_label, num_nonnull_label, examples from c join e using (region)""")
+    select region, num_items, num_null_label, num_nonnull_label, num_matching_label, examples from c join e using (region)""")
 def region_examples(t):
-    rows = pools.region_examples(t.region_popularity, t.item_nsfw)
-    return rows.select("region", "num_items", "num_null_label", "num_nonnull_label", F.array_join("example_videos.video_id", ",").alias("examples"))
+    rows = pools.region_examples(t.region_popularity, t.item_nsfw, wanted=True)
+    return rows.select("region", "num_items", "num_null_label", "num_nonnull_label", "num_matching_label", F.array_join("example_videos.video_id", ",").alias("examples"))
 
 
 @query("tier_flow_counts", """

@@ -66,12 +66,13 @@ def region_label_counts(popularity: DataFrame, nsfw: DataFrame) -> DataFrame:
     )
 
 
-def region_examples(popularity: DataFrame, nsfw: DataFrame, examples: int = 5, regions: int = 20) -> DataFrame:
-    """Largest regions with their likeliest-nsfw items; ``max_by`` style top lists, never the region's whole list."""
+def region_examples(popularity: DataFrame, nsfw: DataFrame, examples: int = 5, regions: int = 20, wanted: bool = False) -> DataFrame:
+    """Largest regions with the number of items of the wanted label and their likeliest-nsfw items; ``max_by`` style top lists, never the region's whole list."""
     rows = region_labelled(popularity, nsfw)
     counts = rows.groupBy("region").agg(
         F.count("video_id").alias("num_items"), F.count_if(F.col("nsfw_label").isNull()).alias("num_null_label"),
         F.count_if(F.col("nsfw_label").isNotNull()).alias("num_nonnull_label"),
+        F.count_if(F.col("nsfw_label") == wanted).alias("num_matching_label"),
     ).orderBy(F.col("num_items").desc(), "region").limit(regions)
     best = top_n(rows, ["region"], [F.col("probability").desc_nulls_last(), F.col("video_id")], examples)
     lists = best.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rn", "video_id", "probability"))).alias("e"))

@@ -38,4 +38,6 @@ def split_stats(split: DataFrame) -> DataFrame:
         F.count_if(label.isNull()).alias("unlabelled_rows"),
         F.countDistinct(F.when(label, F.col("video_id"))).alias("nsfw_videos"),
         F.countDistinct(F.when(~label, F.col("video_id"))).alias("clean_videos"),
+        F.count_if("liked").alias("liked_rows"),
+        F.count_if("shared").alias("shared_rows"),
     )
