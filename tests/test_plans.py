@@ -96,8 +96,8 @@ def test_no_vector_is_shuffled_by_pair(tables):
     vectors = products.item_vectors(tables)
     pairs = vectors.select("video_id").distinct().limit(40).withColumnRenamed("video_id", "query_video_id").withColumn("candidate_video_id", F.col("query_video_id"))
     pairs = pairs.withColumn("candidate_video_id", F.lead("query_video_id").over(Window.orderBy("query_video_id"))).dropna()
-    plan = plan(similarity.pair_rows(pairs, vectors))
-    assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "query_video_id" in x and "candidate_video_id" in x]
+    text = plan(similarity.pair_rows(pairs, vectors))
+    assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", text) if "query_video_id" in x and "candidate_video_id" in x]
 
 
 def test_caps_bite_and_every_fallback_source_occurs(tables):
