@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,14 @@ from itemrec.runtime import store
 #: Classes, rounds of exchange, and the pseudo-count that ties a class's transitions to the class shares.
 CLASSES, ROUNDS, STRENGTH = 32, 8, 100.0
 #: Most frequent words that every task gets with counts and classes, and those of them that exchange
-#: classes round by round. All other words exchange once, against the classes of these.
+#: classes among themselves first, so that all words start from good ones.
 SHARED_WORDS, CORE_WORDS = 1 << 20, 1 << 14
-#: Occurrences below which a word's neighbours say too little for a round-by-round exchange.
+#: Occurrences below which a word's neighbours say too little for that start.
 CORE_COUNT = 8
+#: Entries of the table of neighbours in a row, and parts to which those of so many most frequent words are dealt.
+PACKED, PARTS, SPLIT_WORDS = 1 << 14, 64, 1 << 12
+#: Codes beside the classes after and before a word: the word after itself, and its own class.
+SELF, OWN = 2 * (CLASSES + 1), 127
 #: Distinct entries that a task adds up before it passes them on.
 HELD = 1 << 20
 #: Word numbers are 64-bit hashes; this one is the end of a text.
@@ -295,98 +300,333 @@ class Model:
         return len(self.mass) - 1
 
 
+def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, own_pairs: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """``best_class`` of many words, a row for each; what a word doesn't touch isn't computed."""
+    n, at = len(pairs) - 1, np.arange(len(own))
+    p, r, l, s = pairs.astype(float), right.astype(float), left.astype(float), own_pairs.astype(float)
+    r_all, l_all, r_own, l_own = r.sum(axis=1), l.sum(axis=1), r[at, own], l[at, own]
+    rest_r, rest_l = r.copy(), l.copy()
+    rest_r[at, own] -= s
+    rest_l[at, own] -= s
+    gain = np.zeros((len(own), n))
+    for table, far, near, near_all in ((p, rest_r, l, r), (p.T, rest_l, r, l)):
+        word, other = np.nonzero(far)
+        g = table[:n, other].T.copy()
+        mine = np.flatnonzero(other == own[word])
+        g[mine] -= near[word[mine], :n]
+        each = np.arange(len(word))
+        g[each, own[word]] -= near_all[word, other]
+        g[mine, own[word[mine]]] += s[word[mine]]
+        change = _xlogx(g + far[word, other][:, None]) - _xlogx(g)
+        inner = np.flatnonzero(other < n)
+        change[inner, other[inner]] = 0.0
+        if len(word):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            gain[word[starts]] += np.add.reduceat(change, starts, axis=0)
+    corner = np.tile(p.diagonal()[:n], (len(own), 1))
+    corner[at, own] += s - r_own - l_own
+    gain += _xlogx(corner + rest_r[:, :n] + rest_l[:, :n] + s[:, None]) - _xlogx(corner)
+    for sums, near, all_n in ((p.sum(axis=1), rest_l, r_all), (p.sum(axis=0), rest_r, l_all)):
+        total = sums[:n] - near[:, :n]
+        total[at, own] -= all_n
+        gain -= _xlogx(total + all_n[:, None]) - _xlogx(total)
+    best = gain.argmax(axis=1)
+    return np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binary values, each of the numbers from one start to the next."""
+    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of binary values, how many each has); nulls have none."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    sizes = np.array(pc.binary_length(column), np.int64) // 8
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64), sizes
+
+
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    if not len(sorted_by[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)]))
+
+
+def bigrams(rows: DataFrame, lookup, n_shared: int) -> DataFrame:
+    """(a, b, n) of all words that follow each other. A shared word is its place, END ``n_shared``, another word its number.
+
+    Numbers are hashes, so that one of them is a place is as unlikely as two equal ones.
+    """
+    out, width = arrow_schema("a bigint, b bigint, n bigint"), n_shared + 1
+
+    def parts(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 1 << 16):
+            x = slice(at, at + (1 << 16))
+            yield as_batch({"a": a[x], "b": b[x], "n": n[x]}, out)
+
+    def flush(sums: Sums) -> Iterator[pa.RecordBatch]:
+        keys, n = sums.total()
+        yield from parts(keys // width, keys % width, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            numbers, _ = with_ends([t or b"" for t in batch["text"].to_pylist()])
+            place = np.concatenate([[n_shared], np.where(numbers == END, n_shared, lookup.value(numbers))]).astype(np.int64)
+            ids = np.where(place >= 0, place, np.concatenate([[END], numbers]))
+            held = (place[:-1] >= 0) & (place[1:] >= 0)
+            sums.add(place[:-1][held] * width + place[1:][held])
+            yield from parts(ids[:-1][~held], ids[1:][~held], np.ones(int((~held).sum()), np.int64))
+            if sums.full():
+                yield from flush(sums)
+                sums = Sums()
+        yield from flush(sums)
+
+    return rows.mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def sides(pairs: DataFrame, n_shared: int) -> DataFrame:
+    """For each word the words beside it: rows of up to ``PACKED`` entries in order of the word.
+
+    ``n`` is negative where the other word comes before. The neighbours of the most frequent words are dealt to ``PARTS`` parts.
+    """
+    both = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), (-F.col("n")).alias("n")),
+    )).alias("x")).select("x.*").where(F.col("word") != n_shared)
+    part = F.when(F.col("word").between(0, SPLIT_WORDS - 1), F.pmod("other", F.lit(PARTS))).otherwise(0)
+    dealt = both.repartition("word", part).sortWithinPartitions("word")
+    out = arrow_schema("word binary, other binary, n binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch[c].to_numpy() for c in ("word", "other", "n")]))
+            if sum(x.shape[1] for x in held) >= PACKED:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        return as_batch({c: [x.tobytes()] for c, x in zip(("word", "other", "n"), np.concatenate(held, axis=1), strict=True)}, out)
+
+    return dealt.mapInArrow(pack, "word binary, other binary, n binary")
+
+
+def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for x in zip(*(batch[c].to_pylist() for c in ("word", "other", "n")), strict=True):
+        yield tuple(np.frombuffer(y, np.int64) for y in x)
+
+
+class Whole:
+    """The exchange of all words: classes of the shared ones as an array, those of the others as a table (word, class).
+
+    An entry counts one code of a word: n * 128 + code. Codes are the class after the word, the class
+    before it, the word after itself and, with the class as n, the word's own class.
+    """
+
+    def __init__(self, near: DataFrame, others: DataFrame | None, n_shared: int, n_ends: int):
+        self.near, self.others, self.n_shared, self.n_ends = near, others, n_shared, n_ends
+        self.beside = None
+        if others is not None:
+            out, last = arrow_schema("word bigint, other bigint, n bigint"), n_shared
+
+            def unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for word, other, n in _unpack(batch):
+                        x = (other < 0) | (other > last)
+                        yield as_batch({"word": word[x], "other": other[x], "n": n[x]}, out)
+
+            self.beside = store(near.mapInArrow(unshared, "word bigint, other bigint, n bigint"))
+
+    def profiles(self, classes: np.ndarray) -> DataFrame:
+        """(word, own, entries) for each word: its class, -1 without one, and the counts of the codes."""
+        context, last, width = self.near.sparkSession.sparkContext, self.n_shared, CLASSES + 1
+        shared = context.broadcast(classes)
+        out, done_out = arrow_schema("word bigint, entry bigint, entries binary"), arrow_schema("word bigint, own int, entries binary")
+
+        def summed_up(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+            order = np.lexsort((code, word))
+            word, code, n = word[order], code[order], n[order]
+            at = _starts(word, code)
+            entries = np.add.reduceat(n, at) * 128 + code[at] if len(at) else np.zeros(0, np.int64)
+            starts = _starts(word[at])
+            return word[at][starts], _lists(entries, starts)
+
+        def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = shared.value
+            for batch in batches:
+                for word, other, n in _unpack(batch):
+                    self_n = (word == other) & (n > 0)
+                    held = (other >= 0) & (other <= last)
+                    found = of[np.where(held, other, 0)].astype(np.int64)
+                    x = held & (found >= 0)
+                    words, entries = summed_up(
+                        np.concatenate([word[x], word[self_n]]), np.concatenate([np.where(n[x] > 0, found[x], width + found[x]), np.full(int(self_n.sum()), SELF)]),
+                        np.concatenate([np.abs(n[x]), n[self_n]]),
+                    )
+                    yield as_batch({"word": words, "entry": pa.nulls(len(words), pa.int64()), "entries": entries}, out)
+
+        rows = self.near.mapInArrow(around, "word bigint, entry bigint, entries binary")
+        if self.others is not None:
+            none = F.lit(None).cast("binary").alias("entries")
+            code = F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("class") + width)
+            known = self.others.where("class >= 0").select(F.col("word").alias("other"), "class")
+            met = self.beside.join(known, "other").groupBy("word", code.alias("code")).agg(F.sum(F.abs("n")).alias("n"))
+            rows = rows.unionByName(met.select("word", (F.col("n") * 128 + F.col("code")).alias("entry"), none))
+            twice = self.beside.where("word = other and n > 0").select("word", (F.col("n") * 128 + SELF).alias("entry"), none)
+            rows = rows.unionByName(twice).unionByName(self.others.select("word", (F.col("class") * 128 + OWN).cast("bigint").alias("entry"), none))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by word; a word may go on in the next batch."""
+            words, entries = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for batch in batches:
+                more, sizes = _flat(batch["entries"])
+                one = np.flatnonzero(np.array(batch["entry"].is_valid()))
+                number = batch["word"].to_numpy()
+                more_words = np.concatenate([words, np.repeat(number, sizes), number[one]])
+                more = np.concatenate([entries, more, np.array(batch["entry"].take(pa.array(one)), np.int64)])
+                go_on = more_words == number[-1] if len(number) else np.ones(len(more_words), bool)
+                yield done(more_words[~go_on], more[~go_on])
+                words, entries = more_words[go_on], more[go_on]
+            yield done(words, entries)
+
+        def done(word: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+            code, n = entries & 127, entries >> 7
+            is_own = code == OWN
+            words, lists = summed_up(word, code, np.where(is_own, 0, n))
+            own = np.where((words >= 0) & (words <= last), shared.value[np.clip(words, 0, last)], -1)
+            own[np.searchsorted(words, word[is_own])] = n[is_own]
+            return as_batch({"word": words, "own": own, "entries": lists}, done_out)
+
+        return store(rows.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "word bigint, own int, entries binary"))
+
+    def pairs(self, found: DataFrame) -> np.ndarray:
+        """Bigrams of the classes over all tokens."""
+        width, out = CLASSES + 1, arrow_schema("pair int, n bigint")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width * width, np.int64)
+            for batch in batches:
+                entries, sizes = _flat(batch["entries"])
+                own, code, n = np.repeat(batch["own"].to_numpy(), sizes).astype(np.int64), entries & 127, entries >> 7
+                after, first = code < width, code == width + CLASSES
+                np.add.at(total, own[after] * width + code[after], n[after])
+                np.add.at(total, CLASSES * width + own[first], n[first])
+            yield as_batch({"pair": np.arange(width * width), "n": total}, out)
+
+        total = np.zeros(width * width, np.int64)
+        for row in found.mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect():
+            total[row[0]] = row[1]
+        total = total.reshape(width, width)
+        total[CLASSES, CLASSES] = self.n_ends - total[:CLASSES, CLASSES].sum()  # ends after ends: each end follows one thing
+        return total
+
+    def change(self, found: DataFrame, classes: np.ndarray, choose) -> np.ndarray:
+        """New classes: ``choose(word, own, counts of each code)`` for all words."""
+        out, last = arrow_schema("word bigint, class int"), self.n_shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                entries, sizes = _flat(batch["entries"])
+                counts = np.zeros((len(sizes), 128), np.int64)
+                counts[np.repeat(np.arange(len(sizes)), sizes), entries & 127] = entries >> 7
+                word, own = batch["word"].to_numpy(), batch["own"].to_numpy().astype(np.int64)
+                chosen = choose(word, own, counts) if len(word) else own
+                x = (chosen != own) | (word < 0) | (word > last)
+                yield as_batch({"word": word[x], "class": chosen[x]}, out)
+
+        moved, is_shared = found.mapInArrow(run, "word bigint, class int"), F.col("word").between(0, last)
+        if self.others is not None:
+            moved = store(moved)
+            self.others = moved.where(~is_shared)
+        table = moved.where(is_shared).toArrow()
+        classes = classes.copy()
+        classes[table["word"].to_numpy()] = table["class"].to_numpy()
+        return classes
+
+
+def exchange_all(near: DataFrame, others: DataFrame | None, n_ends: int, core_classes: np.ndarray, core_pairs: np.ndarray, n_shared: int, rounds: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """(classes of the shared words and END, those of the others, bigrams of the classes), from the classes of the core words.
+
+    Words outside the core begin in the class under which their neighbours of the core are likeliest.
+    Then every word exchanges: each round, one half looks for its best class given the classes of all, and moves at once.
+    Words of a small corpus may move to and fro, so the classes returned are those of the likeliest bigrams met.
+    """
+    width, n_core, context = CLASSES + 1, len(core_classes) - 1, near.sparkSession.sparkContext
+    whole = Whole(near, others, n_shared, n_ends)
+    classes = np.full(n_shared + 1, -1, np.int16)
+    classes[:n_core], classes[n_shared] = core_classes[:n_core], CLASSES
+    if n_core < n_shared or others is not None:
+        shares = (core_pairs.sum(axis=0) + 1) / (core_pairs.sum() + width)
+        follows = np.log((core_pairs + STRENGTH * shares) / (core_pairs.sum(axis=1, keepdims=True) + STRENGTH))
+        table = context.broadcast(np.vstack([follows.T[:, :CLASSES], follows[:, :CLASSES] - np.log(shares[:CLASSES])]))
+
+        def begin(word: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            return np.where(own < 0, (counts[:, : 2 * width] @ table.value).argmax(axis=1), own)
+
+        classes = whole.change(whole.profiles(classes), classes, begin)
+        classes[classes < 0] = 0  # no neighbour in the core
+    best = None
+    for turn in range(rounds + 1):
+        found = whole.profiles(classes)
+        g = whole.pairs(found)
+        likelihood = _xlogx(g).sum() - _xlogx(g.sum(axis=0)).sum() - _xlogx(g.sum(axis=1)).sum()
+        if best is None or likelihood > best[0]:
+            best = likelihood, classes, whole.others, g
+        if turn < rounds:
+            pairs = context.broadcast(g)
+
+            def move(word: np.ndarray, own: np.ndarray, counts: np.ndarray, half: int = turn % 2, pairs=pairs) -> np.ndarray:
+                at = np.flatnonzero((word // CLASSES + word) % 2 == half)
+                chosen = own.copy()
+                if len(at):
+                    chosen[at] = best_classes(counts[at, :width], counts[at, width : 2 * width], own[at], counts[at, SELF], pairs.value)
+                return chosen
+
+            classes = whole.change(found, classes, move)
+    return best[1:]
+
+
 def fit(docs: DataFrame, learn: Column | bool = True, text_col: str = "text", shared_words: int = SHARED_WORDS, core_words: int = CORE_WORDS, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of the rows for which ``learn`` holds, and (key, n, class) of the words that it doesn't hold itself.
 
-    Counts of all words are summed over the corpus, and so are bigrams of the core words. They
-    exchange classes; then each other word gets the class under which its neighbours are likeliest.
+    Counts of all words and of all bigrams are summed over the corpus. The core words exchange classes
+    first, for a start; then all words do, and class bigrams are those of all tokens.
     """
-    bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    bound_batches(spark)
+    context = spark.sparkContext
     rows = docs.where(F.lit(learn) if isinstance(learn, bool) else learn).select(named(text_col).cast("binary").alias("text"))
     vocabulary = store(summed(rows, lambda texts: with_ends(texts)[0]))
     n_tokens, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_ends = (vocabulary.where(F.col("key") == END).first() or (0, 0))[1]
     keys, counts = _top(vocabulary, shared_words)
-    n_core = min(core_words, int((counts >= CORE_COUNT).sum()))
-    core = context.broadcast(Lookup(keys[:n_core]))
-
-    def core_ids(texts: list[bytes]) -> np.ndarray:
-        """Numbers from 0 for core words, n_core for an end, -1 for others; a first end precedes all."""
-        numbers, _ = with_ends(texts)
-        return np.concatenate([[n_core], np.where(numbers == END, n_core, core.value(numbers))]).astype(np.int64)
-
-    def bigrams(texts: list[bytes]) -> np.ndarray:
-        ids = core_ids(texts)
-        known = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        return ids[:-1][known] * (n_core + 1) + ids[1:][known]
-
-    packed = store(_packed(summed(rows, bigrams), n_core))
-    classes, pairs = exchange(packed, n_core, rounds)
-    width = CLASSES + 1
-    of_core = context.broadcast(classes)
-    # Neighbours of the other words: rows of (word, class before * (width + 1) + class after), the last class for other words.
-    out = arrow_schema("key bigint, sides int, n bigint")
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.append(of_core.value, width)  # of -1, the other words
-        for batch in batches:
-            texts = [t or b"" for t in batch["text"].to_pylist()]
-            numbers, _ = with_ends(texts)
-            sides = own[core_ids(texts)]
-            at = np.flatnonzero(sides[1:] == width)
-            nexts = np.append(sides, width)[at + 2]
-            codes = sides[at] * (width + 1) + nexts
-            order = np.lexsort((codes, numbers[at]))
-            k, c = numbers[at][order], codes[order]
-            cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, np.int64)
-            yield as_batch({"key": k[cut], "sides": c[cut], "n": np.diff(np.append(cut, len(k)))}, out)
-
-    # An occurrence between two classes speaks for a class by how likely it follows, emits the word and is followed.
-    shares = (pairs.sum(axis=0) + 1) / (pairs.sum() + width)
-    follows = np.log((pairs + STRENGTH * shares) / (pairs.sum(axis=1, keepdims=True) + STRENGTH))
-    likely = np.zeros((width + 1, width + 1, CLASSES)) - np.log(shares[:CLASSES])
-    likely[:width] += follows[:, None, :CLASSES]
-    likely[width] += np.log(shares[:CLASSES])
-    likely[:, :width] += follows.T[None, :, :CLASSES]
-    table = context.broadcast(likely.reshape(-1, CLASSES).astype(np.float32))
-    found_out = arrow_schema("key bigint, class int")
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by word; a word may go on in the next batch."""
-        rest = np.zeros((3, 0), np.int64)
-        for batch in batches:
-            rest = np.concatenate([rest, np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "sides", "n")])], axis=1)
-            if rest.shape[1] and rest[0, 0] != rest[0, -1]:
-                cut = int(np.searchsorted(rest[0], rest[0, -1]))
-                yield done(rest[:, :cut])
-                rest = rest[:, cut:]
-        if rest.shape[1]:
-            yield done(rest)
-
-    def done(part: np.ndarray) -> pa.RecordBatch:
-        starts = np.concatenate([[0], np.flatnonzero(part[0, 1:] != part[0, :-1]) + 1])
-        score = np.add.reduceat(table.value[part[1]] * part[2][:, None], starts, axis=0)
-        return as_batch({"key": part[0, starts], "class": score.argmax(axis=1)}, found_out)
-
-    near = rows.mapInArrow(around, "key bigint, sides int, n bigint").repartition("key").sortWithinPartitions("key")
-    others = store(near.mapInArrow(choose, "key bigint, class int").join(vocabulary, "key"))
-    masses = np.bincount(classes[:n_core], counts[:n_core] + 0.5, width)
+    n_shared, n_core = len(keys), min(core_words, int((counts >= CORE_COUNT).sum()))
+    lookup = Lookup(keys)
+    followed = store(bigrams(rows, context.broadcast(lookup), n_shared))
+    number = {c: F.when(F.col(c) == n_shared, n_core).when(F.col(c).between(0, n_core - 1), F.col(c)) for c in ("a", "b")}
+    of_core = followed.select((number["a"] * (n_core + 1) + number["b"]).alias("key"), "n").where("key is not null")
+    core_classes, core_pairs = exchange(store(_packed(of_core, n_core)), n_core, rounds)
+    # Counts rank the words, so the shared ones are those from the least shared count up.
+    least = int(counts[-1]) if n_shared else None
+    rest = vocabulary.where((F.col("key") != END) & (F.col("n") < least if least is not None else F.lit(True)))
+    others = rest.select(F.col("key").alias("word"), F.lit(-1).alias("class")) if n_words > n_shared + (n_ends > 0) else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PACKED))  # rows of numbers
+    near = store(sides(followed, n_shared))
+    bound_batches(spark)
+    classes, of_others, pairs = exchange_all(near, others, n_ends, core_classes, core_pairs, n_shared, rounds)
+    cold = rest.limit(0).withColumn("class", F.lit(0))
+    if of_others is not None:
+        cold = store(rest.join(of_others.select(F.col("word").alias("key"), "class"), "key"))
+    masses = np.bincount(classes[:n_shared], counts + 0.5, CLASSES + 1)
     masses[CLASSES] = n_ends + 0.5 if n_words else 0.0
-    core_masses = masses.copy()
-    for row in others.groupBy("class").agg(F.sum(F.col("n") + 0.5)).collect():
+    for row in cold.groupBy("class").agg(F.sum(F.col("n") + 0.5)).collect():
         masses[row[0]] += row[1]
-    # The bigrams are of core words. A class's other words are taken to follow the same classes, so it is met more often by its mass.
-    pairs = pairs * (masses / np.maximum(core_masses, 1e-300)) * (core_masses > 0)
-    # Counts rank the words, so the shared ones are those from the least shared count up.
-    least = int(counts[-1]) if len(counts) else None
-    lookup, of_all = Lookup(keys), np.append(classes[:n_core], np.zeros(len(keys) - n_core)).astype(np.int16)
-    if least is not None:
-        more = others.where(F.col("n") >= least).select("key", "class").toArrow()
-        of_all[lookup(more["key"].to_numpy())] = more["class"].to_numpy()
     n_once = vocabulary.where("n = 1").count()
-    model = Model(n_tokens, n_words, n_ends, n_once, lookup, counts, of_all, masses, pairs)
-    return model, others.where(F.col("n") < least if least is not None else F.lit(True))
+    return Model(n_tokens, n_words, n_ends, n_once, lookup, counts, classes[:n_shared], masses, pairs), cold
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, open_key array<bigint>, open_class array<int>, open_before array<bigint>, open_next array<int>"

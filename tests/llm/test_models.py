@@ -149,6 +149,38 @@ def test_joined_words_score_like_shared_ones(spark, docs):
     assert a.keys() == b.keys() and np.allclose([a[i] for i in a], [b[i] for i in a])
 
 
+@pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}])
+def test_class_bigrams_are_of_all_tokens(docs, options):
+    small, n = docs.where("doc_id < 150"), class_lm.CLASSES
+    model, cold = class_lm.fit(small, learn(), **options)
+    texts = [(r.text or "").encode() for r in small.where(learn()).select("text").collect()]
+    numbers, stops = class_lm.with_ends(texts)
+    place, outside = model.lookup(numbers), {r.key: r["class"] for r in cold.collect()}
+    of = np.array([n if x == class_lm.END else model.classes[p] if p >= 0 else outside[x] for x, p in zip(numbers.tolist(), place, strict=True)])
+    pairs, before = np.zeros((n + 1, n + 1)), np.concatenate([[n], of[:-1]])
+    np.add.at(pairs, (before, of), 1)
+    held = {x: i for i, x in enumerate(dict.fromkeys(numbers.tolist()))}
+    masses = np.bincount(of, minlength=n + 1) + 0.5 * np.bincount([c for _, c in {*zip(numbers.tolist(), of.tolist(), strict=True)}], minlength=n + 1)
+    assert len(held) == model.n_words and pairs.sum() == model.n_tokens
+    share = masses / masses.sum()
+    known = (pairs + class_lm.STRENGTH * share) / (pairs.sum(axis=1, keepdims=True) + class_lm.STRENGTH)
+    found = 10 ** model.transition[: n + 1, : n + 1]
+    assert np.allclose(found / found.sum(axis=1, keepdims=True), known)
+
+
+def test_best_classes_are_those_of_best_class():
+    random = np.random.default_rng(5)
+    n_words, n = 60, class_lm.CLASSES
+    big = random.poisson(2.0, (n_words, n_words)) * (random.random((n_words, n_words)) < 0.2)
+    of = random.integers(0, n, n_words)
+    of[-1] = n
+    g = np.zeros((n + 1, n + 1))
+    np.add.at(g, (of[:, None], of[None, :]), big)
+    right, left = (np.stack([np.bincount(of, x, n + 1) for x in y[:-1]]) for y in (big, big.T))
+    found = class_lm.best_classes(right, left, of[:-1], big.diagonal()[:-1], g)
+    assert found.tolist() == [class_lm.best_class(*x, g) for x in zip(right, left, of, big.diagonal(), strict=False)]
+
+
 def test_best_class_is_that_of_the_greatest_likelihood():
     random = np.random.default_rng(3)
     n_words, n = 40, class_lm.CLASSES
