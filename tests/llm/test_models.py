@@ -29,6 +29,17 @@ def test_language_of_held_out_documents(docs):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_many_languages_are_scored_in_slices_of_the_same_features(docs, monkeypatch):
+    def predicted():
+        return {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs), "text", "doc_id").collect()}
+
+    whole = predicted()
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 3 * 8 * langid.BUCKETS)
+    sliced = predicted()
+    assert {i: x[0] for i, x in sliced.items()} == {i: x[0] for i, x in whole.items()}
+    assert np.allclose([sliced[i][1] for i in whole], [x[1] for x in whole.values()], atol=1e-9)
+
+
 def test_grams_are_the_same_in_blocks(monkeypatch):
     text = "Ein Überblick über die Blöcke 🙂 " * 5
     whole = langid.counts(text, 512)
