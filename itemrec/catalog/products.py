@@ -403,9 +403,9 @@ def user_metadata(t):
     return of_both(lambda c: profile_of(t, c))
 
 
-# whole lists are compared by their digest
+# candidates are compared by sums of their hashes, which need no list of them
 @query("fetch_all_candidates", """
-    select content_type, user_id, type_num, count(*) as candidates, md5(string_agg(pair, ',' order by pair)) as digest from (
+    select content_type, user_id, type_num, count(*) as candidates, cast(sum(('0x' || substr(md5(pair), 1, 12))::bigint) as bigint) as digest from (
         select content_type, user_id, type_num, query_video_id || '>' || candidate_video_id as pair from personal_row
         union all select content_type, user_id, type_num, '>' || video_id from user_pool) group by all""")
 def fetch_all_candidates(t):
@@ -415,7 +415,7 @@ def fetch_all_candidates(t):
 
     pair = F.concat(F.coalesce("query_video_id", F.lit("")), F.lit(">"), F.col("candidate_video_id"))
     return of_both(build).groupBy("content_type", "user_id", "type_num").agg(
-        F.count(F.lit(1)).alias("candidates"), F.md5(F.array_join(F.array_sort(F.collect_list(pair)), ",")).alias("digest")
+        F.count(F.lit(1)).alias("candidates"), F.sum(F.conv(F.substring(F.md5(pair), 1, 12), 16, 10).cast("bigint")).alias("digest")
     )
 
 
@@ -549,20 +549,31 @@ def catalogue_of(t: Tables, content: str) -> serve.Catalogue:
     )
 
 
+sql_view("unwanted_pair", """
+    select user_id, video_id from watched_pair union select user_id, video_id from live_pair union select user_id, video_id from reported_pair""")
+content_view("servable", f"""
+    select user_id, video_id, origin, position from (
+        select user_id, video_id, case when is_pool then 'pool' else 'personal' end as origin, k, k + case when is_pool then 225 else 0 end as position from (
+            select *, row_number() over (partition by user_id, is_pool order by score desc, turn, video_id) as k from (
+                select user_id, is_pool, candidate_video_id as video_id, case when is_pool then max(score) else arg_min(score, turn) end as score, min(turn) as turn
+                from ({_contributions(15, 0.4)}) group by user_id, is_pool, candidate_video_id) s
+            where video_id in (select video_id from item_meta)
+              and not exists (select 1 from unwanted_pair w where w.user_id = s.user_id and w.video_id = s.video_id))) where k <= 225""")
+content_view("chain_row", """
+    select * from (select user_id, video_id, min(turn) as turn from (
+        select user_id, video_id, position as turn from user_region join region_pool_@ using (region)
+        union all select user_id, video_id, 1000 + position from user_region, popular_pool where content_type = '@' and position <= 225
+        union all select user_id, video_id, 2000 + position from user_region, untouched_pool where content_type = '@' and position <= 50)
+        group by user_id, video_id) c
+    where video_id in (select video_id from item_meta)
+      and not exists (select 1 from unwanted_pair w where w.user_id = c.user_id and w.video_id = c.video_id)""")
 content_view("recommended", """
-    with served as (
-        select user_id, candidate_video_id as video_id, case when is_pool then 'pool' else 'personal' end as origin, position + case when is_pool then 225 else 0 end as position from mixed_@),
-    offered as (
-        select user_id, video_id, origin, position from served
-        union all select user_id, video_id, 'fallback', position from backup_row_@ where user_id not in (select user_id from mixed_@)),
+    with offered as (
+        select user_id, video_id, origin, position from servable_@ union all select user_id, video_id, 'fallback', 10000 + turn from chain_row_@),
     once as (select user_id, video_id, arg_min(origin, position) as origin, min(position) as position from offered group by user_id, video_id)
     select user_id, cast(row_number() over (partition by user_id order by position, video_id) as int) as place, video_id, origin, post_id, canister_id,
            publisher_user_id, nsfw_probability, num_views_loggedin, num_views_all
-    from once o join item_meta using (video_id)
-    where not exists (select 1 from watched_pair w where w.user_id = o.user_id and w.video_id = o.video_id)
-      and not exists (select 1 from live_pair w where w.user_id = o.user_id and w.video_id = o.video_id)
-      and not exists (select 1 from reported_pair w where w.user_id = o.user_id and w.video_id = o.video_id)
-    qualify place <= 50""")
+    from once join item_meta using (video_id) qualify place <= 50""")
 
 
 @query("recommend_all", "select * from recommended")

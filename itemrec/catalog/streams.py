@@ -110,7 +110,7 @@ def stream_filter_watched(t):
 
 sql_view("dated_report", """
     select concat('u', o_custkey) as user_id, md5(cast(l_partkey as string)) as video_id, cast(l_shipdate as timestamp) as reported_at
-    from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R' and l_linenumber = 1""")
+    from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'R'""")
 
 
 @query("stream_report_update", f"""
@@ -118,7 +118,7 @@ sql_view("dated_report", """
     having max(reported_at) >= timestamp '{AS_OF}' - interval 30 days""")
 def stream_report_update(t):
     """Streamed lines join the static orders; batches append their newest reports, reads apply the 30 day life."""
-    lines = jobs.read_events(t.spark, t.folder, t.lineitem.schema, "lineitem.parquet").where("l_returnflag = 'R' and l_linenumber = 1")
+    lines = jobs.read_events(t.spark, t.folder, t.lineitem.schema, "lineitem.parquet").where("l_returnflag = 'R'")
     reports = lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("u"), F.col("o_custkey")).alias("user_id"), F.md5(F.col("l_partkey").cast("string")).alias("video_id"),
         F.col("l_shipdate").cast("timestamp").alias("reported_at"),

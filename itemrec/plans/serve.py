@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from itemrec.operators.pools import UNTOUCHED_PICK
 from itemrec.operators.ranking import top_n
 from itemrec.operators.similarity import blocked_similarity, pair_similarity
 from itemrec.operators.tiers import user_watch_time
-from itemrec.runtime import broadcast_checked, materialize
+from itemrec.runtime import broadcast_checked, materialize, store
 
 # Candidate kinds with their weights, and request settings.
 KINDS = {
@@ -30,6 +31,8 @@ MIN_SIMILARITY = 0.4
 RECENCY_WEIGHT, WATCH_WEIGHT = 0.8, 0.2
 PER_QUERY = 15
 RESULTS = 50
+#: Words of 64 bits in a user's exclusion sketch, and bits set for each item.
+SKETCH_WORDS, SKETCH_HASHES = 64, 3
 
 
 # ---- user side -------------------------------------------------------------------------------
@@ -161,7 +164,7 @@ class Scored:
     list no longer than the pool, which is sampled.
     """
 
-    personal: DataFrame  # user_id, query_video_id, type_num, candidate_video_id, similarity
+    personal: DataFrame  # user_id, query_video_id, type_num, candidate_video_id, similarity, listed
     asked: DataFrame     # user_id, query_video_id, pos, importance, pool_key
     near: DataFrame      # pool_key, query_video_id, candidates: array of (type_num, candidate_video_id, similarity)
     floor: float
@@ -174,20 +177,27 @@ class Scored:
 
 
 def score_candidates(queries: DataFrame, keys: DataFrame, tier: DataFrame, iou: DataFrame, pools: DataFrame, item_vectors: DataFrame,
-                     floor: float = MIN_SIMILARITY) -> Scored:
+                     floor: float = MIN_SIMILARITY, listed: DataFrame | None = None) -> Scored:
     """Similarity is a fact about two items, so it is computed once per item pair: listed pairs for
     the personal kinds, blocks of pool items and distinct query items for the pools.
+
+    With ``listed`` (video_id), other items can't be served: they leave the pools, and personal rows are marked,
+    since those count among the best of their query item.
     """
     personal = personal_candidates(queries, tier, iou)
     known = pair_similarity(personal, item_vectors)
+    if listed is not None:
+        known = known.join(listed.select(F.col("video_id").alias("candidate_video_id"), F.lit(True).alias("listed")), "candidate_video_id", "left")
+    known = known.withColumn("listed", F.coalesce("listed", F.lit(False)) if listed is not None else F.lit(True))
     scored = personal.join(known, ["query_video_id", "candidate_video_id"])
     asked = queries.select("user_id", "query_video_id", "pos", "importance").join(keys, "user_id")
     vectors_of = item_vectors.where(F.col("embedding").isNotNull()).select("video_id", "embedding")
+    pools = pools if listed is None else pools.join(listed.select("video_id"), "video_id", "left_semi")
     q = asked.select("pool_key", F.col("query_video_id").alias("video_id")).distinct().join(vectors_of, "video_id")
     t = pools.select("pool_key", "video_id").distinct().join(vectors_of, "video_id")
     pairs = blocked_similarity(q, t, ["pool_key"], floor).join(pools.withColumnRenamed("video_id", "candidate_video_id"), ["pool_key", "candidate_video_id"])
     lists = pairs.groupBy("pool_key", "query_video_id").agg(F.collect_list(F.struct("type_num", "candidate_video_id", "similarity")).alias("candidates"))
-    columns = ["user_id", "query_video_id", "type_num", "candidate_video_id", "similarity"]
+    columns = ["user_id", "query_video_id", "type_num", "candidate_video_id", "similarity", "listed"]
     # Broadcast if small, so that the join leaves a user's rows in their task; else adaptive execution splits popular query items.
     return Scored(scored.select(*columns), asked, broadcast_checked(lists, 64 << 20), floor)
 
@@ -220,6 +230,7 @@ def _contributions(source: DataFrame | Scored, queries: DataFrame, per_query: in
         personal, pooled = source.where(~is_pool), source.where(is_pool).join(q, ["user_id", "query_video_id"])
     order = [F.col("similarity").desc(), F.col("candidate_video_id")]
     best = top_n(personal, ["user_id", "query_video_id", "type_num"], order, per_query, "rank").join(q, ["user_id", "query_video_id"])
+    best = best.where("listed").drop("listed") if "listed" in best.columns else best
     rows = best.unionByName(pooled.withColumn("rank", F.lit(0))).where(F.col("similarity") >= floor)
     return rows.select(
         "user_id", "query_video_id", "type_num", "candidate_video_id", "similarity",
@@ -239,16 +250,80 @@ def _top(scored: DataFrame, top_k: int, pool_k: int) -> DataFrame:
     return placed.where(F.col("position") <= F.when(F.col("is_pool"), pool_k).otherwise(top_k))
 
 
+# ---- exclusions ------------------------------------------------------------------------------
+
+def _sketch_places(video: Column) -> list[Column]:
+    """The bits of an item in a sketch: as many slices of its hash as there are hashes."""
+    width = (64 * SKETCH_WORDS).bit_length() - 1
+    return [F.shiftrightunsigned(F.xxhash64(video), width * i).bitwiseAND(64 * SKETCH_WORDS - 1) for i in range(SKETCH_HASHES)]
+
+
+def exclusion_sketches(pairs: DataFrame) -> DataFrame:
+    """user -> Bloom filter of the user's excluded items, of one size whatever their number."""
+    bits = pairs.select("user_id", F.explode(F.array(*_sketch_places(F.col("video_id")))).alias("place"))
+    words = bits.groupBy("user_id", F.shiftright("place", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
+    )
+    held = words.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    return held.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(SKETCH_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("bigint"))).alias("sketch"))
+
+
+def may_be_excluded(sketch: Column, video: Column) -> Column:
+    """False: surely not. True: the item, or others of the user that set the same bits, is excluded."""
+    hits = []
+    for place in _sketch_places(video):
+        word = F.get(sketch, F.shiftright(place, 6).cast("int"))
+        mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))
+        hits.append(word.bitwiseAND(mask) != 0)
+    return sketch.isNotNull() & reduce(Column.__and__, hits)
+
+
+@dataclass
+class Exclusions:
+    """Items that users must not get: exact pairs, and a sketch of each user's to tell which rows need looking up."""
+
+    pairs: DataFrame     # user_id, video_id
+    sketches: DataFrame  # user_id, sketch
+
+    @classmethod
+    def of(cls, *parts: DataFrame | None) -> Exclusions:
+        pairs = store(reduce(DataFrame.unionByName, [p.select("user_id", "video_id") for p in parts if p is not None]).distinct())
+        return cls(pairs, store(exclusion_sketches(pairs)))
+
+    def first(self, rows: DataFrame, group: list[str], order: list[Column], places: Column) -> DataFrame:
+        """The first ``places`` rows of each group that aren't excluded, as position; ``rows`` have user_id and video_id.
+
+        Rows that the sketch clears are counted as they come, and what has enough of them before it is cut
+        at once, in the task that holds the user. Only rows in doubt that are left are looked up.
+        """
+        flagged = rows.join(self.sketches, "user_id", "left").withColumn("doubt", may_be_excluded(F.col("sketch"), F.col("video_id"))).drop("sketch")
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        cleared = F.coalesce(F.sum(F.when(F.col("doubt"), 0).otherwise(1)).over(before), F.lit(0))
+        left = store(flagged.withColumn("ahead", cleared).where(F.col("ahead") < places).drop("ahead"))
+        kept = left.where(~F.col("doubt")).unionByName(exclude_items(left.where("doubt"), self.pairs).select(*left.columns)).drop("doubt")
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return kept.withColumn("position", place).where(F.col("position") <= places)
+
+
 def mix(source: DataFrame | Scored, queries: DataFrame, top_k: int = TOP_K, pool_k: int = POOL_TOP_K,
-        per_query: int = PER_QUERY, floor: float = MIN_SIMILARITY) -> DataFrame:
-    """Score = importance x kind weight x similarity. Personal: first occurrence wins; pools: best score wins."""
+        per_query: int = PER_QUERY, floor: float = MIN_SIMILARITY, exclusions: Exclusions | None = None) -> DataFrame:
+    """Score = importance x kind weight x similarity. Personal: first occurrence wins; pools: best score wins.
+
+    Excluded items take no place.
+    """
     rows = _contributions(source, queries, per_query, floor)
     best = rows.groupBy("user_id", "is_pool", "candidate_video_id").agg(
         F.min_by("score", "turn").alias("first_score"), F.max("score").alias("best_score"), F.min("turn").alias("turn")
     )
     best = _without_own(best, source, queries)
     scored = best.withColumn("score", F.when(F.col("is_pool"), F.col("best_score")).otherwise(F.col("first_score")))
-    return _top(scored, top_k, pool_k).select("user_id", "is_pool", "candidate_video_id", "score", "position")
+    columns = ["user_id", "is_pool", "candidate_video_id", "score", "position"]
+    if exclusions is None:
+        return _top(scored, top_k, pool_k).select(*columns)
+    named = scored.select("user_id", "is_pool", F.col("candidate_video_id").alias("video_id"), "score", "turn")
+    order = [F.col("score").desc(), F.col("turn"), F.col("video_id")]
+    places = F.when(F.col("is_pool"), pool_k).otherwise(top_k)
+    return exclusions.first(named, ["user_id", "is_pool"], order, places).withColumnRenamed("video_id", "candidate_video_id").select(*columns)
 
 
 def mix_sum(source: DataFrame | Scored, queries: DataFrame, top_k: int = 10, pool_k: int = 50,
@@ -364,7 +439,8 @@ def fallback_recommendations(users: DataFrame, region_pool: DataFrame, popular:
     ``users`` carry region; pools hold one content type with ``position``. Popular and
     untouched picks are shared by all users of a run.
     """
-    regional = users.join(region_pool, "region").select("user_id", "video_id", F.lit(0).alias("source"), F.col("position").alias("rank"))
+    regions = broadcast_checked(region_pool.select("region", "video_id", "position"))
+    regional = users.join(regions, "region").select("user_id", "video_id", F.lit(0).alias("source"), F.col("position").alias("rank"))
     shared = broadcast_checked(
         popular.where(F.col("position") <= popular_k).select("video_id", F.lit(1).alias("source"), "position")
         .unionByName(untouched.where(F.col("position") <= untouched_k).select("video_id", F.lit(2).alias("source"), "position"))
@@ -379,6 +455,37 @@ def fallback_recommendations(users: DataFrame, region_pool: DataFrame, popular:
     return rows.withColumn("position", F.row_number().over(order)).drop("rank")
 
 
+def fallback_chains(region_pool: DataFrame, popular: DataFrame, untouched: DataFrame, listed: DataFrame,
+                    popular_k: int = TOP_K, untouched_k: int = UNTOUCHED_PICK) -> DataFrame:
+    """region -> its items, then popular, then untouched ones, each once, as one list; a null region has those of all.
+
+    Every part has a fixed length, so a list does too.
+    """
+    everywhere = popular.where(F.col("position") <= popular_k).select("video_id", F.lit(1).alias("source"), "position").unionByName(
+        untouched.where(F.col("position") <= untouched_k).select("video_id", F.lit(2).alias("source"), "position")
+    ).withColumn("pool_key", F.lit("global"))
+    regions = region_pool.select("region").distinct().unionByName(region_pool.sparkSession.createDataFrame([(None,)], "region string"))
+    shared = regions.withColumn("pool_key", F.lit("global")).join(everywhere, "pool_key").select("region", "video_id", "source", "position")
+    own = region_pool.select("region", "video_id", F.lit(0).alias("source"), "position")
+    once = own.unionByName(shared).join(listed.select("video_id"), "video_id", "left_semi").groupBy("region", "video_id").agg(F.min(F.struct("source", "position")).alias("turn"))
+    return once.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "video_id"))), lambda s: s["video_id"]).alias("chain"))
+
+
+def refill(short: DataFrame, chains: DataFrame, exclusions: Exclusions) -> DataFrame:
+    """(user_id, video_id, position): for users with ``places`` left, that many of the chain of their region.
+
+    ``short``: user_id, region, places, taken (what the user gets already, at most a page).
+    """
+    lists = broadcast_checked(chains)
+    own = lists.select(F.col("region").alias("chain_region"), "chain")
+    known = short.join(own, F.col("region") == F.col("chain_region"), "left").withColumn("pool_key", F.lit("global"))
+    rest = lists.where("region is null").select(F.lit("global").alias("pool_key"), F.col("chain").alias("rest"))
+    offered = known.join(F.broadcast(rest), "pool_key", "left").select(
+        "user_id", "places", "taken", F.posexplode(F.coalesce("chain", "rest")).alias("turn", "video_id")
+    ).where(~F.coalesce(F.array_contains("taken", F.col("video_id")), F.lit(False))).drop("taken")
+    return exclusions.first(offered, ["user_id"], [F.col("turn")], F.col("places")).select("user_id", "video_id", "position")
+
+
 @dataclass
 class Catalogue:
     """Inputs of ``recommend_all`` for one content type."""
@@ -400,7 +507,13 @@ class Catalogue:
 
 
 def recommend_all(c: Catalogue, results: int = RESULTS, excluded: DataFrame | None = None) -> DataFrame:
-    """Ranked, filtered and described recommendations of every user."""
+    """Ranked, filtered and described recommendations of every user: a full page wherever there are items for one.
+
+    Watched, reported and excluded items, and items without metadata, take no place at any stage. Personal items
+    come first, then pool items; the places that are left go to the fallback chain of the user's region.
+    """
+    metadata = store(c.metadata)
+    exclusions = Exclusions.of(c.watched, c.live_watched, c.reported, excluded)
     profile = materialize(user_metadata(c.users, c.interactions, c.bins).join(c.users, "user_id"))
     served = profile.where((F.col("cluster_id") >= 0) & (F.col("bin") >= 0))
     history = newest_history(c.interactions)
@@ -409,20 +522,21 @@ def recommend_all(c: Catalogue, results: int = RESULTS, excluded: DataFrame | No
         c.cluster_pool, c.region_pool, c.popular.where(F.col("position") <= POOL_SAMPLE)
         .select("video_id").unionByName(c.untouched.where(F.col("position") <= UNTOUCHED_PICK).select("video_id")),
     ))
-    mixed = materialize(mix(score_candidates(queries, user_pool_keys(served), c.tier, c.iou, pools, c.item_vectors), queries))
-    main = mixed.select(
+    scored = score_candidates(queries, user_pool_keys(served), c.tier, c.iou, pools, c.item_vectors, listed=metadata)
+    mixed = mix(scored, queries, exclusions=exclusions)
+    offered = mixed.select(
         "user_id", F.col("candidate_video_id").alias("video_id"),
         F.when(F.col("is_pool"), "pool").otherwise("personal").alias("origin"),
         (F.col("position") + F.when(F.col("is_pool"), TOP_K).otherwise(0)).alias("position"),
     )
-    rest = c.users.join(mixed.select("user_id").distinct(), "user_id", "left_anti")
-    backup = fallback_recommendations(rest, c.region_pool, c.popular, c.untouched, c.watched, c.reported).select(
-        "user_id", "video_id", F.lit("fallback").alias("origin"), "position"
+    main = store(final_trim(dedup_preserve_order(offered), results).select("user_id", "place", "video_id", "origin"))
+    filled = main.groupBy("user_id").agg(F.count("*").alias("n"), F.collect_list("video_id").alias("taken"))
+    short = c.users.join(filled, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("int")).withColumn("places", results - F.col("n")).where("places > 0")
+    backup = refill(short.select("user_id", "region", "places", "taken"), fallback_chains(c.region_pool, c.popular, c.untouched, metadata), exclusions)
+    rest = backup.join(filled.select("user_id", "n"), "user_id", "left").select(
+        "user_id", (F.coalesce("n", F.lit(0)) + F.col("position")).cast("int").alias("place"), "video_id", F.lit("fallback").alias("origin")
     )
-    rows = dedup_preserve_order(main.unionByName(backup))
-    rows = rows if excluded is None else exclude_items(rows, excluded)
-    rows = exclude_items(filter_watched(rows, c.live_watched, c.watched), c.reported)
-    return final_trim(attach_metadata(rows, c.metadata), results).select(
+    return attach_metadata(main.unionByName(rest), metadata).select(
         "user_id", "place", "video_id", "origin", "post_id", "canister_id", "publisher_user_id", "nsfw_probability",
         "num_views_loggedin", "num_views_all",
     )

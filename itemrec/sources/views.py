@@ -47,7 +47,8 @@ VIEWS: dict[str, str] = {
                last_liked_timestamp, shared, last_shared_timestamp,
                cast(user_key % 4 as int) as cluster_id, cast(e.label as int) as cluster_label,
                cast('2001-11-05 00:00:00' as timestamp) as updated_at
-        from {interaction_keyed} i left join {embeddings} e on e.vec_id = i.item_key % 500""",
+        from (select *, item_key % (select count(*) from {embeddings}) as vec from {interaction_keyed}) i
+        left join {embeddings} e on e.vec_id = i.vec""",
     "user_cluster": """
         select distinct concat('u', o_custkey) as user_id, cast(o_custkey % 4 as int) as cluster_id
         from {orders}""",
@@ -68,9 +69,9 @@ VIEWS: dict[str, str] = {
                p_partkey * 37 % 100 >= 50 as is_nsfw,
                case when p_partkey % 11 = 0 then 'explicit' else 'neutral' end as nsfw_ec,
                case when p_partkey % 17 = 0 then 'LIKELY' else 'UNLIKELY' end as nsfw_gore
-        from (select p_partkey, 0 as copy, p_partkey % 500 as vec from {part}
+        from (select p_partkey, 0 as copy, p_partkey % (select count(*) from {embeddings}) as vec from {part}
               union all
-              select p_partkey, 1 as copy, (p_partkey * 7 + 3) % 500 as vec from {part}) p
+              select p_partkey, 1 as copy, (p_partkey * 7 + 3) % (select count(*) from {embeddings}) as vec from {part}) p
         join {embeddings} e on e.vec_id = p.vec""",
     "item_nsfw": """
         select md5(cast(p_partkey as string)) as video_id, (p_partkey * 37 % 100) / 100 as probability,
@@ -98,7 +99,7 @@ VIEWS: dict[str, str] = {
                case when l_partkey % 3 <> 0
                     then concat('gs://items/', md5(cast(l_partkey + 1 as string)), '.mp4') end as parent_video_uri
         from {lineitem} join {orders} on l_orderkey = o_orderkey
-        where l_returnflag = 'R' and l_linenumber = 1""",
+        where l_returnflag = 'R'""",
     "post_mapping": """
         select concat('can-', p_partkey % 7) as old_canister_id, cast(p_partkey as string) as old_post_id,
                concat('newcan-', p_partkey % 3) as canister_id,
