@@ -2,9 +2,10 @@
 
 An inverted index lists, for each token, the sets that have it in their prefix. Lists are read in
 blocks of equal set size and position, and a block that can't reach the overlap is skipped whole.
-Sets that are highly similar to one that leads their lists are linked to it first, and what differs
-is kept as a relation: such a set's answers follow from those of the set that it is related to,
-by the tokens in which they differ, and between sets that are connected already none are sought.
+
+Sets that are highly similar make a family: each is known by the tokens in which it differs from
+the set that leads it. Which sets of a family link follows from those differences alone, and answers of a set
+to sets of other families follow from its leader's. So a family of near copies needs neither its pairs nor its texts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: The sketch of token counts has a fixed size: 2 ** SKETCH_BITS counters, sent in CHUNKS parts.
 SKETCH_BITS, CHUNKS = 22, 64
-#: Rounds in which sets are linked to the leaders of their lists; what stays apart is compared in full.
+#: Rounds in which sets join the families that lead their lists; what stays apart is compared as sets of different families.
 ROUNDS = 3
 #: Postings of one list, or sets compared with one set, that a task takes at a time.
 LIST_PART = 4_096
@@ -140,12 +141,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.intersect1d(a, b, assume_unique=True)
 
 
-def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The links among ``pairs`` (z, x, y, minus, plus): (z, y, overlap, minus, plus).
+def compare(pairs: DataFrame, tokens: DataFrame, relate: bool = False) -> DataFrame:
+    """The links among ``pairs`` (z, x, y, minus, plus): (z, y, overlap, size, minus, plus).
 
     Set y is x without the tokens ``minus`` and with ``plus``; its overlap with z follows from that of x
-    with z, counted once, and from those tokens. Without ``minus``, y is x itself, and what is returned as minus
-    and plus is in what y differs from z. A set z with many partners is dealt to several tasks.
+    with z, counted once, and from those tokens. With ``relate``, y is x itself, and pairs are returned that differ in at most
+    half of their tokens, with what y lacks and has beside z (of ``size``). A set z with many partners is dealt to several tasks.
     """
     parts = pairs.groupBy("z").agg(F.ceil(F.count("*") / LIST_PART).alias("parts"))
     salted = pairs.join(parts, "z").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")))
@@ -153,7 +154,7 @@ def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     heads = parts.join(tokens.withColumnRenamed("id", "z"), "z").select("z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("bigint").alias("x"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("y"), F.col("tokens").alias("minus"), none.alias("plus"))
     bases = salted.select("z", "part", "x").distinct().join(tokens.withColumnRenamed("id", "x"), "x").select("z", "part", "x", F.lit(1).alias("kind"), F.lit(-1).cast("bigint").alias("y"), F.col("tokens").alias("minus"), none.alias("plus"))
     rows = heads.unionByName(bases).unionByName(salted.select("z", "part", "x", F.lit(2).alias("kind"), "y", "minus", "plus"))
-    schema = "z bigint, y bigint, overlap bigint, minus binary, plus binary"
+    schema = "z bigint, y bigint, overlap bigint, size bigint, minus binary, plus binary"
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +172,16 @@ def compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
                     gone, new = (np.frombuffer(v or b"", np.uint64) for v in (minus, plus))
                     overlap = met - len(_shared(gone, whole)) + len(_shared(new, whole))
                     size = len(base) - len(gone) + len(new)
-                    if overlap >= least_overlap(size, len(whole)):
-                        found["z"].append(z)
-                        found["y"].append(y)
-                        found["overlap"].append(overlap)
-                        found["minus"].append(np.setdiff1d(whole, base, assume_unique=True).tobytes() if minus is None else None)
-                        found["plus"].append(np.setdiff1d(base, whole, assume_unique=True).tobytes() if minus is None else None)
+                    lacks = has = None
+                    if relate:
+                        lacks, has = np.setdiff1d(whole, base, assume_unique=True), np.setdiff1d(base, whole, assume_unique=True)
+                        if 2 * (len(lacks) + len(has)) > size + len(whole):
+                            continue
+                        lacks, has = lacks.tobytes(), has.tobytes()
+                    elif overlap < least_overlap(size, len(whole)):
+                        continue
+                    for c, v in zip(out.names, (z, y, overlap, len(whole), lacks, has), strict=True):
+                        found[c].append(v)
             yield as_batch(found, out)
 
     bound_batches(pairs.sparkSession)
@@ -188,7 +193,7 @@ def _pairs_of_list(held: list[list[int]]) -> Iterator[tuple[list[int], list[int]
 
     Postings come by size and position, and are taken in blocks of which both are equal. A pair of blocks is skipped
     if the smaller size can't reach the overlap, or if this token and all that follow it in both sets can't. Sets of one
-    component are no pair, nor are sets on one side where two parts of a list meet.
+    family are no pair, nor are sets on one side where two parts of a list meet.
     """
     starts = [i for i in range(len(held)) if not i or held[i][1:3] != held[i - 1][1:3]] + [len(held)]
     for b, (i0, i1) in enumerate(zip(starts, starts[1:], strict=False)):
@@ -209,7 +214,7 @@ def _pairs_of_list(held: list[list[int]]) -> Iterator[tuple[list[int], list[int]
 
 
 def candidates(lists: DataFrame) -> DataFrame:
-    """(a, b) of different components that the postings (token, id, n, pos, root, n_list) leave possible.
+    """(a, b) of different families that the postings (token, id, n, pos, root, n_list) leave possible; ``root`` is the family.
 
     Every common token of two prefixes is met up to the first that comes too late to matter, so what they share is at most
     that number and what follows the last. A list longer than ``LIST_PART`` is cut into parts by id, and each two parts meet apart.
@@ -250,11 +255,87 @@ def candidates(lists: DataFrame) -> DataFrame:
     return sums.where((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _apart(minus: bytes | None, plus: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(minus or b"", np.uint64), np.frombuffer(plus or b"", np.uint64)
+
+
+def moved(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """In what a set differs from x, if it differs from z by ``then`` and z from x by ``first``: (lacks, has)."""
+    (m, p), (n, q) = first, then
+    lacks = np.union1d(np.setdiff1d(m, q, assume_unique=True), np.setdiff1d(n, p, assume_unique=True))
+    return lacks, np.union1d(np.setdiff1d(p, n, assume_unique=True), np.setdiff1d(q, m, assume_unique=True))
+
+
+RELATIONS = "id bigint, lead bigint, lead_n bigint, minus binary, plus binary"
+
+
+def families(live: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``RELATIONS``: the set that leads each related set, and in what they differ.
+
+    In a round, each family goes to the first family of most of its lists if their leading sets are close, and
+    its members' differences follow from its leader's. A family that others come to stays where it is.
+    """
+    related = live.sparkSession.createDataFrame([], RELATIONS)
+    for _ in range(ROUNDS):
+        by = related.select("id", "lead", "lead_n")
+        lists = live.select("token", "id", "n").join(by, "id", "left").select("token", F.coalesce("lead", "id").alias("f"), F.coalesce("lead_n", "n").alias("f_n")).distinct()
+        lists = store(lists)
+        first = lists.groupBy("token").agg(F.min("f").alias("z"), F.count("*").alias("n")).where("n > 1").select("token", "z")
+        met = lists.join(first, "token").where("f <> z").groupBy(F.col("f").alias("x"), "f_n", "z").agg(F.count("*").alias("n_met"))
+        length = F.col("f_n") - F.ceil(NUMERATOR * F.col("f_n") / DENOMINATOR) + 1
+        pairs = met.where(4 * F.col("n_met") >= length).groupBy("x").agg(F.max_by("z", F.struct("n_met", "z")).alias("z"))
+        none = F.lit(None).cast("binary")
+        pairs = store(pairs.select("z", "x", F.col("x").alias("y"), none.alias("minus"), none.alias("plus")))
+        close = compare(pairs, _tokens(docs, classes, pairs.select(F.col("z").alias("id")).union(pairs.select("x")), width), relate=True)
+        close = close.join(close.select(F.col("y").alias("z")), "z", "left_anti").select(F.col("y").alias("x"), F.col("z").alias("to"), F.col("size").alias("to_n"), F.col("minus").alias("m"), F.col("plus").alias("p"))
+        if close.isEmpty():
+            break
+
+        def follow(batch: pa.RecordBatch) -> dict[str, object]:
+            rows = zip(*[batch[c].to_pylist() for c in ("m", "p", "minus", "plus")], strict=True)
+            apart = [moved(_apart(m, p), _apart(n, q)) for m, p, n, q in rows]
+            return {"id": batch["id"], "lead": batch["to"], "lead_n": batch["to_n"], "minus": [a.tobytes() for a, _ in apart], "plus": [b.tobytes() for _, b in apart]}
+
+        brought = map_batches(related.join(close, F.col("lead") == F.col("x")), follow, RELATIONS)
+        stayed = related.join(close.select(F.col("x").alias("lead")), "lead", "left_anti").select(*related.columns)
+        led = close.select(F.col("x").alias("id"), F.col("to").alias("lead"), F.col("to_n").alias("lead_n"), F.col("m").alias("minus"), F.col("p").alias("plus"))
+        related = store(stayed.unionByName(brought).unionByName(led))
+    return related
+
+
+def family_links(related: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all links within the families connect, from differences alone.
+
+    Let X be the tokens that most of a family have, and let a set that lacks m of them and has p others cost 100 m + 80 p. Two
+    sets whose differences from X have s tokens in common link if and only if their costs, less 180 s, are at most 20 |X|.
+    Where s is 0, the set of least cost links with both. So that one's links stand for all of these, and other pairs
+    meet in lists of the tokens that differ.
+    """
+    diffs = related.select("id", "lead", "lead_n", "minus", "plus").unionByName(
+        related.select("lead", "lead_n").distinct().select(F.col("lead").alias("id"), "lead", "lead_n", F.lit(None).cast("binary").alias("minus"), F.lit(None).cast("binary").alias("plus"))
+    )
+    as_lists = lambda b: {c: b[c] for c in ("id", "lead", "lead_n")} | {c: [_apart(v, None)[0].view(np.int64) for v in b[c].to_pylist()] for c in ("minus", "plus")}
+    listed = store(map_batches(diffs, as_lists, "id bigint, lead bigint, lead_n bigint, minus array<bigint>, plus array<bigint>"))
+    sizes = listed.groupBy("lead").agg(F.count("*").alias("members"))
+    tokens = listed.select("lead", F.explode("minus").alias("token"), F.lit(True).alias("gone")).unionByName(listed.select("lead", F.explode("plus").alias("token"), F.lit(False).alias("gone")))
+    most = tokens.groupBy("lead", "gone", "token").agg(F.count("*").alias("n")).join(sizes, "lead").where(2 * F.col("n") > F.col("members"))
+    common = most.groupBy("lead").agg(*[F.collect_list(F.when(F.col("gone") == g, F.col("token"))).alias(c) for g, c in ((True, "drop"), (False, "add"))])
+    none = F.array().cast("array<bigint>")
+    whole = listed.join(common, "lead", "left").withColumns({c: F.coalesce(c, none) for c in ("drop", "add")})
+    lacks = F.array_union(F.array_except("minus", "drop"), F.array_except("add", "plus"))
+    has = F.array_union(F.array_except("plus", "add"), F.array_except("drop", "minus"))
+    members = whole.select("id", "lead", lacks.alias("lacks"), has.alias("has"), ((DENOMINATOR - NUMERATOR) * (F.col("lead_n") - F.size("drop") + F.size("add"))).alias("budget"))
+    members = store(members.select("id", "lead", "budget", (DENOMINATOR * F.size("lacks") + NUMERATOR * F.size("has")).cast("bigint").alias("cost"), F.concat("lacks", "has").alias("apart")))
+    least = members.groupBy("lead").agg(F.min(F.struct("cost", "id")).alias("least"))
+    placed = store(members.join(least, "lead").select("id", "lead", "budget", "cost", "apart", F.col("least.id").alias("first"), (F.col("cost") + F.col("least.cost") <= F.col("budget")).alias("core")))
+    star = placed.where("core and id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    rows = placed.select("lead", F.explode("apart").alias("token"), "id", "budget", "cost", "core")
+    several = rows.groupBy("lead", "token").agg(F.count("*").alias("n"), F.bool_and("core").alias("all_core")).where("n > 1 and not all_core").select("lead", "token")
+    rows = store(rows.join(several, ["lead", "token"], "left_semi"))
+    other = rows.select("lead", "token", F.col("id").alias("b"), F.col("cost").alias("cost_b"), F.col("core").alias("core_b"))
+    met = rows.withColumnRenamed("id", "a").join(other, ["lead", "token"]).where("a < b and not (core and core_b)")
+    shared = met.groupBy("a", "b", "cost", "cost_b", "budget").agg(F.count("*").alias("s"))
+    return star.unionByName(shared.where(F.col("cost") + F.col("cost_b") - (NUMERATOR + DENOMINATOR) * F.col("s") <= F.col("budget")).select("a", "b"))
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -263,40 +344,16 @@ def links(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     several = postings.groupBy("token").agg(F.count("*").alias("n_list")).where("n_list > 1")
     live = store(join_frequent(postings, several, ["token"], "n_list", total))
-    empty = live.sparkSession.createDataFrame([], "node bigint, root bigint")
-    edges: list[DataFrame] = []
-    comps, related = empty, []
-
-    def placed() -> DataFrame:
-        return live.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    for _ in range(ROUNDS):
-        least = placed().groupBy("token", "root").agg(F.min(F.struct("n", "id")).alias("set"))
-        least = store(least)
-        lead = least.groupBy("token").agg(F.min("set").alias("lead"), F.count("*").alias("n_roots")).where("n_roots > 1")
-        met = least.join(lead, "token").where("set.id <> lead.id").groupBy(F.col("set.id").alias("x"), F.col("set.n").alias("n"), F.col("lead.id").alias("z")).agg(F.count("*").alias("n_met"))
-        length = F.col("n") - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) + 1
-        pairs = met.where(4 * F.col("n_met") >= length).groupBy("x").agg(F.max_by("z", F.struct("n_met", "z")).alias("z"))
-        pairs = store(pairs.select("z", "x", F.col("x").alias("y"), F.lit(None).cast("binary").alias("minus"), F.lit(None).cast("binary").alias("plus")))
-        found = compare(pairs, _tokens(docs, classes, pairs.select(F.col("z").alias("id")).union(pairs.select("x")), width))
-        if found.isEmpty():
-            break
-        edges.append(found.select(F.col("z").alias("a"), F.col("y").alias("b")))
-        related.append(found.select(F.col("y"), F.col("z").alias("x"), "minus", "plus"))
-        comps = components(_union(edges))
-    lists = placed()
+    related = families(live, docs, classes, width)
+    lists = live.join(related.select("id", "lead"), "id", "left").withColumn("root", F.coalesce("lead", "id")).drop("lead")
     mixed = lists.select("token", "root").distinct().groupBy("token").count().where("count > 1").select("token")
     pairs = store(candidates(lists.join(mixed, "token", "left_semi")))
-    if related:
-        relations = store(_union(related).groupBy("y").agg(F.first(F.struct("x", "minus", "plus")).alias("by")))
-        known = relations.select(F.col("y").alias("b"), F.lit(True).alias("known"))
-        turned = pairs.join(known, "b", "left").select(F.when(F.col("known"), F.col("b")).otherwise(F.col("a")).alias("y"), F.when(F.col("known"), F.col("a")).otherwise(F.col("b")).alias("z"))
-        pairs = turned.join(relations, "y", "left").select("z", F.coalesce("by.x", "y").alias("x"), "y", "by.minus", "by.plus")
-    else:
-        pairs = pairs.select(F.col("b").alias("z"), F.col("a").alias("x"), F.col("a").alias("y"), F.lit(None).cast("binary").alias("minus"), F.lit(None).cast("binary").alias("plus"))
-    pairs = store(pairs)
-    found = compare(pairs, _tokens(docs, classes, pairs.select(F.col("z").alias("id")).union(pairs.select("x")), width))
-    return _union([*edges, found.select(F.col("z").alias("a"), F.col("y").alias("b"))])
+    known = related.select(F.col("id").alias("b"), F.lit(True).alias("known"))
+    turned = pairs.join(known, "b", "left").select(F.when(F.col("known"), F.col("b")).otherwise(F.col("a")).alias("y"), F.when(F.col("known"), F.col("a")).otherwise(F.col("b")).alias("z"))
+    relations = related.select(F.col("id").alias("y"), F.col("lead").alias("x"), "minus", "plus")
+    asked = store(turned.join(relations, "y", "left").select("z", F.coalesce("x", "y").alias("x"), "y", "minus", "plus"))
+    found = compare(asked, _tokens(docs, classes, asked.select(F.col("z").alias("id")).union(asked.select("x")), width))
+    return family_links(related).unionByName(found.select(F.col("z").alias("a"), F.col("y").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:

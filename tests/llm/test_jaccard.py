@@ -109,6 +109,36 @@ def test_blocks_skip_only_what_cannot_link():
             assert (frozenset((x[0], y[0])) in found) == links
 
 
+def test_families_link_as_their_sets_do(spark):
+    """Differences from a leading set say which sets of a family link, through what is common to most of them."""
+    random = np.random.default_rng(8)
+    base, turn = np.arange(100, 160, dtype=np.uint64), np.arange(300, 306, dtype=np.uint64)
+    sets = {0: np.setdiff1d(base, base[:9])}
+    for i in range(1, 60):
+        own = np.setdiff1d(base, random.choice(base, int(random.integers(0, 16)), replace=False))
+        sets[i] = np.union1d(own, np.concatenate([random.choice(turn, int(random.integers(0, 4)), replace=False), random.integers(1_000, 9_999, int(random.integers(0, 9))).astype(np.uint64)]))
+    rows = [(i, 0, len(sets[0]), bytearray(np.setdiff1d(sets[0], s).tobytes()), bytearray(np.setdiff1d(s, sets[0]).tobytes())) for i, s in sets.items() if i]
+    found = {frozenset((r.a, r.b)) for r in jaccard.family_links(spark.createDataFrame(rows, jaccard.RELATIONS)).collect()}
+    real = {frozenset((i, j)) for i in sets for j in sets if i < j and len(np.intersect1d(sets[i], sets[j])) >= jaccard.least_overlap(len(sets[i]), len(sets[j]))}
+    assert found <= real
+    def groups(edges):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for e in edges:
+                low = min(root[i] for i in e)
+                root |= dict.fromkeys(e, low)
+        return root
+    assert groups(found) == groups(real) and len(set(groups(real).values())) > 1
+
+
+def test_differences_are_carried_over():
+    random = np.random.default_rng(9)
+    x, z, y = (np.unique(random.integers(0, 40, 25).astype(np.uint64)) for _ in range(3))
+    apart = lambda a, b: (np.setdiff1d(a, b), np.setdiff1d(b, a))  # what b lacks and has beside a
+    for got, want in zip(jaccard.moved(apart(x, z), apart(z, y)), apart(x, y)):
+        assert got.tolist() == want.tolist()
+
+
 def test_relations_give_the_answers_of_whole_sets(spark):
     """A set known by its difference from another has the overlaps that its own tokens have."""
     random = np.random.default_rng(6)
