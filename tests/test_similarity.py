@@ -1,9 +1,9 @@
-"""Block products, hashing and means against plain numpy."""
+"""Block products, cells and means against plain numpy."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from itemrec.operators import clustering, similarity
+from itemrec.operators import ann, clustering, similarity
 from itemrec.plans import profiles
 
 
@@ -42,12 +42,77 @@ def test_listed_pairs_and_topk(spark):
     assert {r["count"] for r in top} == {3}
 
 
-def test_hashing_reports_true_similarities_with_good_recall(spark):
-    df, rows = vectors_of(spark, n=200)
-    near = {(a, b): s for (_, a, b), s in brute([("g", b, c) for _, b, c in rows], 0.92).items()}
-    found = {(r.query_video_id, r.candidate_video_id): r.similarity for r in similarity.similarity_ann(df, df, 0.4).collect()}
-    assert all(abs(found[p] - near[p]) < 1e-5 for p in found if p in near) and set(found) <= set(near)
-    assert len(found) >= 0.9 * len(near) > 0
+def clustered(spark, n=240, width=8, seed=2, spread=0.15):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(12, width))
+    rows = [("g", f"v{i:03d}", (centres[i % 12] + spread * r.normal(size=width)).tolist()) for i in range(n)]
+    return spark.createDataFrame([x[1:] for x in rows], "video_id string, embedding array<double>"), rows
+
+
+def test_lists_report_true_similarities_with_good_recall(spark):
+    for df, rows, floor, probes in ((*vectors_of(spark, n=200), 0.92, 6), (*clustered(spark), 0.95, 2)):
+        near = {(a, b): s for (_, a, b), s in brute([("g", b, c) for _, b, c in rows], floor).items()}
+        index = ann.InvertedFile(df.select("video_id", "embedding"))
+        found = {(r.query_video_id, r.candidate_video_id): r.similarity for r in index.near(df, floor, probes).collect()}
+        assert set(found) <= set(near) and all(abs(found[p] - near[p]) < 2e-6 for p in found)
+        assert len(found) >= 0.9 * len(near) > 0
+        # with no limit of probes the bound alone leaves lists out, and nothing is missed
+        assert {(r.query_video_id, r.candidate_video_id) for r in index.near(df, floor).collect()} == set(near)
+        assert index.probes(df, floor, None).count() < len(rows) * len(index.centres)
+        best = index.near(df, floor, k=1).collect()
+        assert {r.query_video_id: r.similarity for r in best} == {a: max(s for (x, _), s in near.items() if x == a) for a, _ in near}
+
+
+def test_index_of_copies_and_of_nothing(spark):
+    kind = "video_id string, embedding array<double>"
+    copies = spark.createDataFrame([(f"v{i}", [1.0, 0.0]) for i in range(50)] + [("w", [1.0, 0.1])], kind)
+    assert {(r.query_video_id, r.candidate_video_id) for r in ann.similarity_ann(copies, copies, 0.9).collect()} == {("v0", "w"), ("w", "v0")}
+    assert ann.similarity_ann(copies, copies.limit(0), 0.9).collect() == []
+
+
+def neighbours(rows, k):
+    out = set()
+    for _, a, x in rows:
+        scores = sorted((-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6), b) for _, b, y in rows if a != b)
+        out |= {(a, b, i + 1) for i, (_, b) in enumerate(scores[:k])}
+    return out
+
+
+def test_pivots_find_the_nearest_of_every_row_and_prune(spark):
+    for df, rows, least in ((*vectors_of(spark, n=90), 0.0), (*clustered(spark, spread=0.05), 0.3)):
+        join = ann.PivotJoin(similarity.unit_vectors(df.select("video_id", "embedding")), "video_id", 5)
+        for block in (2_000, 11):
+            found = join.neighbours(block).collect()
+            assert {(r.video_id, r.neighbour, r.place) for r in found} == neighbours(rows, 5)
+        assert join.pruned() >= least  # on separate groups many pairs are never compared
+
+
+def test_fewer_rows_than_neighbours(spark):
+    units = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "video_id string, unit array<double>")
+    found = {(r.video_id, r.neighbour, r.place) for r in ann.PivotJoin(units, "video_id", 10).neighbours().collect()}
+    assert found == {("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("b", "c", 2), ("c", "a", 1), ("c", "b", 2)}
+    assert ann.PivotJoin(units.limit(0), "video_id", 3).neighbours().collect() == []
+
+
+def test_quality_of_given_labels_equals_the_pairwise_definition(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(40, 3)) + np.arange(40)[:, None] % 3
+    labels = np.array([i % 3 for i in range(39)] + [7])
+    df = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(labels, x)], "cluster int, embedding array<double>")
+    gaps = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    scores = []
+    for i, c in enumerate(labels):
+        own = labels == c
+        if own.sum() == 1:
+            scores.append(0.0)
+            continue
+        a = gaps[i][own].sum() / (own.sum() - 1)
+        b = min(gaps[i][labels == o].mean() for o in set(labels) - {c})
+        scores.append((b - a) / max(a, b))
+    cost = sum(((x[labels == c] - x[labels == c].mean(axis=0)) ** 2).sum() for c in set(labels))
+    got = clustering.cluster_quality(df).first()
+    assert abs(got.silhouette - np.mean(scores)) < 1e-9 and abs(got.training_cost - cost) < 1e-9 and got.members == 40
+    assert clustering.cluster_quality(df.withColumn("cluster", F.lit(1))).first().silhouette == 0
 
 
 def test_cluster_means_need_no_pairs(spark):
