@@ -9,15 +9,16 @@ other. Two cases are kept apart so that one very active user cannot dominate the
 
 * most users: their items are cut into blocks and the blocks paired, so no task gets a
   user's whole square, and each unordered pair is produced once for both directions;
-* the few users of a group with more items than ``heavy_items``: their pairs are never
-  produced. Items with the same heavy users and the same audience size score alike, so these
-  pairs are counted class against class, and only those that pass the cut are written out.
+* users of a group with more items than ``heavy_items``, however many: their pairs are never produced. They
+  are bits of an array that each of their items has, and what two items share is the number of
+  bits that both have. Items with the same bits and the same audience size score alike, so classes of such items
+  are counted against each other, block of classes by block of classes, and only what passes the cut is written out.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ MIN_WATCH = 0.5
 SUCCESS_WATCH = 0.75
 MIN_USERS = 2
 GROUP = ["content_type", "cluster_id"]
+#: Items of a user above which its pairs are counted by bits, and classes of one block of them.
+HEAVY_ITEMS, CLASS_BLOCK = 5_000, 1_000
 
 
 def item_audiences(split: DataFrame, min_watch: float = MIN_WATCH, success: float = SUCCESS_WATCH) -> DataFrame:
@@ -93,87 +96,146 @@ def _score(num: Column, den: Column) -> Column:
     return rules.round2(num / den) * 2
 
 
-def _class_num(slots: int, own: str, other: str) -> Column:
-    """Shared count from heavy users: own repeats wherever the other item has the same user."""
-    parts = [F.when(F.col(f"{other}{i}") > 0, F.col(f"{own}{i}")).otherwise(F.lit(0)) for i in range(slots)]
-    return reduce(lambda a, b: a + b, parts)
+def _shared(bits: Column, has: Column) -> Column:
+    """How many bits two arrays have in common."""
+    return F.aggregate(F.zip_with(bits, has, lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
 
-class PairScores:
-    """The scored pairs of every group in factored form: user pairs listed, heavy pairs as classes."""
+def _products(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shared counts of every left class with every right one, and of every right one with every left one."""
+    a, b, has_a, has_b = (np.stack(df[c].to_numpy()).astype(np.int64).view(np.uint64) for c in ("bits", "has") for df in (left, right))
+    out = np.zeros((2, len(left), len(right)), np.int64)
+    for i in range(a.shape[1]):
+        out[0] += np.bitwise_count(a[:, i, None] & has_b[None, :, i])
+        out[1] += np.bitwise_count(has_a[:, i, None] & b[None, :, i])
+    return out[0], out[1]
 
-    def __init__(self, split: DataFrame, min_watch: float = MIN_WATCH, success: float = SUCCESS_WATCH,
-                 min_users: int = MIN_USERS, heavy_items: int = 20_000, heavy_slots: int = 4, block: int = 500):
-        finished = materialize(_finished(split, min_watch, success, min_users))
-        sizes = (
-            finished.groupBy(*GROUP, "user_id").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > heavy_items)
-        )
-        largest = Window.partitionBy(*GROUP).orderBy(F.col("items").desc(), "user_id")
-        heavy = materialize(
-            sizes.withColumn("slot", F.row_number().over(largest) - 1).where(F.col("slot") < heavy_slots)
-        )
-        self.has_heavy = not heavy.isEmpty()
-        self.slots = heavy_slots
-        if not self.has_heavy:
-            pairs = _user_pairs(finished, block)
-            self.listed = materialize(
-                pairs.select(*GROUP, "lo", "hi", (F.col("n_lo") + F.col("n_hi")).alias("den"), "num_lo", "num_hi")
-            )
+
+class HeavyUsers:
+    """The items of very active users, as bitmaps over those users.
+
+    ``rows`` are one per (group, item, user) with repeats ``w`` and audience ``n``. ``bits`` of an item has a level for each number of
+    repeats, with the users that have at least so many; ``has`` is the first level once for each level. So the repeats of x
+    by users that have y too are the bits that ``bits`` of x and ``has`` of y share.
+    """
+
+    def __init__(self, rows: DataFrame, heavy_items: int = HEAVY_ITEMS, block: int = CLASS_BLOCK):
+        self.block = block
+        sizes = rows.groupBy(*GROUP, "user_id").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > heavy_items)
+        slot = F.row_number().over(Window.partitionBy(*GROUP).orderBy("user_id")) - 1
+        heavy = materialize(sizes.withColumn("slot", slot).select(*GROUP, "user_id", "slot"))
+        slots = heavy.agg(F.max("slot")).first()[0]
+        self.any = slots is not None
+        self.light = rows
+        if not self.any:
             return
-        marked = finished.join(broadcast_checked(heavy.select(*GROUP, "user_id", "slot")), [*GROUP, "user_id"], "left")
-        weights = [
-            F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("w"))), F.lit(0)).alias(f"h{i}") for i in range(heavy_slots)
-        ]
-        any_heavy = reduce(lambda a, b: a | b, [F.col(f"h{i}") > 0 for i in range(heavy_slots)])
-        total = reduce(lambda a, b: a + b, [F.col(f"h{i}") for i in range(heavy_slots)])
-        items = marked.groupBy(*GROUP, "video_id", "n").agg(*weights).where(any_heavy)
-        caps = items.groupBy(*GROUP).agg(F.max(total).alias("most"))
-        self.items = materialize(items.join(broadcast_checked(caps), GROUP))
-        light = _user_pairs(marked.where(F.col("slot").isNull()).drop("slot"), block)
-        lo, hi = self._renamed("lo"), self._renamed("hi")
-        joined = light.join(lo.drop("n_lo"), [*GROUP, "lo"], "left").join(hi.drop("n_hi"), [*GROUP, "hi"], "left")
-        joined = joined.fillna(0, [f"{s}{i}" for s in ("lo_h", "hi_h") for i in range(heavy_slots)])
-        self.listed = materialize(
-            joined.select(
-                *GROUP, "lo", "hi", (F.col("n_lo") + F.col("n_hi")).alias("den"),
-                (F.col("num_lo") + _class_num(heavy_slots, "lo_h", "hi_h")).alias("num_lo"),
-                (F.col("num_hi") + _class_num(heavy_slots, "hi_h", "lo_h")).alias("num_hi"),
-                _class_num(heavy_slots, "lo_h", "hi_h").alias("heavy_lo"),
-                _class_num(heavy_slots, "hi_h", "lo_h").alias("heavy_hi"),
-            )
+        marked = rows.join(heavy, [*GROUP, "user_id"], "left")
+        self.light = marked.where(F.col("slot").isNull()).drop("slot")
+        held = materialize(marked.where(F.col("slot").isNotNull()).select(*GROUP, "video_id", "n", "w", "slot"))
+        words, levels = slots // 64 + 1, int(held.agg(F.max("w")).first()[0])
+        place = (F.col("level") - 1) * words + F.floor(F.col("slot") / 64)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("slot") % 64).cast("int"))
+        placed = held.withColumn("level", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("w")))).withColumn("place", place.cast("int"))
+        packed = placed.groupBy(*GROUP, "video_id", "n", "place").agg(F.bit_or(bit).alias("word"))
+        maps = packed.groupBy(*GROUP, "video_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("m"))
+        zero = F.lit(0).cast("bigint")
+        whole = F.transform(F.sequence(F.lit(0), F.lit(words * levels - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
+        self.items = materialize(
+            maps.withColumn("bits", whole).withColumn("has", F.flatten(F.array_repeat(F.slice("bits", 1, words), levels))).drop("m")
         )
-        self.classes = self._class_pairs()
 
-    def _renamed(self, side: str) -> DataFrame:
-        return self.items.select(
-            *GROUP, F.col("video_id").alias(side), F.col("n").alias(f"n_{side}"),
-            *[F.col(f"h{i}").alias(f"{side}_h{i}") for i in range(self.slots)],
-        )
+    def added(self, listed: DataFrame) -> DataFrame:
+        """Listed pairs (lo, hi, n_lo, n_hi, num_lo, num_hi) with what heavy users add, and that alone as heavy_lo and heavy_hi."""
+        side = lambda s: self.items.select(*GROUP, F.col("video_id").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("has").alias(f"has_{s}"))
+        joined = listed.join(side("lo"), [*GROUP, "lo"], "left").join(side("hi"), [*GROUP, "hi"], "left")
+        zero = F.lit(0).cast("bigint")
+        joined = joined.withColumn("heavy_lo", F.coalesce(_shared(F.col("bits_lo"), F.col("has_hi")), zero))
+        joined = joined.withColumn("heavy_hi", F.coalesce(_shared(F.col("bits_hi"), F.col("has_lo")), zero))
+        joined = joined.withColumn("num_lo", F.col("num_lo") + F.col("heavy_lo")).withColumn("num_hi", F.col("num_hi") + F.col("heavy_hi"))
+        return joined.drop("bits_lo", "bits_hi", "has_lo", "has_hi")
 
-    def _class_of(self, df: DataFrame) -> DataFrame:
-        """Audiences over 200 times the largest shared count all round to a zero score: one class."""
-        return df.withColumn("n", F.least(F.col("n"), F.col("most") * 200 + 1))
-
-    def _class_pairs(self) -> DataFrame:
-        cols = [f"h{i}" for i in range(self.slots)]
-        classes = self._class_of(self.items).groupBy(*GROUP, *cols, "n").agg(F.count(F.lit(1)).alias("c"))
-        classes = materialize(classes)
-        named = lambda s: classes.select(*GROUP, *[F.col(c).alias(s + c) for c in cols], F.col("n").alias(s + "n"), F.col("c").alias(s + "c"))
-        same = reduce(lambda a, b: a & b, [F.col("a_" + c) == F.col("b_" + c) for c in [*cols, "n"]])
-        # one row per first heavy user both classes share, instead of every class with every class
-        tag = lambda s: F.array_compact(F.array(*[F.when(F.col(f"{s}{c}") > 0, F.lit(i)) for i, c in enumerate(cols)]))
-        left = named("a_").withColumn("shared", F.explode(tag("a_"))).withColumn("first", F.col("shared"))
-        right = named("b_").withColumn("shared", F.explode(tag("b_")))
-        pairs = left.join(right, [*GROUP, "shared"])
-        shared_first = F.array_min(F.array_intersect(tag("a_"), tag("b_")))
-        return (
-            pairs.where(F.col("shared") == shared_first)
-            .withColumn("num", _class_num(self.slots, "a_h", "b_h"))
-            .withColumn("den", F.col("a_n") + F.col("b_n"))
-            .withColumn("score", _score(F.col("num"), F.col("den")))
-            .withColumn("pairs", F.col("a_c") * (F.col("b_c") - F.when(same, 1).otherwise(0)))
-            .where(F.col("pairs") > 0)
-        )
+    def classes(self, members: DataFrame) -> DataFrame:
+        """Distinct (group, bits, n) with a number and how many items each has."""
+        sizes = members.groupBy(*GROUP, "bits", "has", "n").agg(F.count(F.lit(1)).alias("c"))
+        return materialize(sizes.withColumn("number", F.monotonically_increasing_id()))
+
+    def products(self, classes: DataFrame, visit, schema: str, extra: DataFrame | None = None) -> DataFrame:
+        """``visit(left, right, num, num_back, same)`` for every two blocks of classes of a group; ``extra`` joins the left side by group.
+
+        A class goes to each block of its row and of its column, so a task has two blocks whatever the size of a group.
+        """
+        counts = classes.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("blocks"))
+        placed = classes.join(counts, GROUP).withColumn("b", F.expr("cast(pmod(xxhash64(number), blocks) as int)"))
+        left = placed.withColumn("rb", F.col("b")).withColumn("cb", F.explode(F.expr("sequence(b, blocks - 1)"))).drop("b", "blocks")
+        left = left if extra is None else left.join(extra, GROUP)
+        right = placed.withColumn("rb", F.explode(F.expr("sequence(0, b)"))).withColumn("cb", F.col("b")).drop("b", "blocks")
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides stem from one table
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return pd.DataFrame(columns=names)
+            return visit(a, b, *_products(a, b), a["rb"].iloc[0] == a["cb"].iloc[0])[names]
+
+        keys = [*GROUP, "rb", "cb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def _directions(left: pd.DataFrame, right: pd.DataFrame, num: np.ndarray, back: np.ndarray, same: bool) -> list[tuple]:
+    """(first, second, counts) of the ordered pairs of two blocks: both ways, or once where a block meets itself."""
+    return [(left, right, num)] if same else [(left, right, num), (right, left, back.T)]
+
+
+def _scores(num: np.ndarray, first: pd.DataFrame, second: pd.DataFrame) -> np.ndarray:
+    return np.floor(num / (first["n"].to_numpy()[:, None] + second["n"].to_numpy()[None]) * 100 + 0.5) / 100 * 2
+
+
+class PairScores:
+    """The scored pairs of every group in factored form: user pairs listed, heavy users' pairs as classes."""
+
+    def __init__(self, split: DataFrame, min_watch: float = MIN_WATCH, success: float = SUCCESS_WATCH,
+                 min_users: int = MIN_USERS, heavy_items: int = HEAVY_ITEMS, block: int = 500, class_block: int = CLASS_BLOCK):
+        finished = materialize(_finished(split, min_watch, success, min_users))
+        self.heavy = HeavyUsers(finished, heavy_items, class_block)
+        self.has_heavy = self.heavy.any
+        pairs = _user_pairs(self.heavy.light, block)
+        extra = ["heavy_lo", "heavy_hi"] if self.has_heavy else []
+        pairs = self.heavy.added(pairs) if self.has_heavy else pairs
+        self.listed = materialize(pairs.select(*GROUP, "lo", "hi", (F.col("n_lo") + F.col("n_hi")).alias("den"), "num_lo", "num_hi", *extra))
+        if self.has_heavy:
+            # audiences over 200 times the largest shared count all round to a zero score: one class
+            total = F.aggregate("bits", F.lit(0).cast("bigint"), lambda acc, x: acc + F.bit_count(x))
+            most = self.heavy.items.groupBy(*GROUP).agg(F.max(total).alias("most"))
+            self.members = materialize(
+                self.heavy.items.join(broadcast_checked(most), GROUP).withColumn("size", F.col("n")).withColumn("n", F.least(F.col("n"), F.col("most") * 200 + 1)).drop("most")
+            )
+            self.classes = self.heavy.classes(self.members)
+
+    def _class_histogram(self) -> DataFrame:
+        def count(left, right, num, back, same):
+            found = []
+            for first, second, n in _directions(left, right, num, back, same):
+                pairs = first["c"].to_numpy()[:, None] * second["c"].to_numpy()[None]
+                if same:
+                    pairs -= np.where(first["number"].to_numpy()[:, None] == second["number"].to_numpy()[None], first["c"].to_numpy()[:, None], 0)
+                at = (n > 0) & (pairs > 0)
+                found.append(pd.DataFrame({"score": _scores(n, first, second)[at], "pairs": pairs[at]}))
+            return pd.concat(found).groupby("score", as_index=False)["pairs"].sum().assign(**{g: left[g].iloc[0] for g in GROUP})
+
+        rows = self.heavy.products(self.classes, count, "content_type string, cluster_id int, score double, pairs bigint")
+        return rows.groupBy(*GROUP, "score").agg(F.sum("pairs").alias("pairs"))
+
+    def _class_pairs(self, limits: DataFrame) -> DataFrame:
+        """Ordered pairs of classes above their group's limit."""
+        def pick(left, right, num, back, same):
+            found = []
+            for first, second, n in _directions(left, right, num, back, same):
+                score = _scores(n, first, second)
+                i, j = np.nonzero((n > 0) & (score > left["p95"].iloc[0]))
+                found.append(pd.DataFrame({"a": first["number"].to_numpy()[i], "b": second["number"].to_numpy()[j], "num": n[i, j], "score": score[i, j]}))
+            return pd.concat(found).assign(**{g: left[g].iloc[0] for g in GROUP})
+
+        return self.heavy.products(self.classes, pick, "content_type string, cluster_id int, a bigint, b bigint, num bigint, score double", limits)
 
     def directed(self) -> DataFrame:
         """Listed pairs in both directions."""
@@ -193,7 +255,7 @@ class PairScores:
         listed = self.directed()
         parts = listed.groupBy(*GROUP, "score").agg(F.count(F.lit(1)).alias("pairs"))
         if self.has_heavy:
-            counted = self.classes.groupBy(*GROUP, "score").agg(F.sum("pairs").alias("pairs"))
+            counted = self._class_histogram()
             twice = (
                 listed.where(F.col("heavy") > 0)
                 .withColumn("score", _score(F.col("heavy"), F.col("den")))
@@ -223,18 +285,11 @@ class PairScores:
         kept = listed.join(limits, GROUP).where(F.col("score") > F.col("p95")).select(*GROUP, "x", "y", "den", "num", "score")
         if not self.has_heavy:
             return kept
-        cols = [f"h{i}" for i in range(self.slots)]
-        members = self._class_of(self.items.withColumn("size", F.col("n")))
-        side = lambda s, item: members.select(
-            *GROUP, *[F.col(c).alias(s + c) for c in cols], F.col("n").alias(s + "n"),
-            F.col("size").alias(s + "size"), F.col("video_id").alias(item),
-        )
-        passed = self.classes.join(limits, GROUP).where(F.col("score") > F.col("p95"))
+        numbered = materialize(self.members.join(self.classes.select(*GROUP, "bits", "n", "number"), [*GROUP, "bits", "n"]).select("number", "video_id", "size"))
+        side = lambda c, item, size: numbered.select(F.col("number").alias(c), F.col("video_id").alias(item), F.col("size").alias(size))
         rare = (
-            passed.join(side("a_", "x"), [*GROUP, *["a_" + c for c in cols], "a_n"])
-            .join(side("b_", "y"), [*GROUP, *["b_" + c for c in cols], "b_n"])
-            .where(F.col("x") != F.col("y"))
-            .select(*GROUP, "x", "y", (F.col("a_size") + F.col("b_size")).alias("den"), "num", "score")
+            self._class_pairs(limits).join(side("a", "x", "size_x"), "a").join(side("b", "y", "size_y"), "b").where(F.col("x") != F.col("y"))
+            .select(*GROUP, "x", "y", (F.col("size_x") + F.col("size_y")).alias("den"), "num", "score")
         )
         return kept.unionByName(rare.join(listed.select(*GROUP, "x", "y"), [*GROUP, "x", "y"], "left_anti"))
 
@@ -265,8 +320,29 @@ def pair_score_profile(split: DataFrame, **options) -> DataFrame:
     return related.unionByName(unrelated)
 
 
+def _heavy_pairs(heavy: HeavyUsers) -> DataFrame:
+    """Unordered pairs of items that share heavy users, each made once: from pairs of classes, by their members."""
+    classes = heavy.classes(heavy.items)
+
+    def pick(left, right, num, back, same):
+        i, j = np.nonzero(np.triu(num) if same else num)
+        found = pd.DataFrame({"a": left["number"].to_numpy()[i], "b": right["number"].to_numpy()[j], "num_a": num[i, j], "num_b": back[i, j]})
+        return found.assign(**{g: left[g].iloc[0] for g in GROUP})
+
+    pairs = heavy.products(classes, pick, "content_type string, cluster_id int, a bigint, b bigint, num_a bigint, num_b bigint")
+    numbered = materialize(heavy.items.join(classes.select(*GROUP, "bits", "n", "number"), [*GROUP, "bits", "n"]).select("number", "video_id", "n"))
+    side = lambda c: numbered.select(F.col("number").alias(c), F.col("video_id").alias(f"item_{c}"), F.col("n").alias(f"n_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a") != F.col("b")) | (F.col("item_a") < F.col("item_b")))
+    first = F.col("item_a") < F.col("item_b")
+    pick_of = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.select(
+        *GROUP, pick_of("item_a", "item_b", "lo"), pick_of("item_b", "item_a", "hi"), pick_of("n_a", "n_b", "n_lo"), pick_of("n_b", "n_a", "n_hi"),
+        pick_of("num_a", "num_b", "num_lo"), pick_of("num_b", "num_a", "num_hi"),
+    )
+
+
 def pairs_across_clusters(interactions: DataFrame, cluster: str, min_watch: float = MIN_WATCH, success: float = SUCCESS_WATCH,
-                          min_users: int = MIN_USERS, block: int = 500) -> DataFrame:
+                          min_users: int = MIN_USERS, block: int = 500, heavy_items: int = HEAVY_ITEMS, class_block: int = CLASS_BLOCK) -> DataFrame:
     """Item pairs of different clusters that share finishing users, with distinct audiences (both directions)."""
     labelled = interactions.where(F.col(cluster).isNotNull()).select(
         F.lit("all").alias("content_type"), F.col(cluster).alias("cluster_id"), "video_id", "user_id", "mean_percentage_watched"
@@ -277,9 +353,14 @@ def pairs_across_clusters(interactions: DataFrame, cluster: str, min_watch: floa
     # the pair join runs over one common group; the real cluster travels inside the item key
     keyed = rows.select(
         "content_type", F.lit(0).alias("cluster_id"), F.struct(F.col("cluster_id").alias("c"), F.col("video_id").alias("v")).alias("video_id"),
-        "user_id", F.lit(1).alias("w"), "n",
+        "user_id", F.lit(1).cast("bigint").alias("w"), "n",
     )
-    pairs = _user_pairs(keyed, block).where((F.col("lo.c") != F.col("hi.c")) & (F.col("lo.v") != F.col("hi.v")))
+    heavy = HeavyUsers(materialize(keyed), heavy_items, class_block)
+    pairs = _user_pairs(heavy.light, block)
+    if heavy.any:
+        pairs = materialize(heavy.added(pairs).drop("heavy_lo", "heavy_hi"))
+        pairs = pairs.unionByName(_heavy_pairs(heavy).join(pairs, [*GROUP, "lo", "hi"], "left_anti").select(*pairs.columns))
+    pairs = pairs.where((F.col("lo.c") != F.col("hi.c")) & (F.col("lo.v") != F.col("hi.v")))
     ends = F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("hi").alias("y")), F.struct(F.col("hi").alias("x"), F.col("lo").alias("y"))))
     both = pairs.select(ends.alias("p"), (F.col("n_lo") + F.col("n_hi")).alias("den"), F.col("num_lo").alias("num"))
     return both.select(

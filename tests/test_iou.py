@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from itemrec.operators import iou
 
@@ -54,7 +55,7 @@ def by_definition(rows):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"block": 4}, {"heavy_items": 20, "heavy_slots": 4}, {"heavy_items": 20, "heavy_slots": 1, "block": 5}, {"heavy_items": 0, "heavy_slots": 2},
+    {}, {"block": 4}, {"heavy_items": 20}, {"heavy_items": 20, "block": 5, "class_block": 7}, {"heavy_items": 0, "class_block": 11},
 ])
 def test_candidates_equal_the_definition(spark, options):
     rows = sample_rows()
@@ -66,6 +67,41 @@ def test_candidates_equal_the_definition(spark, options):
     assert histogram == dict(Counter((c, s) for (c, _, _), (_, _, s) in scored.items()))
 
 
+def test_any_number_of_very_active_users(spark):
+    """Seventy users with every second item or more: two words of bits, blocks of classes, no pair of theirs listed."""
+    import random
+
+    r = random.Random(5)
+    rows = [("clean", 0, f"u{u:02d}", f"v{v:02d}", r.choice([0.6, 0.8, 0.9])) for u in range(70) for v in r.sample(range(24), 16)]
+    rows += [("clean", 0, f"w{u}", f"v{v:02d}", 0.9) for u in range(9) for v in r.sample(range(24), 3)] + [("clean", 0, "u01", "v03", 0.8)] * 3
+    scored, kept = by_definition(rows)
+    scores = iou.PairScores(interactions(spark, rows), heavy_items=5, class_block=10)
+    assert scores.heavy.items.agg(F.max(F.size("bits"))).first()[0] >= 4
+    assert scores.heavy.light.select("user_id").distinct().count() == 9
+    histogram = {(r.cluster_id, r.score): r.pairs for r in scores.histogram().collect()}
+    assert histogram == dict(Counter((c, s) for (c, _, _), (_, _, s) in scored.items()))
+    got = {(r.cluster_id, r.video_id_x, r.video_id_y): (r.den, r.num, r.iou_modified) for r in iou.iou_candidates(interactions(spark, rows), heavy_items=5, class_block=10).collect()}
+    assert got == kept
+
+
+@pytest.mark.parametrize("options", [{}, {"heavy_items": 6, "class_block": 5}, {"heavy_items": 0}])
+def test_pairs_across_clusters_equal_the_definition(spark, options):
+    import random
+
+    r = random.Random(6)
+    rows = sorted({(None, r.randint(0, 2), f"u{u}", f"v{v}", r.choice([0.6, 0.8])) for u in range(15) for v in r.sample(range(14), 3 if u > 4 else 12)}, key=str)
+    mins, done = {}, {}
+    for _, c, u, v, p in rows:
+        mins.setdefault((c, v), set()).add(u)
+        if p > 0.75:
+            done.setdefault((c, v), set()).add(u)
+    good = [k for k in mins if len(mins[k]) >= 2 and len(done.get(k, ())) >= 2]
+    want = {(x[0], y[0], x[1], y[1]): (len(mins[x]) + len(mins[y]), len(done[x] & done[y])) for x in good for y in good if x[0] != y[0] and x[1] != y[1] and done[x] & done[y]}
+    df = interactions(spark, rows).withColumnRenamed("cluster_id", "label")
+    found = {(r.cluster_id_x, r.cluster_id_y, r.video_id_x, r.video_id_y): (r.den, r.num) for r in iou.pairs_across_clusters(df, "label", **options).collect()}
+    assert found == want and want
+
+
 def test_repeats_count_on_the_left_only(spark):
     rows = [("clean", 0, u, v, 0.9) for u in ("a", "b") for v in ("x", "y")] + [("clean", 0, "a", "x", 0.8)]
     got = {(r.x, r.y): (r.den, r.num) for r in iou.PairScores(interactions(spark, rows)).directed().collect()}
