@@ -9,12 +9,15 @@ are dropped too.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemrec.functions import rules
+from itemrec.runtime import store
+from itemrec.streaming.state import PROVIDER
 
 HISTORY_CAP = 500
 HISTORY_TTL_DAYS = 60
@@ -29,10 +32,15 @@ def read_events(spark, folder: str, schema, pattern: str = "*.parquet", files_pe
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                 prepare: Callable[[DataFrame], DataFrame] | None = None, keep_open: bool = False):
-    """Write each batch to its own folder, so a replayed batch replaces itself; drains what is available unless kept open."""
+                 prepare: Callable[[DataFrame], DataFrame] | None = None, keep_open: bool = False, merge: Callable[[DataFrame], None] | None = None):
+    """Write each batch to its own folder, so a replayed batch replaces itself; drains what is available unless kept open.
+
+    With ``merge``, that takes the batch instead; it must bear batches that come again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if merge is not None:
+            return merge(batch)
         rows = prepare(batch) if prepare else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -44,6 +52,18 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return running
 
 
+@contextmanager
+def state_in_rocksdb(spark) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which map state and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
     """Newest version per key of a table written in update mode."""
     w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
@@ -57,29 +77,12 @@ def parsed(events: DataFrame) -> DataFrame:
     )
 
 
-def watch_history(events: DataFrame, labels: DataFrame, late: str = "1 day") -> DataFrame:
-    """Newest event per (content type, user, item) and day, update mode.
-
-    ``labels`` (video_id, content_type) is a static table; items without a label have no history.
-    A day's state goes once the watermark has passed the day. ``live_history`` puts days together.
-    """
-    return (
-        events.join(labels, "video_id").withWatermark("ts", late)
-        .groupBy(F.window("ts", "1 day"), "content_type", "user_id", "video_id")
-        .agg(F.max("ts").alias("last_watched_timestamp"), F.max_by("mean_percentage_watched", "ts").alias("mean_percentage_watched"))
-        .select(F.col("window.start").alias("day"), "content_type", "user_id", "video_id", "last_watched_timestamp", "mean_percentage_watched")
-    )
-
-
 def live_history(table: DataFrame, as_of: str, ttl_days: int = HISTORY_TTL_DAYS, cap: int = HISTORY_CAP) -> DataFrame:
-    """The table of ``watch_history`` as it is read: items seen within ``ttl_days`` before ``as_of``, the newest ``cap`` per content type and user."""
+    """The newest lists of ``state.live_history`` as they are read at ``as_of``: what has expired since is left out."""
+    w = Window.partitionBy("content_type", "user_id").orderBy(F.col("batch").desc())
+    newest = table.withColumn("_n", F.dense_rank().over(w)).where("_n = 1 and video_id is not null").drop("_n", "batch", "items")
     since_day = F.lit(as_of).cast("timestamp") - F.expr(f"interval {ttl_days} days")
-    alive = table.where(F.col("last_watched_timestamp") >= since_day)
-    newest = alive.groupBy("content_type", "user_id", "video_id").agg(
-        F.max("last_watched_timestamp").alias("last_watched_timestamp"), F.max_by("mean_percentage_watched", "last_watched_timestamp").alias("mean_percentage_watched")
-    )
-    w = Window.partitionBy("content_type", "user_id").orderBy(F.col("last_watched_timestamp").desc(), "video_id")
-    return newest.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+    return newest.where((F.col("last_watched_timestamp") >= since_day) & (F.col("place") <= cap))
 
 
 def recent_items(events: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -124,32 +127,55 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes
     )
 
 
-def filter_watched(recommendations: DataFrame, history: DataFrame) -> DataFrame:
-    """Per batch: recommendations minus the part of the stored history that its users have."""
-    users = recommendations.select("user_id").distinct()
-    own = history.select("user_id", "video_id").join(users, "user_id", "left_semi")
-    return recommendations.join(own, ["user_id", "video_id"], "left_anti")
-
-
 def report_updates(batch: DataFrame) -> DataFrame:
     """Newest report per (user, item) of a batch."""
     return batch.groupBy("user_id", "video_id").agg(F.max("reported_at").alias("reported_at"))
 
 
+def merge_reports(batch: DataFrame, path: str, parts: int = 64, days: int = REPORT_TTL_DAYS) -> None:
+    """Upsert a batch of reports into the table at ``path``: one row per (user, item), the newest.
+
+    The table lies in ``parts`` folders by user. Only those that the batch touches are read, merged and replaced,
+    each by one file, so the number of files stays bounded. Reports that are older than ``days`` before
+    the newest of their merge go. The newest report of two wins whatever the order, so a batch that comes again changes nothing.
+    """
+    spark = batch.sparkSession
+    columns = ["user_id", "video_id", "reported_at", "part"]
+    fresh = store(report_updates(batch.where("user_id is not null and video_id is not null and reported_at is not null")).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")))
+    touched = [r.part for r in fresh.select("part").distinct().collect()]  # parts at most
+    if not touched:
+        return
+    old = reports_at(spark, path).where(F.col("part").isin(touched))
+    rows = old.select(*columns).unionByName(fresh.select(*columns)).groupBy("user_id", "video_id", "part").agg(F.max("reported_at").alias("reported_at"))
+    merged = store(rows)  # what is replaced is read before
+    newest = merged.agg(F.max("reported_at") - F.expr(f"interval {days} days")).scalar()
+    alive = merged.where(F.col("reported_at") >= newest)
+    # a part without a living report keeps its files until one comes; ``active_reports`` leaves them out
+    alive.repartition(len(touched), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def reports_at(spark, path: str) -> DataFrame:
+    """The table of ``merge_reports``; without rows before its first batch."""
+    schema = "user_id string, video_id string, reported_at timestamp, part int"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def active_reports(table: DataFrame, as_of: str, days: int = REPORT_TTL_DAYS) -> DataFrame:
     """Reports that are still alive at ``as_of``."""
     newest = table.groupBy("user_id", "video_id").agg(F.max("reported_at").alias("reported_at"))
     return newest.where(F.col("reported_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days"))
 
 
-def stays(events: DataFrame, ttl_days: int = HISTORY_TTL_DAYS, late: str = "0 seconds") -> DataFrame:
-    """When items entered and left the history: (user_id, video_id, entered, left, events), append mode.
+def offers_not_watched(offers: DataFrame, history: DataFrame, ttl_days: int = HISTORY_TTL_DAYS, late: str = "10 minutes") -> DataFrame:
+    """Offers (user_id, video_id, ts) that the live history (user_id, video_id, ts) has no event for in the ``ttl_days`` before.
 
-    An item stays until it hasn't been seen for ``ttl_days``. Its row comes, and its state goes, once
-    the watermark has passed that moment.
+    Both are streams. An offer waits in state until both watermarks have passed it and no event that could rule it out
+    can come; an event waits until no offer can ask for it. No table is read.
     """
-    return (
-        events.withWatermark("ts", late).groupBy("user_id", "video_id", F.session_window("ts", f"{ttl_days} days").alias("s"))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select("user_id", "video_id", F.col("s.start").alias("entered"), F.col("s.end").alias("left"), "events")
-    )
+    o = offers.select("user_id", "video_id", "ts").withWatermark("ts", late)
+    h = history.select(F.col("user_id").alias("seen_by"), F.col("video_id").alias("seen"), F.col("ts").alias("seen_at")).withWatermark("seen_at", late)
+    near = F.expr(f"seen_at <= ts and seen_at >= ts - interval {ttl_days} days")
+    same = (F.col("user_id") == F.col("seen_by")) & (F.col("video_id") == F.col("seen"))
+    return o.join(h, same & near, "leftOuter").where("seen is null").select("user_id", "video_id", "ts")
