@@ -12,7 +12,7 @@ from itemrec.catalog.scans import AVG_SQL
 from itemrec.operators import clustering, iou, pools, summaries, tiers
 from itemrec.operators import split as split_ops
 from itemrec.plans import profiles
-from itemrec.runtime import materialize
+from itemrec.runtime import materialize, store
 from itemrec.sources.views import AS_OF
 
 
@@ -160,6 +160,19 @@ def tier_bins(t):
     return tiers.tier_bins(products.watch_time(t))
 
 
+# sketches keep ranks to well within two hundredths: what SQL says is the exact bins, and that the others are that close
+@query("tier_bins_sketched", """
+    select content_type, cluster_id, percentile_25, percentile_50, percentile_75, percentile_100, user_count, true as within_bound from tier_bound""")
+def tier_bins_sketched(t):
+    """Bins from one stored sketch per day and cluster, merged over the days, beside the exact ones."""
+    seconds = materialize(products.watch_time(t))
+    last = products.labelled(t).groupBy("content_type", "cluster_id", "user_id").agg(F.to_date(F.max("last_watched_timestamp")).alias("day"))
+    sketches = store(tiers.watch_time_sketches(seconds.join(last, ["content_type", "cluster_id", "user_id"])))
+    near = tiers.tier_bins_from(sketches)
+    exact = tiers.tier_bins(seconds)
+    return tiers.within_rank_bound(seconds, exact, near, 0.02)
+
+
 @query("tier_item_lists", "select content_type, cluster_id, bin, video_id from tier_item")
 def tier_item_lists(t):
     return products.tier_item_rows(t)
@@ -313,14 +326,17 @@ def expect_non_empty(t):
 def expect_keys_in_source(t):
     """A stored history that lost part of its users is told apart from its source."""
     source = pools.watched_items(t.interaction, AS_OF)
-    stored = materialize(source.where("user_id >= 'u2'"))
-    return quality.difference(stored, source)
+    return quality.expect_keys_in_source(source.where("user_id >= 'u2'"), source, ["user_id", "video_id"])
 
 
 @query("vector_shape_profile", """
-    select 'embedding' as vector_column, count(*) as num_rows, 0::bigint as missing, 64 as min_length, 64 as max_length from (select distinct user_id from user_average)
-    union all select 'temporal', count(*), 0, 16, 16 from (select distinct user_id from user_average) where user_id in (select user_id from temporal_mean)
-    union all select 'distribution', count(*), 0, 10, 10 from (select distinct user_id from user_average) where user_id in (select user_id from cluster_share)""")
+    with parts as (
+        select 'embedding' as vector_column, user_id, count(*) as length from user_average group by user_id
+        union all select 'temporal', user_id, count(*) from temporal_mean group by user_id
+        union all select 'distribution', user_id, count(*) from cluster_share group by user_id),
+    whole as (select user_id from parts group by user_id having count(*) = 3)
+    select vector_column, count(*) as num_rows, count(*) filter (where length is null) as missing, cast(min(length) as int) as min_length, cast(max(length) as int) as max_length
+    from parts where user_id in (select user_id from whole) group by vector_column""")
 def vector_shape_profile(t):
     joined = profiles.join_three_vectors(
         profiles.user_avg_embedding(t.interaction, profiles.first_embedding(t.item_index)),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from itemrec.catalog import products
 from itemrec.catalog.registry import query, sql_view
-from itemrec.functions import ids, rules
+from itemrec.functions import ids, rules, sql, vectors
 from itemrec.operators import iou, pools, tiers
 from itemrec.operators.ranking import paged_lists
 from itemrec.operators.split import attach_probability, unique_items_only
@@ -36,18 +36,23 @@ def join_interaction_embedding_left(t):
 
 
 @query("join_three_vectors", """
-    select user_id, 64 as average_length, 16 as temporal_length, 10 as distribution_length
-    from (select distinct user_id from user_average) join (select distinct user_id from temporal_mean) using (user_id)
-    join (select distinct user_id from cluster_share) using (user_id)""")
+    with parts as (
+        select user_id, 0 as part, pos::int as pos, r as v from user_average union all select user_id, 1, i::int, r from temporal_mean
+        union all select user_id, 2, pos::int, r from cluster_share)
+    select user_id, part, count(*)::int as length, round(sum(v), 5) + 0.0 as total, round(sum(v * (pos + 1)), 4) + 0.0 as weighted from parts
+    where user_id in (select user_id from parts group by user_id having count(distinct part) = 3) group by user_id, part""")
 def join_three_vectors(t):
+    """Every part of every user by its length, the sum of its values and their sum weighted by place."""
     joined = profiles.join_three_vectors(
         profiles.user_avg_embedding(t.interaction, profiles.first_embedding(t.item_index)),
         profiles.temporal_mean(profiles.rope_by_cluster(profiles.temporal_counts(t.user_item_cluster))),
         profiles.cluster_distribution(t.user_item_cluster),
     )
-    return joined.select(
-        "user_id", F.size("embedding").alias("average_length"), F.size("temporal").alias("temporal_length"),
-        F.size("distribution").alias("distribution_length"),
+    parts = joined.select("user_id", F.posexplode(F.array("embedding", "temporal", "distribution")).alias("part", "v"))
+    weighted = F.transform("v", lambda x, i: x * (i + 1))
+    return parts.select(
+        "user_id", "part", F.size("v").alias("length"), (F.round(vectors.array_sum(F.col("v")), 5) + 0.0).alias("total"),
+        (F.round(vectors.array_sum(weighted), 4) + 0.0).alias("weighted"),
     )
 
 
@@ -247,6 +252,21 @@ def item_url_lookup(t):
     return long.select("user_id", (F.col("page") * page + F.col("p") + 1).cast("bigint").alias("position"), "u.video_id", "u.url")
 
 
+@query("sql_functions", r"""
+    with known as (select distinct regexp_extract(uri, '([^/]+)\.mp4$', 1) as video_id,
+                   'https://items.example/watch/' || canister_id || '/' || post_id as url from item_index where regexp_extract(uri, '([^/]+)\.mp4$', 1) <> '')
+    select user_id, i.video_id, url, 'gs://items/' || i.video_id || '.mp4' as uri, floor(mean_percentage_watched::double * 100 + 0.5) / 100 as watched,
+           case when is_nsfw then 'nsfw' when not is_nsfw then 'clean' end as content_type
+    from interaction i left join known k on k.video_id = i.video_id left join item_nsfw n on n.video_id = i.video_id""")
+def sql_functions(t):
+    """The id rules and the lookup of urls, used from SQL text."""
+    sql.register(t.spark, t.item_index)
+    return t.spark.sql("""
+        select i.user_id, i.video_id, u.url, uri_from_item_id(item_id_strict(uri_from_item_id(i.video_id, 'items')), 'items') as uri,
+               round2(i.mean_percentage_watched) as watched, content_type_of(n.is_nsfw) as content_type
+        from {rows} i left join lateral urls_of(i.video_id) u left join {labels} n on n.video_id = i.video_id""", rows=t.interaction, labels=t.item_nsfw)
+
+
 def item_urls(lists, index, keys=("user_id",)):
     """Lists of ids (bounded by the caller) to lists of (id, url), unknown ids kept with no url."""
     url = ids.item_url("https://items.example/watch", F.col("canister_id"), F.col("post_id"))

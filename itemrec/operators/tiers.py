@@ -37,6 +37,42 @@ def tier_bins(watch_time: DataFrame, group: list[str] = GROUP, approximate: bool
     return discrete_percentiles(positions, group, "total_seconds", shares).withColumnRenamed("group_n", "user_count")
 
 
+#: Size parameter of the sketches: normalised ranks are off by about half a hundredth.
+SKETCH_K = 800
+_CUTS = {"percentile_25": 0.25, "percentile_50": 0.5, "percentile_75": 0.75, "percentile_100": 1.0}
+
+
+def watch_time_sketches(watch_time: DataFrame, group: list[str] = GROUP, day: str = "day") -> DataFrame:
+    """A quantile sketch of the users' seconds for each day and group, to be stored and merged.
+
+    A user counts on the ``day`` of the last item, so every user is in one sketch, and a new day is one more row per group.
+    """
+    return watch_time.groupBy(*group, day).agg(F.kll_sketch_agg_double("total_seconds", F.lit(SKETCH_K)).alias("sketch"), F.count(F.lit(1)).alias("users"))
+
+
+def tier_bins_from(sketches: DataFrame, group: list[str] = GROUP, days: tuple[str, str] | None = None, day: str = "day") -> DataFrame:
+    """p25, p50, p75, p100 and user count per group from stored sketches, of all days or those in (first, last)."""
+    rows = sketches if days is None else sketches.where(F.col(day).between(*[F.lit(d).cast("date") for d in days]))
+    merged = rows.groupBy(*group).agg(F.kll_merge_agg_double("sketch").alias("m"), F.sum("users").alias("user_count"))
+    cuts = F.kll_sketch_get_quantile_double("m", F.array(*[F.lit(p) for p in _CUTS.values()]))
+    found = merged.select(*group, cuts.alias("c"), "user_count")
+    return found.select(*group, *[F.col("c")[i].alias(n) for i, n in enumerate(_CUTS)], "user_count")
+
+
+def within_rank_bound(watch_time: DataFrame, exact: DataFrame, near: DataFrame, bound: float, group: list[str] = GROUP) -> DataFrame:
+    """The exact bins, and whether every approximate one is a value whose share of users at or below it is within ``bound``."""
+    cuts = near.select(*group, *[F.col(n).alias(f"near_{n}") for n in _CUTS], F.col("user_count").alias("near_count"))
+    shares = watch_time.join(broadcast_checked(cuts), group).groupBy(*group, "near_count").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("total_seconds") < F.col(f"near_{n}")).alias(f"below_{n}") for n in _CUTS],
+        *[F.count_if(F.col("total_seconds") <= F.col(f"near_{n}")).alias(f"upto_{n}") for n in _CUTS],
+    )
+    fine = F.col("near_count") == F.col("n")
+    for name, p in _CUTS.items():
+        fine = fine & (F.col(f"below_{name}") / F.col("n") <= p + bound) & (F.col(f"upto_{name}") / F.col("n") >= p - bound)
+    return exact.join(shares.select(*group, fine.alias("within_bound")), group)
+
+
 def ntile_tiers(watch_time: DataFrame, group: list[str] = GROUP, tiers: int = 4) -> DataFrame:
     positions = ranked(watch_time, group, [F.col("total_seconds"), F.col("user_id")])
     return positions.withColumn("bin", ntile_from(F.col("rn"), F.col("group_n"), tiers)).drop("rn", "group_n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemrec.functions import ids, rules, vectors
 from itemrec.operators.ranking import paged_lists, top_n
+from itemrec.runtime import store, stored_bytes
 
 # Profile sizes.
 MAX_RECENT = 100
@@ -55,14 +56,38 @@ def avg_embedding_incremental(item_index: DataFrame, averages: DataFrame) -> Dat
 
 def first_embedding(item_index: DataFrame) -> DataFrame:
     """The earliest vector of each (uri, item)."""
-    source = item_index.withColumn("video_id", ids.item_id_lenient(F.col("uri"))).where("embedding is not null")
-    return source.groupBy("uri", "video_id").agg(F.min_by("embedding", "item_timestamp").alias("embedding"))
+    source = item_index.where("embedding is not null and item_timestamp is not null").select("uri", "embedding", "item_timestamp", F.xxhash64("embedding").alias("mark"))
+    first = source.groupBy("uri").agg(F.min(F.struct("item_timestamp", "mark")).alias("first")).select("uri", "first.*")
+    rows = source.join(first, ["uri", "item_timestamp", "mark"], "left_semi").dropDuplicates(["uri"])
+    return rows.select("uri", ids.item_id_lenient(F.col("uri")).alias("video_id"), "embedding")
+
+
+#: Items whose vectors are broadcast at most: those with more than an even share of the rows.
+HOT_ITEMS, HOT_BYTES = 2_000, 64 << 20
+
+
+def attach_vectors(rows: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``rows`` (video_id, ...) with each vector of their item; rows of items without one are left out.
+
+    An item that many have watched would bring all of them, and its vector beside each, to one task. So the items with
+    more than an even share of the rows, few by that, have their vectors broadcast after a look at their size, and
+    their rows stay where they are. The other rows are joined while they are narrow.
+    """
+    rows = store(rows)
+    known = embeddings.where(F.col("embedding").isNotNull()).select("video_id", "embedding")
+    counts = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    even = F.lit(max(1, -(-rows.count() // HOT_ITEMS)))
+    hot = store(known.join(counts.where(F.col("n") > even).select("video_id"), "video_id", "left_semi"))
+    if stored_bytes(hot) > HOT_BYTES:
+        return rows.join(known, "video_id")  # wider vectors than planned: adaptive execution splits the hot keys
+    ids_of = F.broadcast(hot.select("video_id").distinct())
+    return rows.join(F.broadcast(hot), "video_id").unionByName(rows.join(ids_of, "video_id", "left_anti").join(known, "video_id"))
 
 
 def join_embeddings(interactions: DataFrame, embeddings: DataFrame, how: str = "inner") -> DataFrame:
+    """Interactions beside their item's vectors; the left form differs only before rows without a vector are dropped."""
     picked = interactions.select("user_id", "video_id", "mean_percentage_watched", "last_watched_timestamp")
-    joined = picked.join(embeddings.select("video_id", "embedding"), "video_id", how)
-    return joined.where(F.col("embedding").isNotNull())
+    return attach_vectors(picked, embeddings)
 
 
 def users_with_min_items(df: DataFrame, minimum: int = MIN_ITEMS) -> DataFrame:
@@ -80,12 +105,12 @@ def min_watch(df: DataFrame, percent: float = MIN_PERCENT) -> DataFrame:
 
 def _recent_watched(interactions: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Counts, recency and the watch filter run on narrow rows; the wide vector joins last."""
-    known = embeddings.where(F.col("embedding").isNotNull())
+    known = store(embeddings.where(F.col("embedding").isNotNull()).select("video_id", "embedding"))
     narrow = interactions.select("user_id", "video_id", "mean_percentage_watched", "last_watched_timestamp").join(
         known.select("video_id"), "video_id", "left_semi"
     )
     kept = min_watch(recent_n_per_user(users_with_min_items(narrow)))
-    return kept.join(known.select("video_id", "embedding"), "video_id")
+    return attach_vectors(kept, known)
 
 
 def _weighted_mean(df: DataFrame, weight: Column) -> DataFrame:

@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from itemrec.runtime import store
+
+
+def _observed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Observation]:
+    """``df`` with metrics that the job which writes it counts along: rows, nulls and range of each key, and a sum over all keys."""
+    seen = Observation()
+    fingerprint = F.sum(F.xxhash64(*keys).bitwiseAND(0xFFFFFFFF)) if keys else F.sum(F.lit(0))
+    ranges = [m for k in keys for m in (F.count_if(F.col(k).isNull()).alias(f"nulls_{k}"), F.min(k).alias(f"min_{k}"), F.max(k).alias(f"max_{k}"))]
+    return df.observe(seen, F.count(F.lit(1)).alias("num_rows"), fingerprint.alias("keys"), *ranges), seen
+
 
+def store_observed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
+    """A stored table and its metrics, from one run of the plan."""
+    watched, seen = _observed(df, keys)
+    return store(watched), seen.get
 
-def expect_non_empty(df: DataFrame, stage: str) -> DataFrame:
-    if df.limit(1).isEmpty():
+
+def expect_non_empty(df: DataFrame, stage: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The stored rows of ``df``; refused if the write saw none, or a null in a key."""
+    table, metrics = store_observed(df, list(keys))
+    if not metrics["num_rows"]:
         raise ValueError(f"stage {stage} wrote no rows")
-    return df
+    if broken := [k for k in keys if metrics[f"nulls_{k}"]]:
+        raise ValueError(f"stage {stage} wrote nulls in {', '.join(broken)}")
+    return table
 
 
 def row_report(parts: dict[str, DataFrame]) -> DataFrame:
-    """Rows per stage and whether any exist."""
-    counts = [df.agg(F.count(F.lit(1)).alias("num_rows")).select(F.lit(n).alias("stage"), "num_rows") for n, df in parts.items()]
-    return reduce(DataFrame.unionByName, counts).withColumn("non_empty", F.col("num_rows") > 0)
+    """Rows per stage and whether any exist, counted by the jobs that write the stages."""
+    rows = [(n, store_observed(df, [])[1]["num_rows"]) for n, df in parts.items()]
+    spark = next(iter(parts.values())).sparkSession
+    return spark.createDataFrame(rows, "stage string, num_rows bigint").withColumn("non_empty", F.col("num_rows") > 0)
+
+
+def expect_keys_in_source(stored: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Key rows on one side only, marked with their side; the tables are compared only if what their writes counted differs."""
+    (left, a), (right, b) = (store_observed(df.select(*keys), keys) for df in (stored, source))
+    return difference(left, right) if a != b else difference(left.limit(0), right.limit(0))
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from itemrec import catalog
+from itemrec import catalog, quality
 from itemrec.catalog import products
-from itemrec.operators import iou, pools, similarity
+from itemrec.functions import ids, sql
+from itemrec.operators import iou, pools, similarity, tiers
 from itemrec.plans import profiles, serve
 from itemrec.quality import expect_non_empty
 from itemrec.sources import scans, sinks
@@ -121,3 +122,74 @@ def test_long_id_lists_are_joined(tables):
 
 def spark_list(tables, values):
     return tables.spark.createDataFrame([(v,) for v in values], "id string")
+
+
+def test_views_reach_every_vector_and_report(spark, tables):
+    assert tables.item_index.where("embedding is not null").select("embedding").distinct().count() > 0.3 * tables.embeddings.count()
+    wanted = spark.sql("select distinct p_partkey % (select count(*) from {e}) as v from {p} where p_partkey % 41 <> 0", e=tables.embeddings, p=tables.part)
+    held = tables.item_index.where("embedding is not null").select("embedding").distinct()
+    assert wanted.withColumnRenamed("v", "vec_id").join(tables.embeddings, "vec_id").join(held, "embedding", "left_anti").count() == 0
+    assert tables.reports.count() == tables.lineitem.where("l_returnflag = 'R'").count()
+
+
+def test_checks_ride_on_the_write(spark):
+    """The rows a check counts are those that the one run of the plan writes."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.range(100, numPartitions=3).withColumn("k", F.col("id").cast("string")).mapInArrow(passed, "id bigint, k string")
+    assert expect_non_empty(df, "numbers", ("k",)).count() == 100 and runs.value == 100
+    with pytest.raises(ValueError, match="no rows"):
+        expect_non_empty(df.where("id < 0"), "nothing")
+    with pytest.raises(ValueError, match="nulls in k"):
+        expect_non_empty(df.withColumn("k", F.when(F.col("id") > 5, F.col("k"))), "nulls", ("k",))
+    table, metrics = quality.store_observed(df, ["id"])
+    assert (metrics["num_rows"], metrics["min_id"], metrics["max_id"], metrics["nulls_id"]) == (100, 0, 99, 0)
+    assert quality.expect_keys_in_source(table, df, ["id"]).count() == 0
+    assert {(r.id, r.side) for r in quality.expect_keys_in_source(df.where("id <> 7"), df, ["id"]).collect()} == {(7, "right")}
+
+
+def test_a_viral_item_is_not_joined_in_one_task(spark):
+    views = spark.createDataFrame([(f"u{i}", "viral" if i % 2 else f"v{i % 700}") for i in range(5_000)], "user_id string, video_id string")
+    vectors = spark.createDataFrame([("viral", [1.0, 2.0])] + [(f"v{i}", [float(i), 0.0]) for i in range(0, 700, 4)] + [("viral", [3.0, 4.0]), ("v0", None)], "video_id string, embedding array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = profiles.attach_vectors(views, vectors)
+        text = plan(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text  # hot rows by broadcast, the others by shuffle
+    plain = views.join(vectors.where("embedding is not null"), "video_id")
+    assert joined.exceptAll(plain.select(*joined.columns)).count() == 0 and joined.count() == plain.count()
+    cold = text.split("SortMergeJoin", 1)[1]
+    assert "LeftAnti" in cold  # the hot item's rows are taken out before the shuffle
+
+
+def test_sketches_of_days_are_merged(spark):
+    rows = spark.createDataFrame([("clean", i % 2, f"u{i}", float(i * 37 % 1000), f"2001-01-{1 + i % 9:02d}") for i in range(4_000)], "content_type string, cluster_id int, user_id string, total_seconds double, day string")
+    rows = rows.withColumn("day", F.col("day").cast("date"))
+    sketches = tiers.watch_time_sketches(rows)
+    assert sketches.count() == 18
+    checked = tiers.within_rank_bound(rows, tiers.tier_bins(rows), tiers.tier_bins_from(sketches), 0.02)
+    assert [r.within_bound for r in checked.collect()] == [True, True]
+    some = tiers.tier_bins_from(sketches, days=("2001-01-02", "2001-01-03"))
+    assert sum(r.user_count for r in some.collect()) == rows.where("day between '2001-01-02' and '2001-01-03'").count()
+
+
+def test_sql_functions_equal_the_columns(spark, tables):
+    names = sql.register(spark, tables.item_index)
+    assert {"item_id_strict", "item_urls", "urls_of"} <= set(names)
+    uris = ["gs://items/a.mp4", "a.mp4", "gs://items/a.mov", "x/y.mp4.mp4", "", None, "plain", "gs://items/" + "0" * 32 + ".mp4"]
+    df = spark.createDataFrame([(u,) for u in uris], "uri string")
+    for name, column in (("item_id_strict", ids.item_id_strict), ("item_id_lenient", ids.item_id_lenient), ("item_id_passthrough", ids.item_id_passthrough)):
+        assert [r[0] for r in df.selectExpr(f"{name}(uri)").collect()] == [r[0] for r in df.select(column(F.col("uri"))).collect()]
+    assert [r[0] for r in df.selectExpr("item_id_hex32(uri, 'items')").collect()] == [r[0] for r in df.select(ids.item_id_hex32(F.col("uri"), "items")).collect()]
+    assert spark.sql("select uri_matches_item('gs://x/a.mp4', 'a'), round2(0.125D), item_url('b', 'c', null), content_type_of(null)").first()[:] == (True, 0.13, None, None)
+    known = spark.table(sql.KNOWN).where("url is not null").first()
+    rows = spark.sql(f"select * from item_urls(array('nothing', '{known.video_id}')) order by pos, url").collect()
+    assert rows[0][:] == (0, "nothing", None) and known.url in {r.url for r in rows if r.pos == 1}
+    assert "Python" not in plan(spark.sql("select item_id_strict(uri) from {d}", d=df))

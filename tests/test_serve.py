@@ -117,3 +117,41 @@ def test_recommendations_never_hold_watched_items(spark, tables):
     assert rows.join(found.reported, ["user_id", "video_id"], "left_semi").count() == 0
     assert rows.groupBy("user_id").agg(F.max("place").alias("m")).where("m > 50").count() == 0
     assert rows.groupBy("user_id", "video_id").count().where("count > 1").count() == 0
+
+
+def test_first_that_are_not_excluded_equal_the_definition(spark):
+    """Sketches so full that most rows are in doubt, and users without any exclusion."""
+    import random
+
+    r = random.Random(3)
+    rows = [(f"u{u}", f"v{v:03d}", r.random()) for u in range(6) for v in range(120)]
+    gone = {(f"u{u}", f"v{v:03d}") for u in range(5) for v in r.sample(range(120), 20 * u)} | {("u4", f"w{i}") for i in range(3_000)}
+    df = spark.createDataFrame(rows, "user_id string, video_id string, score double")
+    pairs = spark.createDataFrame(sorted(gone), "user_id string, video_id string")
+    found = serve.Exclusions.of(pairs, pairs.limit(10), None)
+    got = sorted((x.user_id, x.position, x.video_id) for x in found.first(df, ["user_id"], [F.col("score").desc()], F.lit(30)).collect())
+    want = []
+    for u in sorted({x[0] for x in rows}):
+        left = sorted((x for x in rows if x[0] == u and x[:2] not in gone), key=lambda x: -x[2])[:30]
+        want += [(u, i + 1, x[1]) for i, x in enumerate(left)]
+    assert got == want
+    doubt = df.join(found.sketches, "user_id", "left").withColumn("d", serve.may_be_excluded(F.col("sketch"), F.col("video_id"))).collect()
+    assert all(x.d for x in doubt if (x.user_id, x.video_id) in gone)
+    assert not any(x.d for x in doubt if x.user_id in ("u0", "u5")) and sum(x.d for x in doubt if x.user_id == "u1") < 30
+
+
+def test_every_user_with_enough_items_gets_a_full_page(spark, tables):
+    """Whoever is short of a page has been offered every item there is for them."""
+    from itemrec.catalog import products
+
+    for content in products.CONTENTS:
+        c = products.catalogue_of(tables, content)
+        rows = serve.recommend_all(c).checkpoint()
+        places = {r.user_id: (r.n, r.last) for r in rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()}
+        assert all(n == last <= 50 for n, last in places.values())
+        chains = {r.region: r.chain for r in serve.fallback_chains(c.region_pool, c.popular, c.untouched, c.metadata).collect()}
+        gone = {(r.user_id, r.video_id) for p in (c.watched, c.live_watched, c.reported) for r in p.select("user_id", "video_id").collect()}
+        for u in c.users.collect():
+            eligible = [v for v in chains.get(u.region, chains[None]) if (u.user_id, v) not in gone]
+            assert places.get(u.user_id, (0, 0))[0] >= min(50, len(eligible)), u
+        assert rows.where("origin = 'fallback'").count() > 0
