@@ -280,14 +280,16 @@ class Model:
     """What tasks get: the shared words' numbers, counts and classes, and the tables of log probabilities.
 
     ``transition`` is by class, the end's class and that of unknown words last. A class's mass is its
-    words' counts with half a word more each. Unknown words are as frequent as words seen once, from
-    whatever class; after one, classes come by mass.
+    words' counts with half a word more each. Unknown words are together as frequent as words seen once, from
+    whatever class, and each has an even share: there are ``unseen`` of them. After one, classes come by mass. So what may stand
+    at a place adds up to one.
     """
 
-    def __init__(self, n_tokens: int, n_words: int, n_ends: int, n_once: int, lookup: Lookup, counts: np.ndarray, classes: np.ndarray, masses: np.ndarray, pairs: np.ndarray):
+    def __init__(self, n_tokens: int, n_words: int, n_ends: int, n_once: int, lookup: Lookup, counts: np.ndarray, classes: np.ndarray, masses: np.ndarray, pairs: np.ndarray, unseen: float = 1.0):
         self.n_tokens, self.n_words, self.n_ends = n_tokens, n_words, n_ends
         self.lookup, self.counts, self.classes = lookup, counts, classes
         self.total = n_tokens + 0.5 * (n_words + 1)
+        self.unseen = np.log10(max(1.0, unseen))
         unknown = (n_once + 0.5) / (self.total + n_once)
         share = masses / max(masses.sum(), 1e-300)
         known = np.vstack([(pairs + STRENGTH * share) / (pairs.sum(axis=1, keepdims=True) + STRENGTH), share])
@@ -625,8 +627,10 @@ def fit(docs: DataFrame, learn: Column | bool = True, text_col: str = "text", sh
     masses[CLASSES] = n_ends + 0.5 if n_words else 0.0
     for row in cold.groupBy("class").agg(F.sum(F.col("n") + 0.5)).collect():
         masses[row[0]] += row[1]
-    n_once = vocabulary.where("n = 1").count()
-    return Model(n_tokens, n_words, n_ends, n_once, lookup, counts, classes[:n_shared], masses, pairs), cold
+    n_once, n_twice = vocabulary.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    # a bound from below for how many words the corpus has yet to show, by those that it shows once and twice
+    unseen = n_once * (n_once - 1) / (2 * (n_twice + 1))
+    return Model(n_tokens, n_words, n_ends, n_once, lookup, counts, classes[:n_shared], masses, pairs, unseen), cold
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, open_key array<bigint>, open_class array<int>, open_before array<bigint>, open_next array<int>"
@@ -698,7 +702,7 @@ def score(docs: DataFrame, model: Model, cold: DataFrame, id_col: str = "doc_id"
         for batch in batches:
             row, n, of, before, following = (batch[c].to_numpy().astype(np.int64) for c in kept)
             base = np.log10((n + 0.5) / own.total)
-            value = own.transition[before, of] + np.where(n > 0, np.log10(n + 0.5) - own.mass[of], 0.0)
+            value = own.transition[before, of] + np.where(n > 0, np.log10(n + 0.5) - own.mass[of], -own.unseen)
             value += np.where(following >= 0, own.transition[of, following], 0.0)
             yield as_batch({"row": row, "known": (n > 0).astype(np.int64), "base": base, "score": value}, more_out)
 

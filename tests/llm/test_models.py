@@ -134,7 +134,7 @@ def test_class_model(docs, options):
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     held = [x for x in found if zlib.crc32(str(x[0]).encode()) % 5 == 1]
     if not options:
-        assert sum(x[4] for x in held) > sum(x[3] for x in held)
+        assert sum(x[4] for x in held) > sum(x[3] for x in held), (sum(x[4] for x in held), sum(x[3] for x in held))
     else:
         # All words scored in tasks give the same as most of them looked up by the join.
         whole, cold = class_lm.fit(docs, learn(), shared_words=60, core_words=20, rounds=3)
@@ -154,12 +154,35 @@ def test_joined_words_score_like_shared_ones(spark, docs):
         model.n_tokens, model.n_words, model.n_ends, 0, class_lm.Lookup(full), np.concatenate([model.counts[at], [n for n, _ in every.values()]]),
         np.concatenate([model.classes[at], [c for _, c in every.values()]]), np.zeros(class_lm.CLASSES + 1), np.zeros((class_lm.CLASSES + 1,) * 2),
     )
-    whole.transition, whole.mass = model.transition, model.mass
+    whole.transition, whole.mass, whole.unseen = model.transition, model.mass, model.unseen
     a = {r.doc_id: r.score for r in class_lm.score(small, model, cold).collect()}
     b = {r.doc_id: r.score for r in class_lm.score(small, whole, cold.limit(0)).collect()}
     assert a.keys() == b.keys() and np.allclose([a[i] for i in a], [b[i] for i in a])
 
 
+@pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}])
+def test_scores_are_sums_of_probabilities(docs, options):
+    """Each score by its definition; after every class all words and the unseen ones add up to one."""
+    small, n = docs.where("doc_id < 200"), class_lm.CLASSES
+    model, cold = class_lm.fit(small, learn(), **options)
+    slots = model.lookup.place >= 0
+    words = {int(k): (int(model.counts[p]), int(model.classes[p])) for k, p in zip(model.lookup.slots[slots], model.lookup.place[slots])}
+    words |= {r.key: (r.n, r["class"]) for r in cold.collect()} | {class_lm.END: (model.n_ends, n)}
+    assert len(words) == model.n_words
+    emission = {k: np.log10(c + 0.5) - model.mass[of] for k, (c, of) in words.items()}
+    for before in range(n + 2):
+        known = sum(10 ** (model.transition[before, of] + emission[k]) for k, (_, of) in words.items())
+        assert abs(known + 10 ** model.transition[before, model.unknown] - 1) < 1e-9
+    found = {r.doc_id: r.score for r in class_lm.score(small, model, cold).collect()}
+    for r in small.collect():
+        before, total = n, 0.0
+        for k in class_lm.with_ends([(r.text or "").encode()])[0].tolist():
+            of = words[k][1] if k in words else model.unknown
+            step = model.transition[before, of] + emission.get(k, -model.unseen)
+            total, before = total + step, of
+        assert abs(total - found[r.doc_id]) < 1e-6 * max(1, abs(total))
+
+
 @pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}])
 def test_class_bigrams_are_of_all_tokens(docs, options):
     small, n = docs.where("doc_id < 150"), class_lm.CLASSES
