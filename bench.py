@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("bench").config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cores).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED") or tempfile.mkdtemp(prefix="bench-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)

@@ -78,14 +78,15 @@ class InvertedFile:
             for r in self.rows.groupBy("cell").agg(F.max("gap")).collect():  # one row for each list
                 self.radius[r[0]] = r[1]
 
-    def probes(self, queries: DataFrame, floor: float, probes: int | None) -> DataFrame:
+    def probes(self, queries: DataFrame, floor: float, probes: int | float | None) -> DataFrame:
         """(video_id, unit, cell): the lists in which each query looks, nearest first.
 
         A list is left out if none of its vectors can be within reach. Of the others, the first
-        ``probes`` are searched, or all: then no near pair is missed.
+        ``probes`` are searched (below one: that share of the lists), or all: then no near pair is missed.
         """
         centres, radius = self.centres, self.radius
         reach = math.sqrt(max(0.0, 2 - 2 * floor) + SLACK)
+        most = len(centres) if probes is None else probes if probes >= 1 else math.ceil(probes * len(centres))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in frames:
@@ -94,14 +95,14 @@ class InvertedFile:
                 gaps = _chords(_stacked(rows["unit"]), centres)
                 order = gaps.argsort(axis=1, kind="stable")
                 inside = np.take_along_axis(gaps <= radius[None] + reach, order, axis=1)
-                chosen = inside & (inside.cumsum(axis=1) <= (probes or len(centres)))
+                chosen = inside & (inside.cumsum(axis=1) <= most)
                 at, place = np.nonzero(chosen)
                 yield pd.DataFrame({"video_id": rows["video_id"].to_numpy()[at], "unit": rows["unit"].to_numpy()[at], "cell": order[at, place]})
 
         units = distinct_vectors(queries).select("video_id", "unit")
         return units.mapInPandas(run, "video_id string, unit array<double>, cell int")
 
-    def near(self, queries: DataFrame, floor: float, probes: int | None = None, k: int | None = None) -> DataFrame:
+    def near(self, queries: DataFrame, floor: float, probes: int | float | None = None, k: int | None = None) -> DataFrame:
         """(query_video_id, candidate_video_id, similarity) with a cosine of at least ``floor``; the best ``k`` of a query if given.
 
         Every pair found has its exact cosine. With ``probes`` some may be missed.
@@ -117,12 +118,12 @@ class InvertedFile:
         return top_n(found, ["query_video_id"], [F.col("similarity").desc(), F.col("candidate_video_id")], k).drop("rn")
 
 
-def similarity_ann(queries: DataFrame, targets: DataFrame, floor: float, probes: int | None = 8, lists: int | None = None, k: int | None = None) -> DataFrame:
+def similarity_ann(queries: DataFrame, targets: DataFrame, floor: float, probes: int | float | None = 8, lists: int | None = None, k: int | None = None) -> DataFrame:
     """Near pairs by an inverted file: see ``InvertedFile.near``."""
     return InvertedFile(targets, lists).near(queries, floor, probes, k)
 
 
-def ann_report(queries: DataFrame, targets: DataFrame, floor: float, probes: int | None, lists: int | None = None) -> DataFrame:
+def ann_report(queries: DataFrame, targets: DataFrame, floor: float, probes: int | float | None, lists: int | None = None) -> DataFrame:
     """For each query with near pairs: how many there are, how many were found, and how many found ones are none.
 
     The exact pairs come from all blocks of both tables.
