@@ -103,8 +103,13 @@ def join_frequent(rows: DataFrame, table: DataFrame, keys: list[str], n_col: str
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(cold, keys))
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, bound: int = 200_000) -> DataFrame:
-    """``docs`` without the rows whose id and text hashes are in ``gone`` (doc_id, h1, h2).
+def row_hashes(text_col: str, *also: str) -> tuple[Column, Column]:
+    """``hash_pair`` of a row's text and of other columns by which rows of one id are told apart; nulls count as empty."""
+    return hash_pair(*[F.coalesce(named(c).cast("string"), F.lit("")) for c in (text_col, *also)])
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, *also: str, bound: int = 200_000) -> DataFrame:
+    """``docs`` without the rows whose id and ``row_hashes`` are in ``gone`` (doc_id, h1, h2).
 
     Up to ``bound`` rows to drop are broadcast, so that the texts needn't be shuffled.
     """
@@ -113,6 +118,6 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, boun
         rows = F.broadcast(rows)
     names = [fresh(docs.columns, c) for c in ("hash_1", "hash_2")]
     gone_by = [fresh([*docs.columns, *names], f"gone_{c}") for c in ("doc_id", "h1", "h2")]
-    h1, h2 = hash_pair(F.coalesce(named(text_col), F.lit("")))
+    h1, h2 = row_hashes(text_col, *also)
     on = named(id_col).cast("bigint").eqNullSafe(F.col(gone_by[0])) & (F.col(names[0]) == F.col(gone_by[1])) & (F.col(names[1]) == F.col(gone_by[2]))
     return docs.withColumn(names[0], h1).withColumn(names[1], h2).join(rows.toDF(*gone_by), on, "left_anti").drop(*names)

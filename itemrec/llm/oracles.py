@@ -35,21 +35,23 @@ repeated as (
         from (select r, i, count(*) over (partition by r, key) as times from windows) y where times > 1) z
     group by r),
 l as materialized (
-    select r, host, array_to_string(ws, ' ') as line, sum(len(ws)) as words from (
+    select r, host, array_to_string(ws, ' ') as line, sum(len(ws)) as words,
+           any_value(list_min(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) as first from (
         select r, host, list_filter(string_split_regex(translate(unnest(lines), '{_UPPER}', '{_LOWER}'), '{_SPACE}'), lambda x: x <> '') as ws from w) x
-    group by all),
+    group by r, host, line),
+least as (select r, list(first order by first) as firsts from l group by r),
 chosen as (select host, text, min(r) as r from d group by all),
-sizes as (select host, count(*) as n_texts from chosen group by host),
-frequent as (
-    select host, line from l join chosen using (host, r) join sizes using (host)
-    group by host, line, n_texts having count(*) >= 10 and count(*) >= 0.1 * n_texts),
+beside as (
+    select host, line, case when first = firsts[1] then coalesce(firsts[2], '') else firsts[1] end as beside, count(*) as texts
+    from l join chosen using (host, r) join least using (r) group by all),
+frequent as (select host, line from beside group by host, line having count(*) >= 10 and 2 * count(*) >= sum(texts)),
 gone as (select r, sum(words) as n from l join frequent using (host, line) group by r)
 select doc_id, len(words) as n_words, cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
        len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words,
        len(words) < 10 or 100 * coalesce(repeated.n, 0) > 20 * len(words) as base_failed,
-       cast(coalesce(gone.n, 0) as bigint) as n_frequent_words, len(words) - coalesce(gone.n, 0) < 0.2 * len(words) as depleted,
-       not (len(words) < 10 or 100 * coalesce(repeated.n, 0) > 20 * len(words) or len(words) - coalesce(gone.n, 0) < 0.2 * len(words)) as kept
+       cast(coalesce(gone.n, 0) as bigint) as n_frequent_words, len(words) - coalesce(gone.n, 0) < 0.5 * len(words) as depleted,
+       not (len(words) < 10 or 100 * coalesce(repeated.n, 0) > 20 * len(words) or len(words) - coalesce(gone.n, 0) < 0.5 * len(words)) as kept
 from w left join repeated using (r) left join gone using (r)
 """
 
