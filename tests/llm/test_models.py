@@ -22,6 +22,54 @@ def test_id_bucket(spark):
     assert [r[0] for r in df.select(id_bucket(F.col("i"), 5)).collect()] == [zlib.crc32(x) % 5 for x in (b"1", b"-7", b"", b"123456")]
 
 
+def by_definition_nb(rows, buckets):
+    """Predictions of a multinomial naive Bayes model in plain Python: {id: (lang, probability)}."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        points = [ord(c) for c in f" {text.lower()} "]
+        for i in range(len(points)):
+            key = 0
+            for n in range(1, 4):
+                if i + n <= len(points):
+                    key = (key * 31_337 + points[i + n - 1] + n) * 2_654_435_761 % 2**32
+                    yield (key >> 7) % buckets
+
+    counts, documents = {}, Counter()
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 5:
+            documents[lang] += 1
+            counts.setdefault(lang, Counter())
+            if any(c.isalpha() for c in text):
+                counts[lang].update(grams(text))
+    out = {}
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            out[i] = ("und", 0.0)
+            continue
+        times = Counter(grams(text))
+        score = {}
+        for lang in sorted(documents):
+            total = sum(counts[lang].values()) + 0.5 * buckets
+            score[lang] = math.log(documents[lang] / sum(documents.values())) + sum(n * math.log((counts[lang][g] + 0.5) / total) for g, n in times.items())
+        best = max(score, key=score.get)
+        out[i] = (best, 1 / sum(math.exp(s - score[best]) for s in score.values()))
+    return out
+
+
+def test_naive_bayes_equals_its_definition(spark, docs):
+    rows = [(r.doc_id, (r.text or "")[:1_500] if r.doc_id % 9 else r.text, r.lang) for r in docs.where("doc_id < 90").collect()]
+    rows += [(1_001, None, "en"), (1_002, "123 !", "en"), (1_003, "", None), (1_004, "Et", None), (1_005, "ß Ä", "xx"), (1_006, "\U0001f600 a", "xx")]
+    rows = [(i, t and t[:3_000], x) for i, t, x in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, learn=id_bucket(F.col("doc_id"), 5) != 0)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model, "text", "doc_id").collect()}
+    want = by_definition_nb(rows, langid.BUCKETS)
+    assert found.keys() == want.keys()
+    assert all(found[i][0] == want[i][0] and abs(found[i][1] - want[i][1]) < 1e-6 for i in want)
+
+
 def test_language_of_held_out_documents(docs):
     held = id_bucket(F.col("doc_id"), 5) == 0
     found = langid.predict(docs, langid.fit(docs, learn=~held), "text", "doc_id", "lang").where(held).collect()
