@@ -30,9 +30,11 @@ NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS, CHUNKS = 22, 64
 #: Rounds in which sets join the families that lead their lists; what stays apart is compared as sets of different families.
 ROUNDS = 3
+#: Bytes of the mark by which sets are judged worth a look as one family, and the share of them that must agree.
+MARK, AGREE = 32, 0.4
 #: Postings of one list, or sets compared with one set, that a task takes at a time.
 LIST_PART = 4_096
-#: Classes whose texts are found by a broadcast table.
+#: Rows of a broadcast table of sets to be made again and where they go.
 BROADCAST_ROWS = 200_000
 
 
@@ -59,6 +61,16 @@ def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles)), ">u8").astype(np.uint64))
 
 
+def mark_of(tokens: np.ndarray) -> bytes:
+    """A byte of the least token in each of ``MARK`` equal ranges of the hash, 0 for none: sets agree in about the share of tokens they share."""
+    edges = np.arange(MARK, dtype=np.uint64) << np.uint64(64 - (MARK.bit_length() - 1))
+    at = np.searchsorted(tokens, edges)
+    inside = at < len(tokens)
+    least = tokens[np.minimum(at, max(0, len(tokens) - 1))] if len(tokens) else np.zeros(MARK, np.uint64)
+    inside &= np.searchsorted(edges, least, side="right") == np.arange(1, MARK + 1)
+    return np.where(inside, (least & np.uint64(0xFF)) | np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
 def _place(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -109,51 +121,61 @@ def token_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h1, h2, n, s1, s2, prefix) for rows (doc_id, text, h1, h2): a set's size, signature and first tokens."""
+    """(doc_id, h1, h2, n, s1, s2, mark, prefix) for rows (doc_id, text, h1, h2): a set's size, signature, mark and first tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(token_sketch(docs, width))
 
     def sets(batch: pa.RecordBatch) -> dict[str, object]:
-        sketch, n, signed, prefixes = shared.value, [], [], []
+        sketch, n, signed, marks, prefixes = shared.value, [], [], [], []
         for t in batch["text"].to_pylist():
             tokens = shingle_set(t or b"", width)
             n.append(len(tokens))
             signed.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+            marks.append(mark_of(tokens))
             order = np.lexsort((tokens, sketch[_place(tokens)]))[: prefix_length(len(tokens))]
             prefixes.append(tokens[order].view(np.int64))
         signs = np.frombuffer(b"".join(signed), np.int64).reshape(-1, 2)
-        return {c: batch[c] for c in ("doc_id", "h1", "h2")} | {"n": n, "s1": signs[:, 0], "s2": signs[:, 1], "prefix": prefixes}
+        return {c: batch[c] for c in ("doc_id", "h1", "h2")} | {"n": n, "s1": signs[:, 0], "s2": signs[:, 1], "mark": marks, "prefix": prefixes}
+
+    return store(map_batches(docs, sets, "doc_id bigint, h1 bigint, h2 bigint, n bigint, s1 bigint, s2 bigint, mark binary, prefix array<bigint>"))
 
-    return store(map_batches(docs, sets, "doc_id bigint, h1 bigint, h2 bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"))
 
+def _sent(docs: DataFrame, classes: DataFrame, dests: DataFrame, width: int) -> DataFrame:
+    """``dests`` (id, z, part, x, kind) with the tokens of class ``id``, made again from the text of one of its rows.
 
-def _tokens(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the classes in ``ids`` (id), made again from the text of one of their rows."""
-    wanted = store(classes.join(ids.distinct(), "id", "left_semi").select("id", *[F.col(f"rep.{c}").alias(f"rep_{c}") for c in ("doc_id", "h1", "h2")]))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    If the table of destinations is small, it goes to the texts, and tokens are moved once; else they are
+    joined by shuffle. A class may be made from several equal rows, which does no harm to who reads them.
+    """
+    dests = store(dests)
+    wanted = store(classes.join(dests.select("id").distinct(), "id", "left_semi").select("id", *[F.col(f"rep.{c}").alias(f"rep_{c}") for c in ("doc_id", "h1", "h2")]))
+    small = dests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     same = (F.col("h1") == F.col("rep_h1")) & (F.col("h2") == F.col("rep_h2")) & F.col("doc_id").eqNullSafe(F.col("rep_doc_id"))
-    found = docs.join(wanted, same).select("id", "text")
+    found = docs.join(F.broadcast(wanted) if small else wanted, same).select("id", "text")
     made = map_batches(found, lambda b: {"id": b["id"], "tokens": [shingle_set(t or b"", width).tobytes() for t in b["text"].to_pylist()]}, "id bigint, tokens binary")
-    return store(made.groupBy("id").agg(F.first("tokens").alias("tokens")))
+    if small:
+        return made.join(F.broadcast(dests), "id")
+    return dests.join(made.groupBy("id").agg(F.first("tokens").alias("tokens")), "id")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.intersect1d(a, b, assume_unique=True)
 
 
-def compare(pairs: DataFrame, tokens: DataFrame, relate: bool = False) -> DataFrame:
+def compare(pairs: DataFrame, sent, relate: bool = False) -> DataFrame:
     """The links among ``pairs`` (z, x, y, minus, plus): (z, y, overlap, size, minus, plus).
 
     Set y is x without the tokens ``minus`` and with ``plus``; its overlap with z follows from that of x
     with z, counted once, and from those tokens. With ``relate``, y is x itself, and pairs are returned that differ in at most
     half of their tokens, with what y lacks and has beside z (of ``size``). A set z with many partners is dealt to several tasks.
+    ``sent`` gives destinations their tokens, see ``_sent``.
     """
     parts = pairs.groupBy("z").agg(F.ceil(F.count("*") / LIST_PART).alias("parts"))
     salted = pairs.join(parts, "z").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")))
-    none = F.lit(None).cast("binary")
-    heads = parts.join(tokens.withColumnRenamed("id", "z"), "z").select("z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("bigint").alias("x"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("y"), F.col("tokens").alias("minus"), none.alias("plus"))
-    bases = salted.select("z", "part", "x").distinct().join(tokens.withColumnRenamed("id", "x"), "x").select("z", "part", "x", F.lit(1).alias("kind"), F.lit(-1).cast("bigint").alias("y"), F.col("tokens").alias("minus"), none.alias("plus"))
-    rows = heads.unionByName(bases).unionByName(salted.select("z", "part", "x", F.lit(2).alias("kind"), "y", "minus", "plus"))
+    salted = store(salted.select("z", "part", "x", "y", "minus", "plus"))
+    all_parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    heads = parts.select(F.col("z").alias("id"), "z", all_parts.alias("part"), F.lit(-1).cast("bigint").alias("x"), F.lit(0).alias("kind"))
+    bases = salted.select(F.col("x").alias("id"), "z", "part", "x", F.lit(1).alias("kind")).distinct()
+    whole_sets = sent(heads.unionByName(bases)).select("z", "part", "x", "kind", F.lit(-1).cast("bigint").alias("y"), F.col("tokens").alias("minus"), F.lit(None).cast("binary").alias("plus"))
+    rows = whole_sets.unionByName(salted.select("z", "part", "x", F.lit(2).alias("kind"), "y", "minus", "plus"))
     schema = "z bigint, y bigint, overlap bigint, size bigint, minus binary, plus binary"
     out = arrow_schema(schema)
 
@@ -269,6 +291,19 @@ def moved(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarr
 RELATIONS = "id bigint, lead bigint, lead_n bigint, minus binary, plus binary"
 
 
+def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``pairs`` (x, z) whose marks agree: a guess that only says which sets are looked at as families."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("mark").alias(f"mark_{c}"))
+
+    def agree(batch: pa.RecordBatch) -> dict[str, object]:
+        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, MARK) for c in ("mark_x", "mark_z"))
+        shared, filled = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+        near = pa.array(shared >= AGREE * filled)
+        return {c: batch[c].filter(near) for c in ("x", "z")}
+
+    return map_batches(pairs.join(side("x"), "x").join(side("z"), "z"), agree, "x bigint, z bigint")
+
+
 def families(live: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """``RELATIONS``: the set that leads each related set, and in what they differ.
 
@@ -276,17 +311,20 @@ def families(live: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     its members' differences follow from its leader's. A family that others come to stays where it is.
     """
     related = live.sparkSession.createDataFrame([], RELATIONS)
-    for _ in range(ROUNDS):
-        by = related.select("id", "lead", "lead_n")
-        lists = live.select("token", "id", "n").join(by, "id", "left").select("token", F.coalesce("lead", "id").alias("f"), F.coalesce("lead_n", "n").alias("f_n")).distinct()
-        lists = store(lists)
+    for turn in range(ROUNDS):
+        lists = live.select("token", F.col("id").alias("f"), F.col("n").alias("f_n"))
+        if turn:
+            by = related.select(F.col("id").alias("f"), "lead", "lead_n")
+            lists = store(lists.join(by, "f", "left").select("token", F.coalesce("lead", "f").alias("f"), F.coalesce("lead_n", "f_n").alias("f_n")).distinct())
         first = lists.groupBy("token").agg(F.min("f").alias("z"), F.count("*").alias("n")).where("n > 1").select("token", "z")
         met = lists.join(first, "token").where("f <> z").groupBy(F.col("f").alias("x"), "f_n", "z").agg(F.count("*").alias("n_met"))
         length = F.col("f_n") - F.ceil(NUMERATOR * F.col("f_n") / DENOMINATOR) + 1
         pairs = met.where(4 * F.col("n_met") >= length).groupBy("x").agg(F.max_by("z", F.struct("n_met", "z")).alias("z"))
         none = F.lit(None).cast("binary")
-        pairs = store(pairs.select("z", "x", F.col("x").alias("y"), none.alias("minus"), none.alias("plus")))
-        close = compare(pairs, _tokens(docs, classes, pairs.select(F.col("z").alias("id")).union(pairs.select("x")), width), relate=True)
+        pairs = store(alike(pairs.select("x", "z"), classes).select("z", "x", F.col("x").alias("y"), none.alias("minus"), none.alias("plus")))
+        if pairs.isEmpty():
+            break
+        close = compare(pairs, lambda dests: _sent(docs, classes, dests, width), relate=True)
         close = close.join(close.select(F.col("y").alias("z")), "z", "left_anti").select(F.col("y").alias("x"), F.col("z").alias("to"), F.col("size").alias("to_n"), F.col("minus").alias("m"), F.col("plus").alias("p"))
         if close.isEmpty():
             break
@@ -329,12 +367,21 @@ def family_links(related: DataFrame) -> DataFrame:
     least = members.groupBy("lead").agg(F.min(F.struct("cost", "id")).alias("least"))
     placed = store(members.join(least, "lead").select("id", "lead", "budget", "cost", "apart", F.col("least.id").alias("first"), (F.col("cost") + F.col("least.cost") <= F.col("budget")).alias("core")))
     star = placed.where("core and id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    rows = placed.select("lead", F.explode("apart").alias("token"), "id", "budget", "cost", "core")
-    several = rows.groupBy("lead", "token").agg(F.count("*").alias("n"), F.bool_and("core").alias("all_core")).where("n > 1 and not all_core").select("lead", "token")
-    rows = store(rows.join(several, ["lead", "token"], "left_semi"))
-    other = rows.select("lead", "token", F.col("id").alias("b"), F.col("cost").alias("cost_b"), F.col("core").alias("core_b"))
-    met = rows.withColumnRenamed("id", "a").join(other, ["lead", "token"]).where("a < b and not (core and core_b)")
-    shared = met.groupBy("a", "b", "cost", "cost_b", "budget").agg(F.count("*").alias("s"))
+    mixed = placed.where("not core").select("lead").distinct()
+    tokens = placed.join(mixed, "lead", "left_semi").select("lead", "id", F.explode("apart").alias("token"))
+    counts = tokens.groupBy("lead", "token").agg(F.count("*").alias("n"))
+    ordered = tokens.join(counts, ["lead", "token"]).groupBy("lead", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
+    listed = placed.select("lead", "id", "budget", "cost", "core").join(ordered, ["lead", "id"])
+    rows = store(listed.select("lead", "id", "budget", "cost", "core", F.size("order").alias("size"), F.posexplode("order").alias("pos", "x")).where("x.n > 1").select("*", "x.token").drop("x"))
+    other = rows.select("lead", "token", *[F.col(c).alias(f"{c}_b") for c in ("id", "cost", "core", "size", "pos")])
+    both = rows.join(other, ["lead", "token"]).where("id < id_b and not (core and core_b)")
+    most = lambda met: (NUMERATOR + DENOMINATOR) * (met + F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) - 1)
+    # differences come rarest first: pairs that meet too late in them can't have enough in common
+    met = both.where(most(F.lit(1)) >= F.col("cost") + F.col("cost_b") - F.col("budget"))
+    pairs = met.groupBy("id", "id_b", "cost", "cost_b", "budget", "size", "size_b").agg(F.count("*").alias("n_met"), F.max("pos").alias("pos"), F.max("pos_b").alias("pos_b"))
+    pairs = pairs.where(most(F.col("n_met")) >= F.col("cost") + F.col("cost_b") - F.col("budget")).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "cost", "cost_b", "budget")
+    apart = lambda side: placed.select(F.col("id").alias(side), F.col("apart").alias(f"apart_{side}"))
+    shared = store(pairs).join(apart("a"), "a").join(apart("b"), "b").withColumn("s", F.size(F.array_intersect("apart_a", "apart_b")))
     return star.unionByName(shared.where(F.col("cost") + F.col("cost_b") - (NUMERATOR + DENOMINATOR) * F.col("s") <= F.col("budget")).select("a", "b"))
 
 
@@ -352,7 +399,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     turned = pairs.join(known, "b", "left").select(F.when(F.col("known"), F.col("b")).otherwise(F.col("a")).alias("y"), F.when(F.col("known"), F.col("a")).otherwise(F.col("b")).alias("z"))
     relations = related.select(F.col("id").alias("y"), F.col("lead").alias("x"), "minus", "plus")
     asked = store(turned.join(relations, "y", "left").select("z", F.coalesce("x", "y").alias("x"), "y", "minus", "plus"))
-    found = compare(asked, _tokens(docs, classes, asked.select(F.col("z").alias("id")).union(asked.select("x")), width))
+    found = compare(asked, lambda dests: _sent(docs, classes, dests, width))
     return family_links(related).unionByName(found.select(F.col("z").alias("a"), F.col("y").alias("b")))
 
 
@@ -374,7 +421,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = describe(rows, width)
     classes = store(
         held.where("n > 0").groupBy("s1", "s2")
-        .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least"), F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "h1", "h2")).alias("rep"))
+        .agg(F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least"), F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "h1", "h2")).alias("rep"))
         .withColumn("id", F.monotonically_increasing_id())
     )
     linked = components(links(rows, classes, width))

@@ -131,6 +131,16 @@ def test_families_link_as_their_sets_do(spark):
     assert groups(found) == groups(real) and len(set(groups(real).values())) > 1
 
 
+def test_marks_agree_as_sets_do():
+    random = np.random.default_rng(10)
+    hashes = lambda n: np.unique(random.integers(0, 1 << 64, n, dtype=np.uint64))
+    agreed = lambda a, b: sum(x == y != 0 for x, y in zip(jaccard.mark_of(a), jaccard.mark_of(b))) / jaccard.MARK
+    base = hashes(500)
+    assert agreed(base, base) == 1 and agreed(base, np.concatenate([base[::9], hashes(400)])) < jaccard.AGREE
+    assert agreed(base, np.union1d(np.delete(base, np.arange(0, 500, 10)), hashes(50))) > jaccard.AGREE
+    assert jaccard.mark_of(base[:0]) == bytes(jaccard.MARK) and sum(b > 0 for b in jaccard.mark_of(base[:1])) == 1
+
+
 def test_differences_are_carried_over():
     random = np.random.default_rng(9)
     x, z, y = (np.unique(random.integers(0, 40, 25).astype(np.uint64)) for _ in range(3))
@@ -149,6 +159,6 @@ def test_relations_give_the_answers_of_whole_sets(spark):
         for y in range(12):
             x = (y + 1) % 12
             rows.append((z, x, y, bytearray(np.setdiff1d(sets[x], sets[y]).tobytes()), bytearray(np.setdiff1d(sets[y], sets[x]).tobytes())))
-    found = {(r.z, r.y): r.overlap for r in jaccard.compare(spark.createDataFrame(rows, "z bigint, x bigint, y bigint, minus binary, plus binary"), tokens).collect()}
+    found = {(r.z, r.y): r.overlap for r in jaccard.compare(spark.createDataFrame(rows, "z bigint, x bigint, y bigint, minus binary, plus binary"), lambda dests: dests.join(tokens, "id")).collect()}
     want = {(z, y): len(np.intersect1d(a, b)) for z, a in sets.items() for y, b in sets.items()}
     assert found == {k: v for k, v in want.items() if v >= jaccard.least_overlap(len(sets[k[0]]), len(sets[k[1]]))}
