@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +20,14 @@ CLASSES, ROUNDS, STRENGTH = 32, 8, 100.0
 SHARED_WORDS, CORE_WORDS = 1 << 20, 1 << 14
 #: Occurrences below which a word's neighbours say too little for that start.
 CORE_COUNT = 8
-#: Entries of the table of neighbours in a row, and parts to which those of so many most frequent words are dealt.
-PACKED, PARTS, SPLIT_WORDS = 1 << 14, 64, 1 << 12
-#: Codes beside the classes after and before a word: the word after itself, and its own class.
-SELF, OWN = 2 * (CLASSES + 1), 127
+#: Most frequent words whose neighbours aren't gathered: tasks add up what they meet beside them, in tables cut into slices.
+HOT_WORDS, SLICES = 1 << 12, 16
+#: Entries of a row of lists (more if a word has more), tokens for each part of the lists, and the most parts.
+PACKED, PART_TOKENS, MOST_PARTS = 1 << 16, 1 << 21, 1 << 14
+#: Kinds of rows of lists.
+NEAR, FAR, OPEN = 0, 1, 2
+#: Code beside the classes after and before a word: the word after itself.
+SELF = 2 * (CLASSES + 1)
 #: Distinct entries that a task adds up before it passes them on.
 HELD = 1 << 20
 #: Word numbers are 64-bit hashes; this one is the end of a text.
@@ -188,76 +191,6 @@ def best_class(right: np.ndarray, left: np.ndarray, own: int, own_pairs: int, pa
     return best if gain[best] > gain[own] + 1e-9 else own
 
 
-def exchange(packed: DataFrame, n_core: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(classes of the core words and END, bigrams of the classes).
-
-    ``packed`` has, for each core word, its neighbours on either side and how often. Each round, the
-    words of one half look for their best class given the classes of all, and move at once.
-    """
-    spark, width = packed.sparkSession, CLASSES + 1
-    classes = np.append(np.arange(n_core) % CLASSES, CLASSES)
-    moved_out, pairs_out = arrow_schema("word int, class int"), arrow_schema("pair int, n bigint")
-
-    def profiles(batch: pa.RecordBatch, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-        for word, *sides in zip(*(batch[c].to_pylist() for c in ("word", "after", "after_n", "before", "before_n")), strict=True):
-            a, an, b, bn = (np.frombuffer(x, t) for x, t in zip(sides, ("<i4", "<i8") * 2, strict=True))
-            yield word, np.bincount(of[a], an, width), np.bincount(of[b], bn, width), int(an[a == word].sum())
-
-    def count_pairs() -> np.ndarray:
-        shared = spark.sparkContext.broadcast(classes)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, total = shared.value, np.zeros((width, width), np.int64)
-            for batch in batches:
-                for word, right, _, _ in profiles(batch, of):
-                    total[of[word]] += right.astype(np.int64)
-            yield as_batch({"pair": np.arange(width * width), "n": total.ravel()}, pairs_out)
-
-        total = np.zeros(width * width, np.int64)
-        for row in packed.mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect():
-            total[row[0]] = row[1]
-        return total.reshape(width, width)
-
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((classes, count_pairs()))
-
-        def move(batches: Iterator[pa.RecordBatch], half: int = turn % 2, shared=shared) -> Iterator[pa.RecordBatch]:
-            of, pairs = shared.value
-            for batch in batches:
-                found = {w: best_class(r, l, of[w], s, pairs) for w, r, l, s in profiles(batch, of) if w < n_core and (w // CLASSES + w) % 2 == half}
-                yield as_batch({"word": list(found), "class": list(found.values())}, moved_out)
-
-        classes = classes.copy()
-        for row in packed.mapInArrow(move, "word int, class int").collect():
-            classes[row[0]] = row[1]
-    return classes, count_pairs()
-
-
-def _packed(pairs: DataFrame, n_core: int) -> DataFrame:
-    """A row for each core word (and END) from bigrams (key = word * (n_core + 1) + next word, n)."""
-    width = n_core + 1
-    a, b = F.floor(F.col("key") / width).cast("int"), F.pmod("key", F.lit(width)).cast("int")
-    sides = pairs.select(F.explode(F.array(
-        F.struct(a.alias("word"), b.alias("other"), F.col("n"), F.lit(True).alias("right")), F.struct(b.alias("word"), a.alias("other"), F.col("n"), F.lit(False).alias("right")),
-    )).alias("x")).select("x.*")
-    out = arrow_schema("word int, after binary, after_n binary, before binary, before_n binary")
-
-    def pack(table: pa.Table) -> pa.Table:  # at most (n_core + 1) / 64 words and their neighbours
-        word, other, n, right = (table[c].to_numpy() for c in ("word", "other", "n", "right"))
-        order = np.argsort(word, kind="stable")
-        word, other, n, right = word[order], other[order].astype("<i4"), n[order].astype("<i8"), right[order].astype(bool)
-        cuts = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(word)]
-        rows: dict[str, list] = {f.name: [] for f in out}
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            o, m, r = other[x:y], n[x:y], right[x:y]
-            for c, v in zip(rows, (int(word[x]), o[r].tobytes(), m[r].tobytes(), o[~r].tobytes(), m[~r].tobytes()), strict=True):
-                rows[c].append(v)
-        return pa.Table.from_batches([as_batch(rows, out)])
-
-    schema = "word int, after binary, after_n binary, before binary, before_n binary"
-    return sides.withColumn("block", F.pmod("word", F.lit(64))).groupBy("block").applyInArrow(pack, schema)
-
-
 def _top(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, counts) of the most frequent words, ``most`` at most, from how many words have each rounded count."""
     step = F.floor(F.log("n") / F.log(F.lit(1.01)))
@@ -303,21 +236,25 @@ class Model:
 
 
 def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, own_pairs: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """``best_class`` of many words, a row for each; what a word doesn't touch isn't computed."""
-    n, at = len(pairs) - 1, np.arange(len(own))
+    """``best_class`` of many words, a row for each; what a word doesn't touch isn't computed.
+
+    A word of class -1 has none yet: ``pairs``, ``right`` and ``left`` are without its bigrams with itself.
+    """
+    n, at, has = len(pairs) - 1, np.arange(len(own)), own >= 0
     p, r, l, s = pairs.astype(float), right.astype(float), left.astype(float), own_pairs.astype(float)
-    r_all, l_all, r_own, l_own = r.sum(axis=1), l.sum(axis=1), r[at, own], l[at, own]
+    of = np.where(has, own, 0)
+    r_all, l_all, r_own, l_own = r.sum(axis=1), l.sum(axis=1), r[at, of], l[at, of]
     rest_r, rest_l = r.copy(), l.copy()
-    rest_r[at, own] -= s
-    rest_l[at, own] -= s
+    rest_r[at, of] -= s * has
+    rest_l[at, of] -= s * has
     gain = np.zeros((len(own), n))
     for table, far, near, near_all in ((p, rest_r, l, r), (p.T, rest_l, r, l)):
         word, other = np.nonzero(far)
         g = table[:n, other].T.copy()
         mine = np.flatnonzero(other == own[word])
         g[mine] -= near[word[mine], :n]
-        each = np.arange(len(word))
-        g[each, own[word]] -= near_all[word, other]
+        each = np.flatnonzero(has[word])
+        g[each, own[word[each]]] -= near_all[word[each], other[each]]
         g[mine, own[word[mine]]] += s[word[mine]]
         change = _xlogx(g + far[word, other][:, None]) - _xlogx(g)
         inner = np.flatnonzero(other < n)
@@ -326,27 +263,14 @@ def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, own_pairs
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             gain[word[starts]] += np.add.reduceat(change, starts, axis=0)
     corner = np.tile(p.diagonal()[:n], (len(own), 1))
-    corner[at, own] += s - r_own - l_own
+    corner[at, of] += (s - r_own - l_own) * has
     gain += _xlogx(corner + rest_r[:, :n] + rest_l[:, :n] + s[:, None]) - _xlogx(corner)
     for sums, near, all_n in ((p.sum(axis=1), rest_l, r_all), (p.sum(axis=0), rest_r, l_all)):
         total = sums[:n] - near[:, :n]
-        total[at, own] -= all_n
+        total[at, of] -= all_n * has
         gain -= _xlogx(total + all_n[:, None]) - _xlogx(total)
     best = gain.argmax(axis=1)
-    return np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
-
-
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Binary values, each of the numbers from one start to the next."""
-    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all numbers of binary values, how many each has); nulls have none."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    sizes = np.array(pc.binary_length(column), np.int64) // 8
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64), sizes
+    return np.where(has & (gain[at, best] <= gain[at, of] + 1e-9), own, best)
 
 
 def _starts(*sorted_by: np.ndarray) -> np.ndarray:
@@ -356,247 +280,307 @@ def _starts(*sorted_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)]))
 
 
-def bigrams(rows: DataFrame, lookup, n_shared: int) -> DataFrame:
-    """(a, b, n) of all words that follow each other. A shared word is its place, END ``n_shared``, another word its number.
+def lists(rows: DataFrame, lookup, n_shared: int, n_hot: int, n_parts: int, n_far: int) -> DataFrame:
+    """What stands beside each word, from one pass over the texts and one exchange; stored rows of a ``kind``.
 
-    Numbers are hashes, so that one of them is a place is as unlikely as two equal ones.
+    ``NEAR``: shared words beside a shared word. A bigram with one hot word (the ``n_hot`` most frequent,
+    and END) is listed under the other word only, one of two hot words under its first, any other under both.
+    ``FAR``: shared words beside a word that isn't shared. ``OPEN``: two words in a row that aren't shared.
+    A row has whole words (but hot ones, whose lists are dealt to all parts), ``least`` is the first of them.
+    ``other`` is twice the place of the word beside, one more if that comes after.
     """
-    out, width = arrow_schema("a bigint, b bigint, n bigint"), n_shared + 1
-
-    def parts(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(a), 1 << 16):
-            x = slice(at, at + (1 << 16))
-            yield as_batch({"a": a[x], "b": b[x], "n": n[x]}, out)
-
-    def flush(sums: Sums) -> Iterator[pa.RecordBatch]:
-        keys, n = sums.total()
-        yield from parts(keys // width, keys % width, n)
+    schema = "part int, kind int, word binary, other binary, n binary"
+    out, stored, width = arrow_schema(schema), arrow_schema("kind int, least int, word binary, other binary, n binary"), n_shared + 1
+
+    def is_hot(x: np.ndarray) -> np.ndarray:
+        return (x < n_hot) | (x == n_shared)
+
+    def sent(kind: int, part: np.ndarray, word: np.ndarray, other: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((other, word, part))
+        part, word, other, n = part[order], word[order], other[order], n[order]
+        cuts = np.append(_starts(part), len(part)).tolist()
+        made = [_pack(kind, word[x:y], other[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        if made:
+            yield as_batch({"part": part[cuts[:-1]], "kind": [kind] * len(made)} | {c: [m[c] for m in made] for c in ("word", "other", "n")}, out)
+
+    def send(near: Sums, beside: list[tuple[np.ndarray, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, n = near.total()
+        a, b = keys // width, keys % width
+        hot_a, hot_b = is_hot(a), is_hot(b)
+        first, second = ~hot_a | hot_b, ~hot_b
+        part = np.where(hot_a, a * 31 + b, a)[first] % n_parts
+        yield from sent(
+            NEAR, np.concatenate([part, b[second] % n_parts]), np.concatenate([a[first], b[second]]),
+            np.concatenate([b[first] * 2 + 1, a[second] * 2]), np.concatenate([n[first], n[second]]),
+        )
+        for kind, held in ((FAR, beside), (OPEN, pairs)):
+            if held:
+                word, other = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from sent(kind, n_parts + word % n_far, word, other, np.ones(len(word), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
+        near, beside, pairs = Sums(), [], []
         for batch in batches:
             numbers, _ = with_ends([t or b"" for t in batch["text"].to_pylist()])
             place = np.concatenate([[n_shared], np.where(numbers == END, n_shared, lookup.value(numbers))]).astype(np.int64)
-            ids = np.where(place >= 0, place, np.concatenate([[END], numbers]))
-            held = (place[:-1] >= 0) & (place[1:] >= 0)
-            sums.add(place[:-1][held] * width + place[1:][held])
-            yield from parts(ids[:-1][~held], ids[1:][~held], np.ones(int((~held).sum()), np.int64))
-            if sums.full():
-                yield from flush(sums)
-                sums = Sums()
-        yield from flush(sums)
-
-    return rows.mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+            numbers = np.concatenate([[END], numbers])
+            a, b = place[:-1], place[1:]
+            near.add((a * width + b)[(a >= 0) & (b >= 0)])
+            after, before = (a < 0) & (b >= 0), (a >= 0) & (b < 0)
+            beside.append((np.concatenate([numbers[:-1][after], numbers[1:][before]]), np.concatenate([b[after] * 2 + 1, a[before] * 2])))
+            both = (a < 0) & (b < 0)
+            pairs.append((numbers[:-1][both], numbers[1:][both]))
+            if near.full() or sum(len(x) for x, _ in beside) + sum(len(x) for x, _ in pairs) > HELD:
+                yield from send(near, beside, pairs)
+                near, beside, pairs = Sums(), [], []
+        yield from send(near, beside, pairs)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the lists of the words of a partition; what it holds is no more than their distinct neighbours."""
+        held: dict[int, list] = {NEAR: [], FAR: [], OPEN: []}
+        last = dict.fromkeys(held, 0)
+        for batch in batches:
+            for kind, *x in zip(batch["kind"].to_pylist(), *_unpack(batch, OPEN), strict=True):
+                held[kind].append(x)
+                if sum(len(y[0]) for y in held[kind]) > 2 * last[kind] + HELD:
+                    held[kind] = [added(held[kind])]
+                    last[kind] = len(held[kind][0][0])
+        for kind, parts in held.items():
+            if parts:
+                word, other, n = added(parts)
+                at = 0
+                while at < len(word):
+                    upto = len(word) if at + PACKED >= len(word) else max(int(np.searchsorted(word, word[at + PACKED], "left")), int(np.searchsorted(word, word[at], "right")))
+                    row = _pack(kind, word[at:upto], other[at:upto], n[at:upto])
+                    yield as_batch({"kind": [kind], "least": [int(word[at]) if kind == NEAR else None]} | {c: [row[c]] for c in ("word", "other", "n")}, stored)
+                    at = upto
+
+    def added(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word, other, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((other, word))
+        word, other, n = word[order], other[order], n[order]
+        at = _starts(word, other)
+        return word[at], other[at], np.add.reduceat(n.astype(np.int64), at)
+
+    dealt = rows.mapInArrow(run, schema).repartition(n_parts + n_far, "part")
+    return store(dealt.mapInArrow(gather, "kind int, least int, word binary, other binary, n binary"), "kind")
+
+
+def _pack(kind: int, word: np.ndarray, other: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
+    """Words in order as steps, and counts in as few bytes as the largest needs."""
+    size = next(s for s in (1, 2, 4, 8) if int(n.max()) < 1 << (8 * s - 1) or s == 8)
+    word = np.diff(word.astype(np.int64), prepend=np.int64(0))
+    return {"word": word.astype("<i4" if kind == NEAR else "<i8").tobytes(), "other": other.astype("<i8" if kind == OPEN else "<i4").tobytes(), "n": n.astype(f"<i{size}").tobytes()}
+
+
+def _unpack(batch: pa.RecordBatch, kind: int | None = None) -> tuple[list[np.ndarray], ...]:
+    """(words, others, counts) of each row; ``kind`` is that of all rows unless the batch has a column of it."""
+    kinds = batch["kind"].to_pylist() if "kind" in batch.schema.names else [kind] * batch.num_rows
+    word, other, n = [], [], []
+    for k, w, o, m in zip(kinds, *(batch[c].to_pylist() for c in ("word", "other", "n")), strict=True):
+        word.append(np.cumsum(np.frombuffer(w, "<i4" if k == NEAR else "<i8"), dtype=np.int64))
+        other.append(np.frombuffer(o, "<i8" if k == OPEN else "<i4"))
+        n.append(np.frombuffer(m, f"<i{len(m) // max(1, len(word[-1]))}"))
+    return word, other, n
+
+
+def _rows_of(table: DataFrame, kind: int) -> DataFrame:
+    return table.where(F.col("kind") == kind).select("word", "other", "n")
+
+
+class Exchange:
+    """Rounds of exchange of the shared words; every pass reads the ``NEAR`` lists once and moves no rows.
+
+    Classes are broadcast, a byte for each shared word. A task holds the whole list of each word that isn't hot, and
+    what it meets beside hot words is added up in a table of fixed size, so hot words are decided last, by the driver.
+    """
 
+    def __init__(self, near: DataFrame, n_shared: int, n_hot: int):
+        self.near, self.n_shared, self.n_hot = near, n_shared, n_hot
+        self.context = near.sparkSession.sparkContext
 
-def sides(pairs: DataFrame, n_shared: int) -> DataFrame:
-    """For each word the words beside it: rows of up to ``PACKED`` entries in order of the word.
+    def pairs(self, classes: np.ndarray, upto: int) -> np.ndarray:
+        """Bigrams of the classes, over rows with words before place ``upto``."""
+        n_shared, n_hot, width = self.n_shared, self.n_hot, CLASSES + 1
+        shared, out = self.context.broadcast(classes), arrow_schema("pair int, n bigint")
 
-    ``n`` is negative where the other word comes before. The neighbours of the most frequent words are dealt to ``PARTS`` parts.
-    """
-    both = pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), (-F.col("n")).alias("n")),
-    )).alias("x")).select("x.*").where(F.col("word") != n_shared)
-    part = F.when(F.col("word").between(0, SPLIT_WORDS - 1), F.pmod("other", F.lit(PARTS))).otherwise(0)
-    dealt = both.repartition("word", part).sortWithinPartitions("word")
-    out = arrow_schema("word binary, other binary, n binary")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(np.stack([batch[c].to_numpy() for c in ("word", "other", "n")]))
-            if sum(x.shape[1] for x in held) >= PACKED:
-                yield packed(held)
-                held = []
-        if held:
-            yield packed(held)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, total = shared.value, np.zeros(width * width)
+            for batch in batches:
+                for word, other, n in zip(*_unpack(batch, NEAR), strict=True):
+                    after, place = (other & 1).astype(bool), other >> 1
+                    own, beside = of[word].astype(np.int16), of[place].astype(np.int16)
+                    x = (after | (place < n_hot) | (place == n_shared)) & (own >= 0) & (beside >= 0)
+                    total += np.bincount(np.where(after, own * width + beside, beside * width + own)[x], n[x], width * width)
+            yield as_batch({"pair": np.arange(width * width), "n": total.astype(np.int64)}, out)
+
+        return _matrix(self._upto(upto).mapInArrow(run, "pair int, n bigint"), shared)
+
+    def _upto(self, place: int) -> DataFrame:
+        rows = self.near if place >= self.n_shared else self.near.where((F.col("least") < place) | (F.col("least") == self.n_shared))
+        return rows.select("word", "other", "n")
+
+    def change(self, classes: np.ndarray, upto: int, moving, choose) -> np.ndarray:
+        """New classes: ``choose(own, counts of each code)`` for the words for which ``moving(word, own)`` holds."""
+        n_shared, n_hot, width = self.n_shared, self.n_hot, CLASSES + 1
+        shared, out = self.context.broadcast(classes), arrow_schema("slice int, word binary, data binary")
+        codes = SELF + 1
+        step = -(-max(1, n_hot) // SLICES) * codes
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        return as_batch({c: [x.tobytes()] for c, x in zip(("word", "other", "n"), np.concatenate(held, axis=1), strict=True)}, out)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, hot = shared.value, np.zeros(SLICES * step)
+            for batch in batches:
+                for word, other, n in zip(*_unpack(batch, NEAR), strict=True):
+                    after, place = (other & 1).astype(bool), (other >> 1).astype(np.int64)
+                    own, beside = of[word].astype(np.int64), of[place].astype(np.int64)
+                    code = np.where(after, beside, width + beside)
+                    plain = (word >= n_hot) & (word < n_shared)
+                    x = plain & (beside >= 0) & moving(word, own)
+                    if x.any():
+                        at = _starts(word[x])
+                        row = np.repeat(np.arange(len(at)), np.diff(np.append(at, int(x.sum()))))
+                        counts = np.bincount(row * codes + code[x], n[x], len(at) * codes)
+                        twice = np.flatnonzero((word[x] == place[x]) & after[x])
+                        counts[row[twice] * codes + SELF] += n[x][twice]
+                        words, of_words = word[x][at], own[x][at]
+                        new = _in_blocks(choose, of_words, counts.reshape(-1, codes).astype(np.int64))
+                        moved = new != of_words
+                        if moved.any():
+                            yield as_batch({"slice": [SLICES + int(words[0]) % SLICES], "word": [words[moved].astype("<i8").tobytes()], "data": [new[moved].astype("<i8").tobytes()]}, out)
+                    x = (own >= 0) & (place < n_hot)  # a hot word beside: this one counts on its other side
+                    hot += np.bincount(place[x] * codes + np.where(after, width + own, own)[x], n[x], len(hot))
+                    x = (beside >= 0) & (word < n_hot)
+                    hot += np.bincount(word[x] * codes + code[x], n[x], len(hot))
+                    x &= word == place
+                    hot += np.bincount(word[x] * codes + SELF, n[x], len(hot)) if x.any() else 0
+            parts = hot.astype("<i8").reshape(SLICES, -1)
+            yield as_batch({"slice": np.arange(SLICES), "word": [b""] * SLICES, "data": [p.tobytes() for p in parts]}, out)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, word, data in zip(*(batch[c].to_pylist() for c in ("slice", "word", "data")), strict=True):
+                    if i < SLICES:
+                        sums[i] = sums.get(i, 0) + np.frombuffer(data, "<i8")
+                    else:
+                        yield as_batch({"slice": [i], "word": [word], "data": [data]}, out)
+            yield as_batch({"slice": list(sums), "word": [b""] * len(sums), "data": [s.tobytes() for s in sums.values()]}, out)
+
+        schema = "slice int, word binary, data binary"
+        found = self._upto(upto).mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect()
+        shared.destroy()
+        classes, hot = classes.copy(), np.zeros((SLICES, step), np.int64)
+        for i, word, data in found:
+            if i < SLICES:
+                hot[i] += np.frombuffer(data, "<i8")
+            else:
+                classes[np.frombuffer(word, "<i8")] = np.frombuffer(data, "<i8")
+        own = classes[:n_hot].astype(np.int64)
+        x = np.flatnonzero(moving(np.arange(n_hot), own))
+        if len(x):
+            classes[x] = choose(own[x], hot.reshape(-1, codes)[x])
+        return classes
 
-    return dealt.mapInArrow(pack, "word binary, other binary, n binary")
 
+def _in_blocks(choose, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    step = 1 << 13
+    return np.concatenate([choose(own[a : a + step], counts[a : a + step]) for a in range(0, len(own), step)])
 
-def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    for x in zip(*(batch[c].to_pylist() for c in ("word", "other", "n")), strict=True):
-        yield tuple(np.frombuffer(y, np.int64) for y in x)
 
+def _matrix(found: DataFrame, *shared) -> np.ndarray:
+    """(pair, n) of all tasks as a table of class by class."""
+    width = CLASSES + 1
+    total = np.zeros(width * width, np.int64)
+    for row in found.groupBy("pair").agg(F.sum("n")).collect():
+        total[row[0]] = row[1]
+    for x in shared:
+        x.destroy()
+    return total.reshape(width, width)
 
-class Whole:
-    """The exchange of all words: classes of the shared ones as an array, those of the others as a table (word, class).
 
-    An entry counts one code of a word: n * 128 + code. Codes are the class after the word, the class
-    before it, the word after itself and, with the class as n, the word's own class.
-    """
+def _likelihood(pairs: np.ndarray) -> float:
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
 
-    def __init__(self, near: DataFrame, others: DataFrame | None, n_shared: int, n_ends: int):
-        self.near, self.others, self.n_shared, self.n_ends = near, others, n_shared, n_ends
-        self.beside = None
-        if others is not None:
-            out, last = arrow_schema("word bigint, other bigint, n bigint"), n_shared
-
-            def unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for word, other, n in _unpack(batch):
-                        x = (other < 0) | (other > last)
-                        yield as_batch({"word": word[x], "other": other[x], "n": n[x]}, out)
-
-            self.beside = store(near.mapInArrow(unshared, "word bigint, other bigint, n bigint"))
-
-    def profiles(self, classes: np.ndarray) -> DataFrame:
-        """(word, own, entries) for each word: its class, -1 without one, and the counts of the codes."""
-        context, last, width = self.near.sparkSession.sparkContext, self.n_shared, CLASSES + 1
-        shared = context.broadcast(classes)
-        out, done_out = arrow_schema("word bigint, entry bigint, entries binary"), arrow_schema("word bigint, own int, entries binary")
-
-        def summed_up(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-            order = np.lexsort((code, word))
-            word, code, n = word[order], code[order], n[order]
-            at = _starts(word, code)
-            entries = np.add.reduceat(n, at) * 128 + code[at] if len(at) else np.zeros(0, np.int64)
-            starts = _starts(word[at])
-            return word[at][starts], _lists(entries, starts)
-
-        def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = shared.value
-            for batch in batches:
-                for word, other, n in _unpack(batch):
-                    self_n = (word == other) & (n > 0)
-                    held = (other >= 0) & (other <= last)
-                    found = of[np.where(held, other, 0)].astype(np.int64)
-                    x = held & (found >= 0)
-                    words, entries = summed_up(
-                        np.concatenate([word[x], word[self_n]]), np.concatenate([np.where(n[x] > 0, found[x], width + found[x]), np.full(int(self_n.sum()), SELF)]),
-                        np.concatenate([np.abs(n[x]), n[self_n]]),
-                    )
-                    yield as_batch({"word": words, "entry": pa.nulls(len(words), pa.int64()), "entries": entries}, out)
-
-        rows = self.near.mapInArrow(around, "word bigint, entry bigint, entries binary")
-        if self.others is not None:
-            none = F.lit(None).cast("binary").alias("entries")
-            code = F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("class") + width)
-            known = self.others.where("class >= 0").select(F.col("word").alias("other"), "class")
-            met = self.beside.join(known, "other").groupBy("word", code.alias("code")).agg(F.sum(F.abs("n")).alias("n"))
-            rows = rows.unionByName(met.select("word", (F.col("n") * 128 + F.col("code")).alias("entry"), none))
-            twice = self.beside.where("word = other and n > 0").select("word", (F.col("n") * 128 + SELF).alias("entry"), none)
-            rows = rows.unionByName(twice).unionByName(self.others.select("word", (F.col("class") * 128 + OWN).cast("bigint").alias("entry"), none))
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows come by word; a word may go on in the next batch."""
-            words, entries = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for batch in batches:
-                more, sizes = _flat(batch["entries"])
-                one = np.flatnonzero(np.array(batch["entry"].is_valid()))
-                number = batch["word"].to_numpy()
-                more_words = np.concatenate([words, np.repeat(number, sizes), number[one]])
-                more = np.concatenate([entries, more, np.array(batch["entry"].take(pa.array(one)), np.int64)])
-                go_on = more_words == number[-1] if len(number) else np.ones(len(more_words), bool)
-                yield done(more_words[~go_on], more[~go_on])
-                words, entries = more_words[go_on], more[go_on]
-            yield done(words, entries)
-
-        def done(word: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
-            code, n = entries & 127, entries >> 7
-            is_own = code == OWN
-            words, lists = summed_up(word, code, np.where(is_own, 0, n))
-            own = np.where((words >= 0) & (words <= last), shared.value[np.clip(words, 0, last)], -1)
-            own[np.searchsorted(words, word[is_own])] = n[is_own]
-            return as_batch({"word": words, "own": own, "entries": lists}, done_out)
-
-        return store(rows.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "word bigint, own int, entries binary"))
-
-    def pairs(self, found: DataFrame) -> np.ndarray:
-        """Bigrams of the classes over all tokens."""
-        width, out = CLASSES + 1, arrow_schema("pair int, n bigint")
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width * width, np.int64)
-            for batch in batches:
-                entries, sizes = _flat(batch["entries"])
-                own, code, n = np.repeat(batch["own"].to_numpy(), sizes).astype(np.int64), entries & 127, entries >> 7
-                after, first = code < width, code == width + CLASSES
-                np.add.at(total, own[after] * width + code[after], n[after])
-                np.add.at(total, CLASSES * width + own[first], n[first])
-            yield as_batch({"pair": np.arange(width * width), "n": total}, out)
-
-        total = np.zeros(width * width, np.int64)
-        for row in found.mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n")).collect():
-            total[row[0]] = row[1]
-        total = total.reshape(width, width)
-        total[CLASSES, CLASSES] = self.n_ends - total[:CLASSES, CLASSES].sum()  # ends after ends: each end follows one thing
-        return total
-
-    def change(self, found: DataFrame, classes: np.ndarray, choose) -> np.ndarray:
-        """New classes: ``choose(word, own, counts of each code)`` for all words."""
-        out, last = arrow_schema("word bigint, class int"), self.n_shared
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                entries, sizes = _flat(batch["entries"])
-                counts = np.zeros((len(sizes), 128), np.int64)
-                counts[np.repeat(np.arange(len(sizes)), sizes), entries & 127] = entries >> 7
-                word, own = batch["word"].to_numpy(), batch["own"].to_numpy().astype(np.int64)
-                chosen = choose(word, own, counts) if len(word) else own
-                x = (chosen != own) | (word < 0) | (word > last)
-                yield as_batch({"word": word[x], "class": chosen[x]}, out)
-
-        moved, is_shared = found.mapInArrow(run, "word bigint, class int"), F.col("word").between(0, last)
-        if self.others is not None:
-            moved = store(moved)
-            self.others = moved.where(~is_shared)
-        table = moved.where(is_shared).toArrow()
-        classes = classes.copy()
-        classes[table["word"].to_numpy()] = table["class"].to_numpy()
-        return classes
+def _best_moves(pairs: np.ndarray, width: int = CLASSES + 1):
+    return lambda own, counts: best_classes(counts[:, :width], counts[:, width : 2 * width], own, counts[:, SELF], pairs)
 
 
-def exchange_all(near: DataFrame, others: DataFrame | None, n_ends: int, core_classes: np.ndarray, core_pairs: np.ndarray, n_shared: int, rounds: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
-    """(classes of the shared words and END, those of the others, bigrams of the classes), from the classes of the core words.
+def exchange(near: DataFrame, n_shared: int, n_hot: int, n_core: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of the shared words and END, bigrams of those classes).
 
-    Words outside the core begin in the class under which their neighbours of the core are likeliest.
-    Then every word exchanges: each round, one half looks for its best class given the classes of all, and moves at once.
+    The core words exchange among themselves for a start. The others begin in the class under which their neighbours of
+    the core are likeliest. Then all exchange: each round, one half looks for its best class given the classes of all, and moves at once.
     Words of a small corpus may move to and fro, so the classes returned are those of the likeliest bigrams met.
     """
-    width, n_core, context = CLASSES + 1, len(core_classes) - 1, near.sparkSession.sparkContext
-    whole = Whole(near, others, n_shared, n_ends)
-    classes = np.full(n_shared + 1, -1, np.int16)
-    classes[:n_core], classes[n_shared] = core_classes[:n_core], CLASSES
-    if n_core < n_shared or others is not None:
-        shares = (core_pairs.sum(axis=0) + 1) / (core_pairs.sum() + width)
-        follows = np.log((core_pairs + STRENGTH * shares) / (core_pairs.sum(axis=1, keepdims=True) + STRENGTH))
-        table = context.broadcast(np.vstack([follows.T[:, :CLASSES], follows[:, :CLASSES] - np.log(shares[:CLASSES])]))
-
-        def begin(word: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-            return np.where(own < 0, (counts[:, : 2 * width] @ table.value).argmax(axis=1), own)
-
-        classes = whole.change(whole.profiles(classes), classes, begin)
+    work, width = Exchange(near, n_shared, n_hot), CLASSES + 1
+    classes = np.full(n_shared + 1, -1, np.int8)
+    classes[:n_core], classes[n_shared] = np.arange(n_core) % CLASSES, CLASSES
+
+    def rounds_of(classes: np.ndarray, upto: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        best = None
+        for turn in range(rounds + 1):
+            pairs = work.pairs(classes, upto)
+            if best is None or _likelihood(pairs) > best[0]:
+                best = _likelihood(pairs), classes, pairs
+            if turn < rounds:
+                half = turn % 2
+                classes = work.change(classes, upto, lambda word, own, half=half: (own >= 0) & ((word // CLASSES + word) % 2 == half), _best_moves(pairs))
+        return best[1:]
+
+    classes, pairs = rounds_of(classes, n_core, rounds)
+    if n_core < n_shared:
+        shares = (pairs.sum(axis=0) + 1) / (pairs.sum() + width)
+        follows = np.log((pairs + STRENGTH * shares) / (pairs.sum(axis=1, keepdims=True) + STRENGTH))
+        table = np.vstack([follows.T[:, :CLASSES], follows[:, :CLASSES] - np.log(shares[:CLASSES])])
+        classes = work.change(classes, n_shared, lambda word, own: own < 0, lambda own, counts: (counts[:, : 2 * width] @ table).argmax(axis=1))
         classes[classes < 0] = 0  # no neighbour in the core
-    best = None
-    for turn in range(rounds + 1):
-        found = whole.profiles(classes)
-        g = whole.pairs(found)
-        likelihood = _xlogx(g).sum() - _xlogx(g.sum(axis=0)).sum() - _xlogx(g.sum(axis=1)).sum()
-        if best is None or likelihood > best[0]:
-            best = likelihood, classes, whole.others, g
-        if turn < rounds:
-            pairs = context.broadcast(g)
-
-            def move(word: np.ndarray, own: np.ndarray, counts: np.ndarray, half: int = turn % 2, pairs=pairs) -> np.ndarray:
-                at = np.flatnonzero((word // CLASSES + word) % 2 == half)
-                chosen = own.copy()
-                if len(at):
-                    chosen[at] = best_classes(counts[at, :width], counts[at, width : 2 * width], own[at], counts[at, SELF], pairs.value)
-                return chosen
-
-            classes = whole.change(found, classes, move)
-    return best[1:]
-
-
-def fit(docs: DataFrame, learn: Column | bool = True, text_col: str = "text", shared_words: int = SHARED_WORDS, core_words: int = CORE_WORDS, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+        classes, pairs = rounds_of(classes, n_shared, rounds)
+    return classes, pairs
+
+
+def place_rest(far: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(word, class, n) for words that aren't shared: each moves to its best class given the shared words' classes.
+
+    Rows of class -1 have in ``word`` a bigram of classes and in ``n`` how often it stands beside these words.
+    """
+    context, width, out = far.sparkSession.sparkContext, CLASSES + 1, arrow_schema("word bigint, class int, n bigint")
+    shared, choose = context.broadcast(classes), _best_moves(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = shared.value, np.zeros(width * width)
+        for batch in batches:
+            for word, other, n in zip(*_unpack(batch, FAR), strict=True):
+                after, beside = (other & 1).astype(bool), of[other >> 1].astype(np.int64)
+                at = _starts(word)
+                row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(word))))
+                counts = np.bincount(row * (SELF + 1) + np.where(after, beside, width + beside), n, len(at) * (SELF + 1)).reshape(-1, SELF + 1)
+                new = _in_blocks(choose, np.full(len(at), -1), counts.astype(np.int64))
+                own = new[row]
+                total += np.bincount(np.where(after, own * width + beside, beside * width + own), n, width * width)
+                yield as_batch({"word": word[at], "class": new, "n": pa.nulls(len(at), pa.int64())}, out)
+        yield as_batch({"word": np.arange(width * width), "class": [-1] * width * width, "n": total.astype(np.int64)}, out)
+
+    return store(far.mapInArrow(run, "word bigint, class int, n bigint"))
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, n) of words in a row that aren't shared."""
+    out = arrow_schema("a bigint, b bigint, n bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word, other, n in zip(*_unpack(batch, OPEN), strict=True):
+                yield as_batch({"a": word, "b": other, "n": n.astype(np.int64)}, out)
+
+    return rows.mapInArrow(run, "a bigint, b bigint, n bigint")
+
+
+def fit(docs: DataFrame, learn: Column | bool = True, text_col: str = "text", shared_words: int = SHARED_WORDS, core_words: int = CORE_WORDS, rounds: int = ROUNDS, hot_words: int = HOT_WORDS) -> tuple[Model, DataFrame]:
     """The model of the rows for which ``learn`` holds, and (key, n, class) of the words that it doesn't hold itself.
 
-    Counts of all words and of all bigrams are summed over the corpus. The core words exchange classes
-    first, for a start; then all words do, and class bigrams are those of all tokens.
+    Counts of all words are summed over the corpus. The shared words exchange classes, the core of them first, for a
+    start; then each other word moves to its best class. Class bigrams are those of all tokens.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -606,23 +590,23 @@ def fit(docs: DataFrame, learn: Column | bool = True, text_col: str = "text", sh
     n_tokens, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_ends = (vocabulary.where(F.col("key") == END).first() or (0, 0))[1]
     keys, counts = _top(vocabulary, shared_words)
-    n_shared, n_core = len(keys), min(core_words, int((counts >= CORE_COUNT).sum()))
+    n_shared, n_core, n_hot = len(keys), min(core_words, int((counts >= CORE_COUNT).sum())), min(hot_words, len(keys))
     lookup = Lookup(keys)
-    followed = store(bigrams(rows, context.broadcast(lookup), n_shared))
-    number = {c: F.when(F.col(c) == n_shared, n_core).when(F.col(c).between(0, n_core - 1), F.col(c)) for c in ("a", "b")}
-    of_core = followed.select((number["a"] * (n_core + 1) + number["b"]).alias("key"), "n").where("key is not null")
-    core_classes, core_pairs = exchange(store(_packed(of_core, n_core)), n_core, rounds)
+    n_rest = n_tokens - n_ends - int(counts.sum())
+    parts = [min(MOST_PARTS, 1 + n // PART_TOKENS) for n in (n_tokens, 2 * n_rest)]
+    beside = lists(rows, context.broadcast(lookup), n_shared, n_hot, *parts)
+    classes, pairs = exchange(beside.where(F.col("kind") == NEAR).select("least", "word", "other", "n"), n_shared, n_hot, n_core, rounds)
     # Counts rank the words, so the shared ones are those from the least shared count up.
     least = int(counts[-1]) if n_shared else None
     rest = vocabulary.where((F.col("key") != END) & (F.col("n") < least if least is not None else F.lit(True)))
-    others = rest.select(F.col("key").alias("word"), F.lit(-1).alias("class")) if n_words > n_shared + (n_ends > 0) else None
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PACKED))  # rows of numbers
-    near = store(sides(followed, n_shared))
-    bound_batches(spark)
-    classes, of_others, pairs = exchange_all(near, others, n_ends, core_classes, core_pairs, n_shared, rounds)
     cold = rest.limit(0).withColumn("class", F.lit(0))
-    if of_others is not None:
-        cold = store(rest.join(of_others.select(F.col("word").alias("key"), "class"), "key"))
+    if n_rest:
+        placed = place_rest(_rows_of(beside, FAR), classes, pairs)
+        pairs = pairs + _matrix(placed.where("class < 0").select(F.col("word").cast("int").alias("pair"), "n"))
+        found = placed.where("class >= 0").select(F.col("word").alias("key"), "class")
+        cold = store(rest.join(found, "key", "left").withColumn("class", F.coalesce("class", F.lit(0))))
+        of = {c: cold.select(F.col("key").alias(c), F.col("class").alias(f"{c}_class")) for c in ("a", "b")}
+        pairs = pairs + _matrix(_open_pairs(_rows_of(beside, OPEN)).join(of["a"], "a").join(of["b"], "b").select((F.col("a_class") * (CLASSES + 1) + F.col("b_class")).alias("pair"), "n"))
     masses = np.bincount(classes[:n_shared], counts + 0.5, CLASSES + 1)
     masses[CLASSES] = n_ends + 0.5 if n_words else 0.0
     for row in cold.groupBy("class").agg(F.sum(F.col("n") + 0.5)).collect():
