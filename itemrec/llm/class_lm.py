@@ -180,7 +180,7 @@ def best_class(right: np.ndarray, left: np.ndarray, own: int, own_pairs: int, pa
     g[own, own] += own_pairs
     r[own] -= own_pairs
     l[own] -= own_pairs
-    rows, columns = g.sum(axis=1)[:n], g.sum(axis=0)[:n]
+    rows, columns = g.sum(axis=1)[:n] + l[:n], g.sum(axis=0)[:n] + r[:n]
     after, before = _xlogx(g[:n] + r) - _xlogx(g[:n]), _xlogx(g[:, :n].T + l) - _xlogx(g[:, :n].T)
     same = np.arange(n)
     corner = g[same, same]
@@ -266,9 +266,10 @@ def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, own_pairs
     corner[at, of] += (s - r_own - l_own) * has
     gain += _xlogx(corner + rest_r[:, :n] + rest_l[:, :n] + s[:, None]) - _xlogx(corner)
     for sums, near, all_n in ((p.sum(axis=1), rest_l, r_all), (p.sum(axis=0), rest_r, l_all)):
-        total = sums[:n] - near[:, :n]
+        total = sums[:n] + near[:, :n] * ~has[:, None]
         total[at, of] -= all_n * has
-        gain -= _xlogx(total + all_n[:, None]) - _xlogx(total)
+        total_after = total + (all_n + s * ~has)[:, None]
+        gain -= _xlogx(total_after) - _xlogx(total)
     best = gain.argmax(axis=1)
     return np.where(has & (gain[at, best] <= gain[at, of] + 1e-9), own, best)
 
