@@ -23,7 +23,7 @@ CORE_COUNT = 8
 #: Most frequent words whose neighbours aren't gathered: tasks add up what they meet beside them, in tables cut into slices.
 HOT_WORDS, SLICES = 1 << 12, 16
 #: Entries of a row of lists (more if a word has more), tokens for each part of the lists, and the most parts.
-PACKED, PART_TOKENS, MOST_PARTS = 1 << 16, 1 << 21, 1 << 14
+PACKED, PART_TOKENS, MOST_PARTS = 1 << 16, 1 << 20, 1 << 14
 #: Kinds of rows of lists.
 NEAR, FAR, OPEN = 0, 1, 2
 #: Code beside the classes after and before a word: the word after itself.
@@ -363,7 +363,7 @@ def lists(rows: DataFrame, lookup, n_shared: int, n_hot: int, n_parts: int, n_fa
         at = _starts(word, other)
         return word[at], other[at], np.add.reduceat(n.astype(np.int64), at)
 
-    dealt = rows.mapInArrow(run, schema).repartition(n_parts + n_far, "part")
+    dealt = rows.mapInArrow(run, schema).repartitionById(n_parts + n_far, F.col("part"))
     return store(dealt.mapInArrow(gather, "kind int, least int, word binary, other binary, n binary"), "kind")
 
 
