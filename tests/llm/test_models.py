@@ -175,7 +175,7 @@ def learn():
     return id_bucket(F.col("doc_id"), 5) != 1
 
 
-@pytest.mark.parametrize("options", [{}, {"shared_words": 60, "core_words": 20, "rounds": 3}])
+@pytest.mark.parametrize("options", [{}, {"shared_words": 60, "core_words": 20, "rounds": 3, "hot_words": 10}])
 def test_class_model(docs, options):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     model, found = check_lm(rows, docs, learn(), **options)
@@ -208,7 +208,7 @@ def test_joined_words_score_like_shared_ones(spark, docs):
     assert a.keys() == b.keys() and np.allclose([a[i] for i in a], [b[i] for i in a])
 
 
-@pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}])
+@pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}, {"shared_words": 80, "core_words": 20, "rounds": 2, "hot_words": 7}])
 def test_scores_are_sums_of_probabilities(docs, options):
     """Each score by its definition; after every class all words and the unseen ones add up to one."""
     small, n = docs.where("doc_id < 200"), class_lm.CLASSES
@@ -231,7 +231,7 @@ def test_scores_are_sums_of_probabilities(docs, options):
         assert abs(total - found[r.doc_id]) < 1e-6 * max(1, abs(total))
 
 
-@pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}])
+@pytest.mark.parametrize("options", [{}, {"shared_words": 80, "core_words": 40, "rounds": 2}, {"shared_words": 80, "core_words": 20, "rounds": 2, "hot_words": 7}])
 def test_class_bigrams_are_of_all_tokens(docs, options):
     small, n = docs.where("doc_id < 150"), class_lm.CLASSES
     model, cold = class_lm.fit(small, learn(), **options)
@@ -294,3 +294,37 @@ def test_class_model_odd_rows(spark):
     none, cold = class_lm.fit(df, F.lit(False))
     assert {(r.n_known, r.score, r.base_score) for r in class_lm.score(df, none, cold).collect()} == {(0, 0.0, 0.0)}
     assert class_lm.score(df.limit(0), none, cold).collect() == []
+
+
+def test_hot_words_only_say_where_lists_are_kept(docs):
+    """Classes and bigrams don't depend on which words' neighbours are added up in tasks."""
+    small = docs.where("doc_id < 60")
+    found = [class_lm.fit(small, learn(), shared_words=300, core_words=50, rounds=2, hot_words=h) for h in (0, 9, 300)]
+    for model, cold in found[1:]:
+        assert (model.classes == found[0][0].classes).all() and np.allclose(model.transition, found[0][0].transition)
+        assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, found[0][1].collect()))
+
+
+def test_words_without_class_move_to_the_likeliest():
+    random = np.random.default_rng(4)
+    n_words, n, f = 40, class_lm.CLASSES, class_lm._xlogx
+    big = random.poisson(3.0, (n_words, n_words)) * (random.random((n_words, n_words)) < 0.3)
+    of = random.integers(0, n, n_words)
+    of[-1] = n
+
+    def table(of, big):
+        g = np.zeros((n + 1, n + 1))
+        np.add.at(g, (of[:, None], of[None, :]), big)
+        return g
+
+    for w in range(20):
+        outside = big.copy()
+        outside[w], outside[:, w] = 0, 0
+        right, left, twice = np.delete(big[w], w), np.delete(big[:, w], w), big[w, w]
+        others = np.delete(of, w)
+        got = class_lm.best_classes(np.bincount(others, right, n + 1)[None], np.bincount(others, left, n + 1)[None], np.array([-1]), np.array([twice]), table(of, outside))[0]
+        every = []
+        for c in range(n):
+            g = table(np.where(np.arange(n_words) == w, c, of), big)
+            every.append(f(g).sum() - f(g.sum(axis=1)).sum() - f(g.sum(axis=0)).sum())
+        assert every[got] == pytest.approx(max(every), rel=1e-12)
