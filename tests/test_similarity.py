@@ -146,3 +146,24 @@ def test_separate_groups_are_found(spark):
     groups = labelled.select("cluster", (F.substring("video_id", 2, 3).cast("int") % 4).alias("g")).distinct().collect()
     assert summary.where("chosen").first().k >= 4
     assert len({r.cluster for r in groups}) == len(groups)  # no cluster mixes groups
+
+
+def test_a_row_goes_once_to_a_group_of_cells(spark):
+    df, rows = vectors_of(spark, n=200)
+    join = ann.PivotJoin(similarity.unit_vectors(df.select("video_id", "embedding")), "video_id", 5)
+    for block, groups in ((200, 1), (60, 8)):
+        group = ann.grouped_cells(join.pivots, join.sizes, block)
+        assert len(set(group)) <= groups < len(join.pivots)
+        assert all(join.sizes[group == g].sum() <= block or (group == g).sum() == 1 for g in group)
+        assert join.sent(group).count() <= len(rows) * groups  # vectors without groups went to every cell before
+    index = ann.InvertedFile(df.select("video_id", "embedding"))
+    near = {(a, b) for (_, a, b) in brute([("g", b, c) for _, b, c in rows], 0.6)}
+    for block in (200, 30):
+        found = index.near(df, 0.6, block=block).select("query_video_id", "candidate_video_id").collect()
+        assert len(found) == len(near) and {tuple(r) for r in found} == near
+
+
+def test_largest_scores_keep_the_first_of_equal_ones():
+    scores = np.array([[0.5, 0.9, 0.9000001, 0.9, -np.inf], [np.nan, -np.inf, 0.1, -np.inf, -np.inf]])
+    at, column, values = ann._largest(scores, 2)
+    assert list(zip(at, column, values)) == [(0, 1, 0.9), (0, 2, 0.9), (1, 2, 0.1)]
