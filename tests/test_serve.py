@@ -155,3 +155,33 @@ def test_every_user_with_enough_items_gets_a_full_page(spark, tables):
             eligible = [v for v in chains.get(u.region, chains[None]) if (u.user_id, v) not in gone]
             assert places.get(u.user_id, (0, 0))[0] >= min(50, len(eligible)), u
         assert rows.where("origin = 'fallback'").count() > 0
+
+
+def test_fallback_rows_of_users_and_items_are_not_shuffled(spark):
+    users = spark.createDataFrame([("a", "r"), ("b", None), ("c", "r"), ("c", "s"), (None, "r")], "user_id string, region string")
+    region = spark.createDataFrame([("r", "r1", 1), ("r", "p1", 2), ("s", "s1", 1)], "region string, video_id string, position int")
+    popular = spark.createDataFrame([("p1", 1), ("p2", 2)], "video_id string, position int")
+    untouched = spark.createDataFrame([("t1", 1), ("p2", 2)], "video_id string, position int")
+    pairs = lambda rows: spark.createDataFrame(rows, "user_id string, video_id string")
+    watched, reported, excluded = pairs([("a", "p1"), ("a", "r1")]), pairs([("b", "p2"), (None, "p1")]), pairs([("a", "t1"), ("c", "r1")])
+    rows = serve.fallback_recommendations(users, region, popular, untouched, watched, reported, excluded)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.user_id, []).append((r.position, r.source, r.video_id))
+    assert {u: [x[1:] for x in sorted(v)] for u, v in got.items() if u != "c"} == {
+        "a": [(0, "r1"), (0, "p1"), (1, "p2"), (2, "p2")], "b": [(1, "p1"), (2, "t1"), (2, "p2")],
+        None: [(0, "r1"), (0, "p1"), (1, "p1"), (1, "p2"), (2, "t1"), (2, "p2")],
+    }
+    assert [x[1:] for x in sorted(got["c"])] == [(0, "s1"), (0, "p1"), (1, "p1"), (1, "p1"), (1, "p2"), (1, "p2"), (2, "t1"), (2, "t1"), (2, "p2"), (2, "p2")]
+    assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]  # nothing is sorted, joined or numbered once the rows are made
+    assert not any(x in above for x in ("Window", "Join", "Aggregate", "Repartition"))
+
+
+def test_a_stored_stage_is_a_table_of_columns(spark):
+    from itemrec.runtime import materialize
+
+    kept = materialize(spark.range(100).selectExpr("id", "cast(id % 3 as string) as s"))
+    assert kept.inputFiles() and "RDD" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.count() == 100
