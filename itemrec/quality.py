@@ -46,10 +46,15 @@ def expect_keys_in_source(stored: DataFrame, source: DataFrame, keys: list[str])
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows on one side only, repeats counted, marked with their side."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(
-        right.exceptAll(left).withColumn("side", F.lit("right"))
-    )
+    """Rows on one side only, repeats counted, marked with their side.
+
+    Both sides move once, and meet where equal rows are added up; few are equal before, so they aren't added up there.
+    """
+    names = left.columns
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    apart = both.repartition(*names).groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n"))).alias("_i")
+    return apart.select(*names, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), times).drop("_i")
 
 
 def vector_shape_profile(df: DataFrame, columns: list[str]) -> DataFrame:
