@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from itemrec.streaming import jobs, state
@@ -135,3 +136,44 @@ def test_reports_stay_one_row_each_in_few_files_and_bear_replays(spark):
 
 def test_no_reports_yet(spark):
     assert jobs.reports_at(spark, tempfile.mkdtemp(prefix="reports-") + "/t").collect() == []
+
+
+class Handle:
+    """Counts what a processor asks of its state."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_call_reads_and_writes_its_state_once_however_many_items_there_are():
+    for processor, width in ((state.Stays(10), 2), (state.LiveHistory(10, 500), 3)):
+        handle = Handle()
+        processor.init(handle)
+        for call in range(2):
+            rows = [Row(video_id=f"v{i}", micros=i + 5 * call, mean_percentage_watched=0.5) for i in range(300)]
+            assert len(list(processor.handleInputRows(("u",) * width, iter(rows), handle))) >= (300 if call == 0 else 0)
+        assert handle.calls <= 8 and len(handle.timers) == 1 and len(handle.value[1]) == 300
