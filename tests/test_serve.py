@@ -185,3 +185,46 @@ def test_a_stored_stage_is_a_table_of_columns(spark):
     kept = materialize(spark.range(100).selectExpr("id", "cast(id % 3 as string) as s"))
     assert kept.inputFiles() and "RDD" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert kept.count() == 100
+
+
+def test_mix_gives_places_only_to_items_that_may_be_given(spark, queries):
+    """Excluded items and own query items leave the sum, on both sides, and the others move up."""
+    personal = spark.createDataFrame(
+        [("u", "new", 1, "c1", 0.9, True), ("u", "new", 2, "c2", 0.8, True), ("u", "old", 1, "c3", 0.7, True), ("u", "old", 2, "c2", 0.99, True)],
+        "user_id string, query_video_id string, type_num int, candidate_video_id string, similarity double, listed boolean",
+    )
+    asked = queries.select("user_id", "query_video_id", "pos", "importance").withColumn("pool_key", F.lit("global"))
+    entries = [("new", [(6, "c1", 0.9), (6, "p1", 0.5), (6, "old", 0.9)]), ("old", [(6, "p1", 0.99), (6, "p2", 0.6), (6, "c2", 0.7)])]
+    near = spark.createDataFrame([("global", *e) for e in entries], "pool_key string, query_video_id string, candidates array<struct<type_num int, candidate_video_id string, similarity double>>")
+    scored = serve.Scored(personal, asked, near, 0.4)
+    pairs = spark.createDataFrame([("u", "c1"), ("u", "c1"), ("w", "c2"), ("u", "x")], "user_id string, video_id string")
+    got = serve.mix(scored, queries, exclusions=serve.Exclusions.of(pairs)).collect()
+    assert sorted((r.is_pool, r.position, r.candidate_video_id, r.score) for r in got) == sorted(
+        (r.is_pool, i, r.candidate_video_id, r.score)
+        for side in (False, True)
+        for i, r in enumerate(sorted((x for x in serve.mix(scored, queries).collect() if x.is_pool == side and x.candidate_video_id != "c1"), key=lambda x: x.position), 1)
+    )
+    assert {(r.is_pool, r.candidate_video_id) for r in got} == {(False, "c2"), (False, "c3"), (True, "p1"), (True, "p2"), (True, "c2")}
+
+
+def test_refill_takes_the_first_of_the_chain_that_may_be_given(spark):
+    """Only places that are left become rows, shared out to as many tasks as asked; a user who comes twice shares the places."""
+    chains = spark.createDataFrame([("r", ["a", "b", "c", "d", "e"]), ("s", ["d", "z"]), (None, ["p", "q"])], "region string, chain array<string>")
+    short = [("u", "r", 2, ["a"]), ("v", None, 5, None), ("w", "t", 1, ["p"]), ("x", "s", 3, []), ("y", "r", 3, None), ("y", "r", 3, None), ("g", "s", 1, ["d", "z"]), ("m", "r", 3, None), ("m", "s", 3, None)]
+    pairs = spark.createDataFrame([("u", "b"), ("u", "k"), ("x", "z"), ("y", "b"), ("q", "p")], "user_id string, video_id string")
+    found = serve.refill(
+        spark.createDataFrame(short, "user_id string, region string, places int, taken array<string>"), chains, serve.Exclusions.of(pairs), 3
+    )
+    got = {}
+    for r in found.orderBy("user_id", "position").collect():
+        got.setdefault(r.user_id, []).append(r.video_id)
+    assert {k: v for k, v in got.items() if k != "m"} == {"u": ["c", "d"], "v": ["p", "q"], "w": ["q"], "x": ["d"], "y": ["a", "a", "c"]}
+    assert sorted(got["m"][:2]) == ["a", "d"] and got["m"][2] in ("b", "z")  # two regions: by place in each
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exclusions_keep_only_pairs_of_items_that_can_be_offered(spark):
+    pairs = spark.createDataFrame([("u", "a"), ("u", "b"), ("w", "a"), ("w", None), (None, "a")], "user_id string, video_id string")
+    among = spark.createDataFrame([("a",), ("a",), (None,)], "video_id string")
+    found = serve.Exclusions.of(pairs, None, pairs, among=among)
+    assert sorted(((r.user_id or ""), r.video_id) for r in found.pairs.collect()) == [("", "a"), ("u", "a"), ("w", "a")]

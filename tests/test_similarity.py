@@ -1,5 +1,7 @@
 """Block products, cells and means against plain numpy."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -167,3 +169,27 @@ def test_largest_scores_keep_the_first_of_equal_ones():
     scores = np.array([[0.5, 0.9, 0.9000001, 0.9, -np.inf], [np.nan, -np.inf, 0.1, -np.inf, -np.inf]])
     at, column, values = ann._largest(scores, 2)
     assert list(zip(at, column, values)) == [(0, 1, 0.9), (0, 2, 0.9), (1, 2, 0.1)]
+
+
+def test_pools_asked_in_groups_find_exactly_their_pairs(spark):
+    """Pools of several parts, more than 64 to a group, items without vectors, rows that repeat and null keys."""
+    r = random.Random(5)
+    vectors = [(f"v{i}", [r.gauss(0, 1) for _ in range(4)]) for i in range(90) for _ in range(2)]
+    pools = [(f"p{k}", f"v{r.randrange(95)}") for k in range(80) for _ in range(4)] + [("big", f"v{i}") for i in range(60)] + [(None, "v1"), ("p1", None)]
+    asked = [(f"p{r.randrange(85)}", f"v{r.randrange(95)}") for _ in range(500)] + [("big", f"v{i}") for i in range(90)] + [("p1", None), (None, "v2")]
+    known = spark.createDataFrame([*vectors, ("none", None)], "video_id string, embedding array<float>")
+    at = {}
+    for v, x in vectors:
+        at.setdefault(v, []).append(np.array(x, np.float32).astype(float))
+    want = {}
+    for k, q in set(asked):
+        for m, c in set(pools):
+            if k is not None and k == m and q != c and q in at and c in at:
+                s = round(max(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for x in at[q] for y in at[c]), 6)
+                if s >= 0.4:
+                    want[k, q, c] = s
+    asked, pools = spark.createDataFrame(asked, "pool_key string, query_video_id string"), spark.createDataFrame(pools, "pool_key string, video_id string")
+    for sizes in ({}, {"part": 7, "together": 20, "block": 5}, {"part": 1000, "together": 100_000}):
+        rows = similarity.pool_similarity(asked, pools, known, 0.4, **sizes).collect()
+        assert {(x.pool_key, x.query_video_id, x.candidate_video_id): x.similarity for x in rows} == want
+        assert len(rows) == len(want)
